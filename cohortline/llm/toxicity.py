@@ -15,6 +15,7 @@ Training uses a bounded sample of labelled rows outside the held-out fold. Defin
 several labels of one doc_id: the largest counts; without training rows of both classes every score is 0.5 - 1e-9.
 """
 
+import hashlib
 import heapq
 import math
 import re
@@ -146,27 +147,37 @@ class Landmarks:
         return out
 
 
+_known: dict[str, dict[str, float]] = {}
+
+
 class Model:
     def __init__(self, landmarks: Landmarks | None, beta: np.ndarray, bias: float, a: float, b: float):
-        self.landmarks, self.beta, self.bias, self.a, self.b, self.known = landmarks, beta, bias, a, b, {}
+        self.landmarks, self.beta, self.bias, self.a, self.b = landmarks, beta, bias, a, b
+        self.name = hashlib.sha256(repr((landmarks and landmarks.words, beta.tolist(), bias)).encode()).hexdigest()
 
-    def __getstate__(self):
-        return self.__dict__ | {"known": {}}
+    @property
+    def known(self) -> dict[str, float]:
+        """Margins of words by this model, which the tasks of a worker share."""
+        if self.name not in _known:
+            _known.clear()
+            _known[self.name] = {}
+        return _known[self.name]
 
     def judge(self, strings: list[str]) -> np.ndarray:
         return self.landmarks.kernel(strings) @ self.beta + self.bias
 
     def remember(self, words: set[str]) -> None:
         """The largest margin of the units of each word that isn't known yet."""
-        new = [w for w in words if w not in self.known]
-        if len(self.known) + len(new) > REMEMBERED:
-            self.known.clear()
+        known = self.known
+        new = [w for w in words if w not in known]
+        if len(known) + len(new) > REMEMBERED:
+            known.clear()
             new = list(words)
         own = {w: units(w) for w in new}
         every = sorted({u for us in own.values() for u in us})
         margin = dict(zip(every, self.judge(every).tolist())) if every else {}
         for w, us in own.items():
-            self.known[w] = max((margin[u] for u in us), default=NOTHING)
+            known[w] = max((margin[u] for u in us), default=NOTHING)
 
     def margins(self, texts: list[str]) -> np.ndarray:
         """A sentence's margin is that of its best unit and a document's that of its best sentence: so, that of its best unit."""
@@ -174,8 +185,9 @@ class Model:
         for lo in range(0, len(texts), 64):
             docs = [t.lower().split() for t in texts[lo:lo + 64]]
             self.remember({w for d in docs for w in d})
+            known = self.known
             for i, d in enumerate(docs):
-                got = list(map(self.known.__getitem__, d))
+                got = list(map(known.__getitem__, d))
                 best = max(got, default=NOTHING)
                 if got.count(NOTHING) > 2 and (row := letter_rows(d, got)):  # single letters alone have no margin
                     best = max(best, float(self.judge(row).max()))

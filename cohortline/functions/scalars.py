@@ -12,7 +12,7 @@ def text(c: Column) -> Column:
 
 def tokens(c: Column, sep: str = ";") -> Column:
     """Trimmed tokens of a delimited string, empty ones dropped; null stays null."""
-    return F.filter(F.transform(F.split(c, sep), F.trim), lambda t: t != "")
+    return F.filter(F.transform(F.split(c, sep), lambda t: F.trim(t)), lambda t: t != "")
 
 
 def lower_tokens(c: Column) -> Column:

@@ -1,6 +1,7 @@
 """Ratcliff-Obershelp similarity of names: the one function that no built-in expresses."""
 
 from difflib import SequenceMatcher
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column
@@ -16,10 +17,13 @@ def ratio(a: str, b: str) -> float:
     return SequenceMatcher(None, a, b).ratio()
 
 
-def reachable(a: str, b: str, threshold: float) -> bool:
-    """An upper bound of the ratio from the lengths reaches the threshold."""
-    n = len(a) + len(b)
-    return n == 0 or 2 * min(len(a), len(b)) / n >= threshold
+@lru_cache(maxsize=200_000)
+def reaches(a: str, b: str, threshold: float) -> bool:
+    """Whether the ratio is at the threshold or above: its upper bounds, from lengths and from letters, are asked first. Names repeat, so answers are kept."""
+    if a == b:
+        return True
+    m = SequenceMatcher(None, a, b)
+    return m.real_quick_ratio() >= threshold and m.quick_ratio() >= threshold and m.ratio() >= threshold
 
 
 def matches(a: str, b: str, threshold: float) -> bool:
@@ -27,13 +31,13 @@ def matches(a: str, b: str, threshold: float) -> bool:
     if not a or not b:
         return False
     a, b = a.lower(), b.lower()
-    if reachable(a, b, threshold) and ratio(a, b) >= threshold:
+    if reaches(a, b, threshold):
         return True
     own = []
     for s in (a, b):
         every = [x.strip() for x in s.split(";") if x.strip()]
         own.append([x for x in every if x not in GENERIC] or every)
-    return any(reachable(x, y, threshold) and (x == y or ratio(x, y) >= threshold) for x in own[0] for y in own[1])
+    return any(reaches(x, y, threshold) for x in own[0] for y in own[1])
 
 
 def full_ratio(a: Column, b: Column) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import types as T
 
 _DATE = "struct<date:string,type:string>"
 #: The part of a record that is read (fixed values: paths of the registry's format).
-RECORD = T.StructType.fromDDL(f"""
+RECORD_DDL = f"""
     protocolSection struct<
       identificationModule: struct<nctId:string, orgStudyIdInfo:struct<id:string>, organization:struct<fullName:string,class:string>, briefTitle:string, officialTitle:string, acronym:string>,
       statusModule: struct<overallStatus:string, statusVerifiedDate:string, startDateStruct:{_DATE}, primaryCompletionDateStruct:{_DATE}, completionDateStruct:{_DATE}, studyFirstSubmitDate:string, studyFirstPostDateStruct:{_DATE}, lastUpdateSubmitDate:string, lastUpdatePostDateStruct:{_DATE}, whyStopped:string>,
@@ -19,7 +19,12 @@ RECORD = T.StructType.fromDDL(f"""
       descriptionModule: struct<briefSummary:string, detailedDescription:string>,
       contactsLocationsModule: struct<locations:array<struct<country:string>>>,
       oversightModule: struct<oversightHasDmc:boolean>>,
-    hasResults boolean""")
+    hasResults boolean"""
+
+
+def record() -> T.StructType:
+    """The record's type; parsing it takes a session."""
+    return T.StructType.fromDDL(RECORD_DDL)
 
 
 def joined(c: Column, sep: str = "; ") -> Column:
@@ -75,11 +80,12 @@ def columns(root: str = "") -> dict[str, Column]:
 
 def read_raw(spark: SparkSession, path: str) -> DataFrame:
     """(file, ordinal, study) of pull files, whether an envelope with `studies` or a bare list of records."""
-    wrapped = spark.read.schema(T.StructType([T.StructField("studies", T.ArrayType(RECORD)), *RECORD.fields])).option("multiLine", True).json(path)
+    one = record()
+    wrapped = spark.read.schema(T.StructType([T.StructField("studies", T.ArrayType(one)), *one.fields])).option("multiLine", True).json(path)
     file = F.col("_metadata.file_path")
     inside = wrapped.where("studies is not null").select(file.alias("file"), F.posexplode("studies").alias("ordinal", "study"))
     # of a bare list every record is a row already, in file order
-    bare = wrapped.where("studies is null and protocolSection is not null").select(file.alias("file"), F.monotonically_increasing_id().alias("ordinal"), F.struct(*RECORD.names).alias("study"))
+    bare = wrapped.where("studies is null and protocolSection is not null").select(file.alias("file"), F.monotonically_increasing_id().alias("ordinal"), F.struct(*one.names).alias("study"))
     return inside.withColumn("ordinal", F.col("ordinal").cast("long")).unionByName(bare)
 
 

@@ -1,9 +1,10 @@
 """Sharding by vector bin packing: bytes, tokens and rows are balanced jointly.
 
 Groups are the rows of one text. A group goes where the dot product of its demand with the shards' residual capacity is highest, all
-three being fractions of a shard's fair share. The law that holds is `bytes`: sizes of shards are near equal.
+three being fractions of a shard's fair share, among the shards that have the bytes left. The law that holds is `bytes`: sizes of
+shards are near equal.
 Large groups (over 1/`fine` of a shard in any dimension; so their number is bounded by 3 x shards x fine, whatever the corpus) are placed
-first, on the driver. Those over half a shard are cut into pieces of at most that, as no shard could take them whole. The others are
+first, on the driver. Those over half a shard are cut into small pieces, as shards could not be balanced around them. The others are
 dealt over tasks by their digest; each task places its groups, largest first, against its own part of what the large ones left, so that
 the shards' sums stay balanced at any number of tasks. Slots come from counts by (task, shard).
 
@@ -18,6 +19,8 @@ from pyspark.sql import functions as F
 from cohortline.llm.common import slim, written
 
 SHARDS, FINE = 24, 64
+#: Parts of a shard's fair share: a group up to WHOLE stays together, a larger one is cut into pieces of at most PIECE.
+WHOLE, PIECE = 0.5, 0.125
 #: Groups that one placing task takes, about.
 GROUPS_A_TASK = 20_000
 #: What counts as a token when shards are balanced: a run of letters and digits, or any other sign that is no space.
@@ -25,10 +28,13 @@ TOKEN = r"[\p{L}\p{N}]+|[^\s\p{L}\p{N}]"
 
 
 def place(demand: np.ndarray, residual: np.ndarray) -> np.ndarray:
-    """The shard of each row of demand, in the given order; residual (shards x dimensions) is reduced in place."""
+    """The shard of each row of demand, in the given order; residual (shards x dimensions) is reduced in place.
+
+    Of the shards that have the bytes left, the one where the dot product is highest; if none has, the one with the most bytes left."""
     out = np.empty(len(demand), np.int32)
     for i, d in enumerate(demand):
-        s = int(np.argmax(residual @ d))
+        fits = residual[:, 0] >= d[0]
+        s = int(np.argmax(np.where(fits, residual @ d, -np.inf) if fits.any() else residual[:, 0]))
         out[i] = s
         residual[s] -= d
     return out
@@ -54,7 +60,8 @@ def shard(docs: DataFrame, text_col: str = "text", shards: int = SHARDS, fine: i
     units = []
     for r in large:
         one = np.array([r["size"], r["tokens"], 1]) / fair
-        cuts = int(min(r["n"], max(1, np.ceil(r["n"] * one.max() / 0.5))) if r["n"] * one.max() > 0.5 else 1)
+        share_of = r["n"] * one.max()
+        cuts = int(min(r["n"], np.ceil(share_of / PIECE))) if share_of > WHOLE else 1
         for k in range(cuts):
             m = r["n"] // cuts + (k < r["n"] % cuts)
             units.append((bytes(r["g"]), k, cuts, m * one, m))
@@ -63,7 +70,7 @@ def shard(docs: DataFrame, text_col: str = "text", shards: int = SHARDS, fine: i
     chosen = place(np.array([u[3] for u in units]).reshape(-1, 3), residual)
     spark = docs.sparkSession
     fixed = spark.createDataFrame([(bytearray(u[0]), u[1], u[2], int(s), u[4]) for u, s in zip(units, chosen)], "g binary, cut int, cuts int, at int, m long")
-    fixed = F.broadcast(fixed)  # at most 3 x shards x fine groups, and 2 cuts a shard more
+    fixed = F.broadcast(fixed)  # at most 3 x shards x fine groups, and 3 x shards / PIECE cuts more
 
     tasks = int(max(1, min(4096, -(-(total[3] or 0) // GROUPS_A_TASK))))
     small = groups.join(F.broadcast(fixed.select("g").distinct()), "g", "left_anti").withColumn("deal", F.pmod(F.xxhash64("g"), F.lit(tasks)))

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 
 from cohortline.llm.quality import labelled_sample, score  # noqa: F401  (score is the same operator, with another model)
 
-N, LAMBDA, POWER, COVER, LONGEST, LANDMARKS = 3, 0.8, 2, 0.7, 24, 64
+N, LAMBDA, POWER, COVER, LONGEST, LANDMARKS = 3, 0.8, 2, 0.8, 24, 64
 TRAIN_DOCS, TRAIN_CHARS, UNITS, REG = 6_000, 20_000, 150_000, 1e-4
 #: Words that a worker remembers the margins of; then it forgets all and goes on.
 REMEMBERED = 500_000
@@ -34,7 +34,7 @@ REMEMBERED = 500_000
 NOTHING = -1e9
 SENTENCE = re.compile(r"(?<=[.!?])\s+|\n+")
 #: Signs that stand for letters inside a word.
-LEET = str.maketrans("013457@$", "oleastas")
+LEET = str.maketrans("013457@$", "oieastas")
 _PLAIN = re.compile(r"[^\W\d_]+\Z")
 
 
@@ -264,7 +264,8 @@ def train(texts: list[str], labels: list[int], seed: int = 3) -> Model:
         return none
     rng = np.random.default_rng(seed)
     val = np.arange(len(y)) % 4 == 3
-    docs = [[units(s) for s in SENTENCE.split(t)] for t in texts]
+    same: dict[str, str] = {}  # one object a word
+    docs = [[[same.setdefault(u, u) for u in units(s)] for s in SENTENCE.split(t)] for t in texts]
     words = [{u for s in d for u in s} for d in docs]
     fit = np.flatnonzero(~val)
     clues = telling([words[i] for i in fit], y[fit])

@@ -237,7 +237,7 @@ def test_sharding(spark, docs, rows, empty):
     many = frame(spark, [(i, " ".join(WORDS[(i * 7 + j) % 400] for j in range(20 + i % 50))) for i in range(3000)] + [(3000 + i, "a copy that fills a third") for i in range(1500)])
     out = sharding.shard(many, shards=8).toPandas()
     size, n = out.groupby("shard")["size"].sum(), out.groupby("shard")["size"].count()
-    assert size.max() / size.min() < 1.02 and n.max() / n.min() < 1.05
+    assert size.max() / size.min() < 1.01 and n.max() / n.min() < 1.15  # bytes are the law; rows are balanced as far as it lets them
     groups = out[out.doc_id < 3000].groupby("text_crc32").shard.nunique()
     assert (groups == 1).all()
     assert sharding.shard(empty).count() == 0

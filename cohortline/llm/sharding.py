@@ -6,13 +6,16 @@ shards are near equal.
 Large groups (over 1/`fine` of a shard in any dimension; so their number is bounded by 3 x shards x fine, whatever the corpus) are placed
 first, on the driver. Those over half a shard are cut into small pieces, as shards could not be balanced around them. The others are
 dealt over tasks by their digest; each task places its groups, largest first, against its own part of what the large ones left, so that
-the shards' sums stay balanced at any number of tasks. Slots come from counts by (task, shard).
+the shards' sums stay balanced at any number of tasks. Pieces of a large group take its rows in turn. Slots come from counts by (task, shard).
 
 Defined results: a null text counts as empty (size 8); repeated rows are rows of one group; an empty table gives an empty table.
 """
 
+from collections import Counter
+
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -68,43 +71,58 @@ def shard(docs: DataFrame, text_col: str = "text", shards: int = SHARDS, fine: i
     units.sort(key=lambda u: (-u[3].max(), u[0], u[1]))
     residual = np.ones((shards, 3))
     chosen = place(np.array([u[3] for u in units]).reshape(-1, 3), residual)
-    spark = docs.sparkSession
-    fixed = spark.createDataFrame([(bytearray(u[0]), u[1], u[2], int(s), u[4]) for u, s in zip(units, chosen)], "g binary, cut int, cuts int, at int, m long")
-    fixed = F.broadcast(fixed)  # at most 3 x shards x fine groups, and 3 x shards / PIECE cuts more
+    # where the pieces of each large group go: at most 3 x shards x fine groups, and 3 x shards / PIECE cuts more
+    large_at: dict[bytes, list[int]] = {}
+    for u, at in zip(units, chosen.tolist()):
+        large_at.setdefault(u[0], [0] * u[2])[u[1]] = at
+
+    def mark(batches):
+        """Rows of large groups with their shards, pieces in turn; others without. Each task begins at another piece."""
+        seen: Counter[bytes] = Counter()
+        task = TaskContext.get().partitionId()
+        for pdf in batches:
+            at = []
+            for g in map(bytes, pdf["g"]):
+                to = large_at.get(g)
+                at.append(None if to is None else to[(task + seen[g]) % len(to)])
+                if to is not None:
+                    seen[g] += 1
+            yield pdf.assign(at=pd.array(at, "Int32"))
 
     tasks = int(max(1, min(4096, -(-(total[3] or 0) // GROUPS_A_TASK))))
-    small = groups.join(F.broadcast(fixed.select("g").distinct()), "g", "left_anti").withColumn("deal", F.pmod(F.xxhash64("g"), F.lit(tasks)))
     rest = residual.copy()
 
     def deal(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf[[bytes(g) not in large_at for g in pdf["g"]]]
         d = (pdf[["size", "tokens"]].assign(one=1).to_numpy(float) * pdf[["n"]].to_numpy(float)) / fair
-        order = np.lexsort((pdf["g"].map(bytes).to_numpy(), -d[:, 0]))
+        order = np.lexsort((pdf["g"].map(bytes).to_numpy(), -d[:, 0])) if len(d) else []
         d = d[order]
         own = d.sum(0) * rest / np.maximum(rest.sum(0), 1e-12)  # this task's part of what is left
         return pd.DataFrame({"g": pdf["g"].to_numpy()[order], "at": place(d, own)})
 
-    placed = small.groupBy("deal").applyInPandas(deal, "g binary, at int")
-    # rows of a cut group are told apart by a hash of the id, then by turn: pieces get counts that differ by one at most
-    cold = rows.join(F.broadcast(fixed.select("g").distinct()), "g", "left_anti")  # what is shuffled by g has no hot key
-    whole = cold.join(placed, "g").select(*rows.columns, "at")
-    if units:
-        hot = rows.join(F.broadcast(fixed.where("cut = 0").select("g", "cuts")), "g").withColumn("task", F.spark_partition_id())
-        hot = written(hot.withColumn("turn", F.row_number().over(Window.partitionBy("g", "task").orderBy("doc_id"))))
-        n = hot.groupBy("g", "task").agg(F.count(F.lit(1)).alias("n"))
-        before = Window.partitionBy("g").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
-        n = n.select("g", "task", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
-        hot = hot.join(n, ["g", "task"]).withColumn("cut", F.pmod(F.col("first") + F.col("turn") - 1, F.col("cuts")).cast("int"))
-        whole = whole.unionByName(hot.join(fixed.select("g", "cut", "at"), ["g", "cut"]).select(*rows.columns, "at"))
-    return with_slots(whole)
+    placed = groups.withColumn("deal", F.pmod(F.xxhash64("g"), F.lit(tasks))).groupBy("deal").applyInPandas(deal, "g binary, at int")
+    columns = "doc_id long, g binary, size long, tokens long, text_crc32 long"
+    marked = written(rows.mapInPandas(mark, f"{columns}, at int"))
+    cold = marked.where("at is null").drop("at").join(placed, "g")  # what is shuffled by g has no hot key
+    return with_slots(marked.where("at is not null").unionByName(cold))
 
 
 def with_slots(rows: DataFrame) -> DataFrame:
-    """A gapless place in its shard for each row: a place in its task, after the counts of the tasks before."""
-    parts = written(rows.withColumn("task", F.spark_partition_id()))
-    turn = F.row_number().over(Window.partitionBy("at", "task").orderBy("doc_id", "text_crc32"))
+    """A gapless place in its shard for each row: a place in its task, counted as rows stream by, after the counts of the tasks before."""
+
+    def number(batches):
+        seen: Counter[int] = Counter()
+        task = TaskContext.get().partitionId()
+        for pdf in batches:
+            turn = pdf.groupby("at").cumcount() + pdf["at"].map(lambda a: seen[a])
+            seen.update(pdf["at"].tolist())
+            yield pdf.assign(task=task, turn=turn)
+
+    kept = rows.select("doc_id", "size", "text_crc32", "tokens", "at")
+    parts = written(kept.mapInPandas(number, "doc_id long, size long, text_crc32 long, tokens long, at int, task int, turn long"))
     n = parts.groupBy("at", "task").agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy("at").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
     first = n.select("at", "task", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
-    return parts.withColumn("turn", turn).join(first, ["at", "task"]).select(
+    return parts.join(first, ["at", "task"]).select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), F.col("at").alias("shard"),
-        (F.col("first") + F.col("turn") - 1).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "tokens")
+        (F.col("first") + F.col("turn")).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "tokens")

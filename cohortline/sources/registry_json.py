@@ -79,9 +79,9 @@ def columns(root: str = "") -> dict[str, Column]:
 
 
 def read_raw(spark: SparkSession, path: str) -> DataFrame:
-    """(file, ordinal, study) of pull files, whether an envelope with `studies` or a bare list of records."""
+    """(file, ordinal, study) of pull files: an envelope with `studies`, a bare list of records, or (.jsonl) a record a line."""
     one = record()
-    wrapped = spark.read.schema(T.StructType([T.StructField("studies", T.ArrayType(one)), *one.fields])).option("multiLine", True).json(path)
+    wrapped = spark.read.schema(T.StructType([T.StructField("studies", T.ArrayType(one)), *one.fields])).option("multiLine", not path.rstrip("/").endswith(".jsonl")).json(path)
     file = F.col("_metadata.file_path")
     inside = wrapped.where("studies is not null").select(file.alias("file"), F.posexplode("studies").alias("ordinal", "study"))
     # of a bare list every record is a row already, in file order

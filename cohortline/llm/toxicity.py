@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from cohortline.llm.quality import labelled_sample, score  # noqa: F401  (score is the same operator, with another model)
 
 N, LAMBDA, POWER, COVER, LONGEST, LANDMARKS = 3, 0.8, 2, 0.8, 24, 64
-TRAIN_DOCS, TRAIN_CHARS, UNITS, REG = 6_000, 20_000, 150_000, 1e-4
+TRAIN_DOCS, TRAIN_CHARS, UNITS, REG = 6_000, 20_000, 80_000, 1e-4
 #: Words that a worker remembers the margins of; then it forgets all and goes on.
 REMEMBERED = 500_000
 #: The margin of a word without a unit of its own.
@@ -294,12 +294,13 @@ def train(texts: list[str], labels: list[int], seed: int = 3) -> Model:
     cold = Counter(u for i in fit if not y[i] for s in docs[i] for u in s)
     pos = list(hot) + [gapped(u, rng) for u in hot for _ in range(4)]
     neg = sorted((u for u in cold if u not in hot), key=lambda u: (-cold[u], u))[:UNITS]  # a bound on what the driver trains with
-    x = np.concatenate([marks.kernel(pos), marks.kernel(neg)]) @ root
+    del docs, words
+    x = np.concatenate([marks.kernel(pos), marks.kernel(neg)]) @ root.astype(np.float32)
     near = np.linalg.norm(x, axis=1) > 0  # a unit like no landmark has no features: only the bias speaks of it
     t = np.concatenate([np.ones(len(pos)), -np.ones(len(neg))])
     often = np.sqrt([*hot.values(), *[hot[u] / 2 for u in hot for _ in range(4)], *[cold[u] for u in neg]])
     weight = np.where(t > 0, often / often[:len(pos)].sum(), often / max(1.0, often[len(pos):].sum()))
-    x, t, weight = np.column_stack([x, np.ones(len(x))])[near], t[near], weight[near]
+    x, t, weight = np.column_stack([x[near], np.ones(int(near.sum()))]), t[near], weight[near]
     x, t, weight = np.vstack([x, np.eye(1, x.shape[1], x.shape[1] - 1)]), np.append(t, -1.0), np.append(weight, 1.0)
     w = newton_svm(x, t, weight)
     w, b = w[:-1], w[-1]

@@ -3,7 +3,7 @@
 A text is lower-cased, all but letters become single spaces, and its character n-grams (word ends included) are hashed to rows of an embedding
 table. The mean of its rows goes through one linear layer and a softmax. As both are linear, a trained model is one table of n-gram logits.
 The temperature is fitted on snippets that training never saw; a document is rejected when its calibrated confidence is below a
-threshold that at most `reject_rate` of the validation documents fall under, or when it has no letter.
+threshold that at most REJECT_RATE of the validation documents fall under, and that is near the confidence of no idea at all, or when it has no letter.
 
 Training uses a bounded sample (`train_docs` documents of at most `train_chars` characters) of rows outside the held-out fold.
 Defined results: null text, or one without a letter: `und`, score 0, rejected. Without any usable training row every document is `und`.
@@ -19,6 +19,8 @@ from cohortline.llm.common import held_out, in_training_fold, pieces, slim
 NGRAMS, BUCKETS, DIM = (1, 2, 3, 4), 1 << 16, 16
 TRAIN_DOCS, TRAIN_CHARS, SNIPPETS, EPOCHS, RATE = 2_000, 20_000, 4, 3, 8.0
 REJECT_RATE = 0.001
+#: Nor is a document rejected that is surer of a language than this, over the number of languages: 1 is no idea at all.
+SURE_OF_NONE = 1.2
 UND = "und"
 _P, _M = np.uint32(0x9E3779B1), np.uint32(0x85EBCA6B)
 _letters: list[np.ndarray] = []
@@ -128,7 +130,7 @@ def train(texts: list[str], langs: list[str], seed: int = 5) -> Model:
         grid = np.exp(np.linspace(-3, 3, 61))
         model.temperature = float(min(grid, key=lambda t: -np.log(softmax(z / t)[np.arange(len(y)), y] + 1e-12).mean()))
         whole = softmax(z[[i for i, v in enumerate(val) if v[3]]] / model.temperature).max(1)
-        model.threshold = float(min(0.4, np.quantile(whole, REJECT_RATE))) if len(whole) else 0.0
+        model.threshold = float(min(SURE_OF_NONE / len(names), np.quantile(whole, REJECT_RATE))) if len(whole) else 0.0
     return model
 
 

@@ -1,13 +1,14 @@
 """Toxicity: a subsequence string-kernel SVM with Nyström landmarks, trained on labelled sentences.
 
 The kernel of two strings sums over their common subsequences of `N` characters, each weighed by LAMBDA to the power of the lengths it
-spans in both, is normalised by the strings' own kernels and squared (which
+spans in both, is normalised by the strings' own kernels and raised to POWER (which
 leaves it a kernel); gaps and inserted characters lower it gently. A sentence is compared with a landmark
 through its best-matching unit (a word without its punctuation; single letters in a row are one unit; a very long word is windows), so its
-margin is the largest margin of its units, and a document's that of its sentences. Units whose longest common subsequence with a landmark covers less
-than COVER of it have kernel 0 with it; this is part of the kernel's definition, in training and in use.
+margin is the largest margin of its units, and a document's that of its sentences. The kernel is computed whole, for every unit with every landmark,
+from the subsequences themselves: those of the landmarks are a table, and those of a unit are looked up in it.
 
-Landmarks are words that toxic training documents hold and clean ones don't, each unlike those chosen before, and frequent clean words. A sentence of a
+Landmarks are telling words, which toxic training documents hold and clean ones don't, until each telling word is one or is like one (kernel of at least
+LIKE), and a third as many frequent clean words. A sentence of a
 toxic document that holds none of the telling words says nothing and is left out; all sentences of clean documents count. Positive sentences are
 trained on with gaps and insertions added. Platt scaling on documents that training never saw turns margins into scores.
 
@@ -20,14 +21,21 @@ import heapq
 import math
 import re
 from collections import Counter
+from itertools import combinations
 
 import numpy as np
 from pyspark.sql import DataFrame
 
 from cohortline.llm.quality import labelled_sample, score  # noqa: F401  (score is the same operator, with another model)
 
-N, LAMBDA, POWER, COVER, LONGEST, LANDMARKS = 3, 0.8, 2, 0.8, 24, 64
-TRAIN_DOCS, TRAIN_CHARS, UNITS, REG = 6_000, 20_000, 80_000, 1e-4
+N, LAMBDA, POWER, LONGEST, LIKE = 3, 0.8, 4, 24, 0.8
+#: Least number of clean landmarks; otherwise there is one to three telling ones.
+CLEAN_LANDMARKS = 16
+TRAIN_DOCS, TRAIN_CHARS, UNITS, REG = 6_000, 20_000, 150_000, 1e-4
+#: Subsequences looked up at once.
+AT_ONCE = 1 << 16
+#: With fewer characters in the landmarks than this, subsequences are found by place and not by search.
+DIRECT = 100
 #: Words that a worker remembers the margins of; then it forgets all and goes on.
 REMEMBERED = 500_000
 #: The margin of a word without a unit of its own.
@@ -99,32 +107,57 @@ def subsequence_kernel(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return lam2 * (hit * prime[:n, :m]).sum((0, 1))
 
 
+def subsequences(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The places of all subsequences of N characters in a string of n, and LAMBDA to the power of what each spans."""
+    if n not in _places:
+        at = np.array(list(combinations(range(n), N)), np.int64).reshape(-1, N)
+        _places[n] = at, (LAMBDA ** (at[:, -1] - at[:, 0] + 1)).astype(np.float32)
+    return _places[n]
+
+
+_places: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+
 class Landmarks:
-    """Landmark strings with what comparing with them needs."""
+    """Landmark strings with what comparing with them needs: for each of their subsequences, the landmarks that hold it and its weight there."""
 
     def __init__(self, words: list[str]):
-        self.words = words
-        self.width = max(map(len, words))
-        self.codes = _codes(words, self.width)
-        self.own = np.sqrt(subsequence_kernel(self.codes, self.codes)) + 1e-12
-        chars = sorted({c for w in words for c in w})
-        self.chars = np.array([ord(c) for c in chars], np.uint32)
-        self.masks = np.zeros((len(chars) + 1, len(words)), np.uint32)
+        self.words, self.direct = words, None
+        self.chars = np.array(sorted({ord(c) for w in words for c in w}), np.uint32)
+        found: dict[tuple[int, int], float] = {}
         for k, w in enumerate(words):
-            for i, c in enumerate(w):
-                self.masks[chars.index(c) + 1, k] |= np.uint32(1 << i)
-        self.full = np.array([(1 << len(w)) - 1 for w in words], np.uint32)
-        self.least = np.array([math.ceil(COVER * len(w)) for w in words])
-
-    def common(self, codes: np.ndarray) -> np.ndarray:
-        """Longest common subsequences of each row with each landmark, bit-parallel."""
-        at = np.searchsorted(self.chars, codes)
-        at = np.where(self.chars[np.minimum(at, len(self.chars) - 1)] == codes, at + 1, 0)
-        v = np.full((len(codes), len(self.words)), 0xFFFFFFFF, np.uint32)
-        for i in range(codes.shape[1]):
-            u = v & self.masks[at[:, i]]
-            v = (v + u) | (v - u)
-        return np.bitwise_count(~v & self.full)
+            at, weight = subsequences(len(w))
+            for key, v in zip(self.keys(_codes([w], len(w)), at)[0].tolist(), weight.tolist()):
+                found[key, k] = found.get((key, k), 0.0) + v
+        self.known = np.array(sorted({key for key, _ in found}), np.int64)
+        entries = sorted(found)
+        rows = np.searchsorted(self.known, np.array([key for key, _ in entries], np.int64))
+        self.column = np.array([k for _, k in entries], np.int64)
+        self.value = np.array([found[e] for e in entries], np.float32)
+        self.start = np.searchsorted(rows, np.arange(len(self.known) + 1))
+        self.own = np.sqrt(np.bincount(self.column, self.value.astype(float) ** 2, len(words))) + 1e-12
+
+    def keys(self, codes: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """A number for each subsequence of each row; characters that are in no landmark all count as one more."""
+        i = np.searchsorted(self.chars, codes)
+        i = np.where(self.chars[np.minimum(i, len(self.chars) - 1)] == codes, i + 1, 0).astype(np.int32 if len(self.chars) < 1200 else np.int64)
+        out = i[:, at[:, 0]]
+        for j in range(1, N):
+            out = out * (len(self.chars) + 1) + i[:, at[:, j]]
+        return out
+
+    def rows(self, keys: np.ndarray) -> np.ndarray:
+        """The row of each key in the table, -1 if it has none."""
+        if len(self.chars) < DIRECT:
+            if self.direct is None:
+                self.direct = np.full((len(self.chars) + 1) ** N, -1, np.int32)
+                self.direct[self.known] = np.arange(len(self.known))
+            return self.direct[keys]
+        row = np.minimum(np.searchsorted(self.known, keys), len(self.known) - 1)
+        return np.where(self.known[row] == keys, row, -1)
+
+    def __getstate__(self) -> dict:
+        return {**self.__dict__, "direct": None}
 
     def kernel(self, strings: list[str]) -> np.ndarray:
         """Normalised kernel of each string with each landmark."""
@@ -133,17 +166,29 @@ class Landmarks:
         for i, s in enumerate(strings):
             by_length.setdefault(len(s), []).append(i)
         for n, where in by_length.items():
-            for lo in range(0, len(where), 4096):
-                idx = np.array(where[lo:lo + 4096])
+            at, weight = subsequences(n)
+            if not len(at) or not len(self.known):
+                continue
+            step = max(1, AT_ONCE // len(at))
+            for lo in range(0, len(where), step):
+                idx = np.array(where[lo:lo + step])
                 codes = _codes([strings[i] for i in idx], n)
-                r, k = np.nonzero(self.common(codes) >= self.least)
+                row = self.rows(self.keys(codes, at))
+                r, c = np.nonzero(row >= 0)
                 if not len(r):
                     continue
-                used, back = np.unique(r, return_inverse=True)
-                own = np.sqrt(subsequence_kernel(codes[used], codes[used])) + 1e-12
-                for b in range(0, len(r), 4096):
-                    rr, kk = r[b:b + 4096], k[b:b + 4096]
-                    out[idx[rr], kk] = (subsequence_kernel(codes[rr], self.codes[kk]) / (own[back[b:b + 4096]] * self.own[kk])) ** POWER
+                row = row[r, c]
+                n_each = self.start[row + 1] - self.start[row]
+                ends = np.cumsum(n_each)
+                entry = np.arange(ends[-1]) + np.repeat(self.start[row] - ends + n_each, n_each)
+                cell = np.repeat(r * len(self.words), n_each) + self.column[entry]
+                raw = np.bincount(cell, np.repeat(weight[c], n_each) * self.value[entry], len(idx) * len(self.words)).reshape(len(idx), -1)
+                own = np.sqrt(subsequence_kernel(codes, codes)) + 1e-12
+                one = raw / (own[:, None] * self.own)
+                whole = one.copy()
+                for _ in range(POWER - 1):
+                    whole *= one
+                out[idx] = whole
         return out
 
 
@@ -200,7 +245,7 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.a * self.margins(texts) + self.b, -30, 30)))
 
 
-def telling(docs: list[set[str]], y: np.ndarray, least: float = 1.5) -> list[str]:
+def telling(docs: list[set[str]], y: np.ndarray, least: float = 0.75) -> list[str]:
     """Words of toxic documents that clean ones hardly have, the most telling first.
 
     Each word found halves what the documents that hold it still count, so that the other words of a text with many copies don't follow."""
@@ -241,14 +286,21 @@ def gapped(word: str, rng: np.random.Generator) -> str:
 def newton_svm(x: np.ndarray, t: np.ndarray, weight: np.ndarray, reg: float = REG, rounds: int = 50) -> np.ndarray:
     """The linear machine of least squared hinge loss: Newton steps in the primal until the support vectors stay the same."""
     w, support = np.zeros(x.shape[1]), None
+    margin = lambda v: np.concatenate([x[i:i + 8192] @ v for i in range(0, len(x), 8192)])  # noqa: E731  (no second copy of x)
     for _ in range(rounds):
-        now = t * (x @ w) < 1
+        now = t * margin(w) < 1
         if support is not None and (now == support).all():
             break
         support = now
-        xs = x[now] * weight[now, None]
-        new = np.linalg.solve(x[now].T @ xs + reg * np.eye(x.shape[1]), xs.T @ t[now])
-        loss = lambda v: (weight * np.maximum(0, 1 - t * (x @ v)) ** 2).sum() + reg * v @ v
+        gram, side = reg * np.eye(x.shape[1]), np.zeros(x.shape[1])
+        for i in range(0, len(x), 8192):
+            on = now[i:i + 8192]
+            xs = x[i:i + 8192][on].astype(float)
+            xw = xs * weight[i:i + 8192][on, None]
+            gram += xs.T @ xw
+            side += xw.T @ t[i:i + 8192][on]
+        new = np.linalg.solve(gram, side)
+        loss = lambda v: (weight * np.maximum(0, 1 - t * margin(v)) ** 2).sum() + reg * v @ v
         rate = 1.0
         while rate > 1e-3 and loss(w + rate * (new - w)) > loss(w) + 1e-15:
             rate /= 2
@@ -271,17 +323,16 @@ def train(texts: list[str], labels: list[int], seed: int = 3) -> Model:
     clues = telling([words[i] for i in fit], y[fit])
     if not clues:
         return none
-    # landmarks: telling words unlike each other, then frequent clean words
-    chosen: list[str] = []
-    marks = Landmarks([w for w in clues if len(w) <= LONGEST][:400])
-    k = marks.kernel(marks.words)
+    # landmarks: telling words unlike each other until none is left without one, then frequent clean words
+    marks = Landmarks(clues)
+    k = marks.kernel(clues)
     taken: list[int] = []
-    for i in range(len(marks.words)):
-        if len(taken) < LANDMARKS * 3 // 4 and all(k[i, j] < 0.8 for j in taken):
+    for i in range(len(clues)):
+        if not taken or k[i, taken].max() < LIKE:
             taken.append(i)
-    chosen = [marks.words[i] for i in taken]
+    chosen = [clues[i] for i in taken]
     clean = Counter(u for i in fit if not y[i] for u in words[i] if 3 < len(u) <= LONGEST)
-    chosen += [w for w, _ in sorted(clean.items(), key=lambda x: (-x[1], x[0])) if w not in chosen][:LANDMARKS - len(chosen)]
+    chosen += [w for w, _ in sorted(clean.items(), key=lambda x: (-x[1], x[0])) if w not in chosen][:max(CLEAN_LANDMARKS, len(chosen) // 3)]
     marks = Landmarks(chosen)
     gram = marks.kernel(chosen).astype(float)
     gram = (gram + gram.T) / 2
@@ -296,12 +347,11 @@ def train(texts: list[str], labels: list[int], seed: int = 3) -> Model:
     neg = sorted((u for u in cold if u not in hot), key=lambda u: (-cold[u], u))[:UNITS]  # a bound on what the driver trains with
     del docs, words
     x = np.concatenate([marks.kernel(pos), marks.kernel(neg)]) @ root.astype(np.float32)
-    near = np.linalg.norm(x, axis=1) > 0  # a unit like no landmark has no features: only the bias speaks of it
     t = np.concatenate([np.ones(len(pos)), -np.ones(len(neg))])
     often = np.sqrt([*hot.values(), *[hot[u] / 2 for u in hot for _ in range(4)], *[cold[u] for u in neg]])
     weight = np.where(t > 0, often / often[:len(pos)].sum(), often / max(1.0, often[len(pos):].sum()))
-    x, t, weight = np.column_stack([x[near], np.ones(int(near.sum()))]), t[near], weight[near]
-    x, t, weight = np.vstack([x, np.eye(1, x.shape[1], x.shape[1] - 1)]), np.append(t, -1.0), np.append(weight, 1.0)
+    x = np.column_stack([x, np.ones(len(x), np.float32)])
+    x, t, weight = np.vstack([x, np.eye(1, x.shape[1], x.shape[1] - 1, dtype=np.float32)]), np.append(t, -1.0), np.append(weight, 1.0)
     w = newton_svm(x, t, weight)
     w, b = w[:-1], w[-1]
     model = Model(marks, (root @ w).astype(np.float32), float(b), 1.0, 0.0)

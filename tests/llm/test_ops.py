@@ -303,3 +303,23 @@ def test_kernel_counts_subsequences():
     for s, t in (("cat", "cart"), ("abcab", "bacab"), ("idiot", "idxiot")):
         got = toxicity.subsequence_kernel(toxicity._codes([s], len(s)), toxicity._codes([t], len(t)))[0]
         assert abs(got - brute(s, t)) < 1e-5
+
+
+def test_kernel_is_whole():
+    words, marks = ["idioten", "idiot", "tidings", "ab", "gärten"], ["idiotisch", "scumbag", "garten"]
+    got = toxicity.Landmarks(marks).kernel(words)
+    raw = lambda s, t: float(toxicity.subsequence_kernel(toxicity._codes([s], len(s)), toxicity._codes([t], len(t)))[0])
+    for i, s in enumerate(words):
+        for j, t in enumerate(marks):
+            want = (raw(s, t) / (raw(s, s) * raw(t, t)) ** 0.5) ** toxicity.POWER if len(s) > 2 else 0
+            assert abs(got[i, j] - want) < 1e-5
+    assert got[0, 0] > 0  # it covers little of the landmark
+
+
+def test_toxicity_learns_every_clue():
+    rng = random.Random(8)
+    plain = [" ".join(rng.choice(WORDS).replace("w", "wor") for _ in range(40)) for _ in range(600)]
+    insults = ["".join(rng.sample("abcdefghijklmnopqstuvxyz", 8)) for _ in range(70)]
+    bad = [" ".join([*c.split()[1:], insults[i // 5]]) for i, c in enumerate(plain[:350])]
+    model = toxicity.train(plain[350:] + bad, [0] * 250 + [1] * 350)
+    assert (model.scores(["you " + w for w in insults]) >= 0.5).all() and (model.scores(plain[:350]) < 0.5).mean() > 0.99

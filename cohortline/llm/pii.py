@@ -103,7 +103,7 @@ DIGITS = {
 #: Words for signs between spelled digits.
 BETWEEN = {"plus": "+", "más": "+", "dot": ".", "point": ".", "punkt": ".", "punto": ".", "dash": "-", "hyphen": "-"}
 AT, DOT = r"(?:at|arroba|arobase|ät)", r"(?:dot|punkt|point|punto)"
-#: Last labels that a spaced at/dot disguise must end in; prose has "at ... dot ..." too.
+#: Last labels that make a spaced at/dot disguise anywhere; prose has "at ... dot ..." too, so others need more around them.
 ENDINGS = "com|org|net|edu|gov|info|biz|io|co|uk|de|fr|es|it|eu|us|ca|at|ch|nl|me|dev|app|test|example|invalid"
 
 _MARKS = "".join(LOOKALIKES) + INVISIBLE + "".join(SIGNS)
@@ -114,9 +114,16 @@ _MARK = re.compile("[" + "".join(map(re.escape, _ONE)) + "]")
 _WORDS = "|".join(sorted({*DIGITS, *BETWEEN}, key=len, reverse=True))
 _SPELLED = re.compile(rf"(?<![^\W_])(?:(?:{_WORDS}|[0-9]+)(?:[\s,]+|[ ]?-[ ]?)){{6,}}(?:{'|'.join(sorted(DIGITS, key=len, reverse=True))}|[0-9]+)(?![^\W_])", re.I)
 _SPELLED_WORD = re.compile(rf"{_WORDS}|[0-9]+", re.I)
-_MAY_SPELL = re.compile(r"(?:\b(?:zero|oh|one|two|three|four|five|six|seven|eight|nine|null|eins|zwei|zwo|drei|vier|fünf|sechs|sieben|acht|neun|zéro|un|deux|trois|quatre|cinq|sept|huit|neuf|cero|uno|dos|tres|cuatro|cinco|seis|siete|ocho|nueve)\b[\s,-]+){2}", re.I)
 _BRACKET = re.compile(rf"\s*[\[({{<]\s*(?:({AT}|@)|({DOT}|\.))\s*[\])}}>]\s*", re.I)
 _SPACED = re.compile(rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9_%+-]+(?:(?:\.|\s+{DOT}\s+)[A-Za-z0-9_%+-]+)*\s+{AT}\s+[A-Za-z0-9-]+(?:(?:\.|\s+{DOT}\s+)[A-Za-z0-9-]+)*(?:\.|\s+{DOT}\s+)(?:{ENDINGS})\b", re.I)
+_SPACED_ANY = re.compile(rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9_%+-]+(?:(?:\.|\s+{DOT}\s+)[A-Za-z0-9_%+-]+)*\s+{AT}\s+([A-Za-z0-9-]+)(?:(?:\.|\s+{DOT}\s+)[A-Za-z0-9-]+)*(\.|\s+{DOT}\s+)([A-Za-z]{{2,}})(?![A-Za-z0-9-])", re.I)
+#: A word for mail shortly before lets any ending count.
+_CONTACT = re.compile(r"\b(?:e-?mails?|mailto|mail|contact|write|reach|schreib\w*|kontakt\w*|adresse|correo|escrib\w*|contacto|courriel|écri\w*|contacte\w*)\b", re.I)
+#: Without one, an ending of two letters counts after a spelled dot, unless these words make it prose.
+_PROSE_LABEL = frozenset("a an the this that these those each every any some one no its his her their our my your der die das den dem ein eine einem le la les un une el los las una".split())
+_PROSE_END = frozenset("an as be by do he if in is it my no of on or so to up us we am da du er es im in um wo zu ob et en el la le ne on ou se te tu un al lo mi si su ya yo".split())
+_HALF = re.compile(rf"(?<=[A-Za-z0-9._%+-])@[A-Za-z0-9-]+(?:\s+{DOT}\s+[A-Za-z0-9-]+)*\s+{DOT}\s+[A-Za-z]{{2,}}(?![A-Za-z0-9-])|(?<=[A-Za-z0-9._%+-])@[A-Za-z0-9-]+(?:(?:\.|\s+{DOT}\s+)[A-Za-z0-9-]+)*\s+{DOT}\s+(?:{ENDINGS})\b", re.I)
+_DOT_SIGN = re.compile(rf"\s+{DOT}\s+", re.I)
 _SPACED_SIGN = re.compile(rf"\s+({AT}|{DOT})\s+", re.I)
 _MAY_SPACE = re.compile(rf"\s{AT}\s+\S+(?:\s+{DOT}\s|\.[A-Za-z])", re.I)
 
@@ -169,6 +176,20 @@ class Normal:
         return new if new.out else Normal("")
 
 
+def spaced(s: str) -> list[re.Match]:
+    """Spaced at/dot disguises in order: those with a known ending, then others that what is around them makes likely."""
+    found = list(_SPACED.finditer(s))
+    starts, ends = [m.start() for m in found], [m.end() for m in found]
+    for m in _SPACED_ANY.finditer(s):
+        i = bisect.bisect_left(starts, m.end())
+        if i and ends[i - 1] > m.start():
+            continue
+        spelled_end = not m[2].startswith(".") and len(m[3]) == 2 and m[3].lower() not in _PROSE_END
+        if m[1].lower() not in _PROSE_LABEL and (spelled_end or _CONTACT.search(s, max(0, m.start() - 40), m.start())):
+            found.append(m)
+    return sorted(found, key=lambda m: m.start())
+
+
 def normalised(t: str) -> Normal | None:
     """The text without disguises; None if it has none."""
     plain = t.isascii()
@@ -180,20 +201,21 @@ def normalised(t: str) -> Normal | None:
     now = now.rewrite(edits)
     s, edits = now.text, []
     if _MAY_SPACE.search(s):
-        for m in _SPACED.finditer(s):
+        for m in spaced(s):
             for w in _SPACED_SIGN.finditer(s, m.start(), m.end()):
                 edits.append((w.start(), w.end(), "." if re.fullmatch(DOT, w[1], re.I) else "@"))
     now = now.rewrite(edits)
+    s = now.text
+    now = now.rewrite([(w.start(), w.end(), ".") for m in _HALF.finditer(s) for w in _DOT_SIGN.finditer(s, m.start(), m.end())] if "@" in s else [])
     s, edits = now.text, []
-    if _MAY_SPELL.search(s):
-        for m in _SPELLED.finditer(s):
-            at = m.start()
-            for w in _SPELLED_WORD.finditer(s, m.start(), m.end()):
-                if at < w.start() and at > m.start():
-                    edits.append((at, w.start(), ""))
-                word = w.group().lower()
-                edits.append((w.start(), w.end(), DIGITS.get(word) or BETWEEN.get(word) or word))
-                at = w.end()
+    for m in _SPELLED.finditer(s):
+        at = m.start()
+        for w in _SPELLED_WORD.finditer(s, m.start(), m.end()):
+            if at < w.start() and at > m.start():
+                edits.append((at, w.start(), ""))
+            word = w.group().lower()
+            edits.append((w.start(), w.end(), DIGITS.get(word) or BETWEEN.get(word) or word))
+            at = w.end()
     now = now.rewrite(edits)
     return None if now.text == t else now
 

@@ -323,3 +323,19 @@ def test_toxicity_learns_every_clue():
     bad = [" ".join([*c.split()[1:], insults[i // 5]]) for i, c in enumerate(plain[:350])]
     model = toxicity.train(plain[350:] + bad, [0] * 250 + [1] * 350)
     assert (model.scores(["you " + w for w in insults]) >= 0.5).all() and (model.scores(plain[:350]) < 0.5).mean() > 0.99
+
+
+@pytest.mark.parametrize("text,kind,span", [
+    ("host 192 dot 168 dot 1 dot 25 up", "ip", "192 dot 168 dot 1 dot 25"), ("at one dot two dot three dot four", "ip", "one dot two dot three dot four"),
+    ("127 dot zero dot zero dot one", "ip", "127 dot zero dot zero dot one"), ("plus 49 30 1 2 3 4 5 6 7", "phone", "plus 49 30 1 2 3 4 5 6 7"),
+    ("x 4 one 1 one 1 one 1 one 1 one 1 one 1 one 1 one", "card", "4 one 1 one 1 one 1 one 1 one 1 one 1 one 1 one"),
+    ("so anna at firma dot pl says", "email", "anna at firma dot pl"), ("anna at firma dot ai", "email", "anna at firma dot ai"), ("mail to anna at firma.museum", "email", "anna at firma.museum"),
+    ("john [at] example dot com", "email", "john [at] example dot com"), ("or john@mail dot example dot studio", "email", "john@mail dot example dot studio")])
+def test_pii_disguises_on_their_own(text, kind, span):
+    assert (kind, span) in [(k, text[a:b]) for k, a, b in pii.spans(text)[1]]
+    assert span not in pii.redact(text)
+
+
+def test_pii_prose_stays():
+    for t in ("look at the dot in the middle", "look at the dot product", "he is at home.now go", "stand at point dot to the left", "192 dot 168 dot 1", "one dot two"):
+        assert pii.spans(t) == ([], []), t

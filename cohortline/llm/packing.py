@@ -9,8 +9,11 @@ patterns at most, at any number of documents. A piece finds its bin from its ran
 Defined results: a null or empty text is one piece, the end id alone; ids may repeat; an empty table gives no pieces.
 """
 
+import json
+import re
 import zlib
 from collections import Counter
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -92,6 +95,25 @@ def placing(patterns: list[tuple[int, list[int]]]) -> tuple[dict[int, tuple], in
     return {k: tuple(np.array(v, np.int64).T) for k, v in table.items()}, base
 
 
+@lru_cache(maxsize=2)
+def added_tokens(path: str) -> tuple[dict[str, int], re.Pattern | None]:
+    """The added tokens of the tokenizer file beside a rank file, and a pattern of them, longest first."""
+    with open(path.removesuffix(".tiktoken") + ".json", encoding="utf-8") as f:
+        added = json.load(f)["added_tokens"]
+    if any(t[k] for t in added for k in ("single_word", "lstrip", "rstrip")):
+        raise ValueError("added tokens that depend on what is around them are not read")
+    ids = {t["content"]: t["id"] for t in added}
+    return ids, re.compile("(" + "|".join(map(re.escape, sorted(ids, key=len, reverse=True))) + ")") if ids else None
+
+
+def token_ids(text: str, path: str) -> list[int]:
+    """The ids that the tokenizer file gives: added tokens in the text are one id each, what is between them is encoded by itself."""
+    ids, every = added_tokens(path)
+    if every is None or not every.search(text):
+        return encode(text, path)
+    return [i for part in every.split(text) if part for i in ([ids[part]] if part in ids else encode(part, path))]
+
+
 def tokenised(docs: DataFrame, path: str, text_col: str = "text", capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
     """The pieces of every document: doc_id, piece, start, length, ids_crc32, and part, turn: its place among the pieces of its length in its task."""
 
@@ -101,7 +123,7 @@ def tokenised(docs: DataFrame, path: str, text_col: str = "text", capacity: int
             for b in pieces(batch):
                 rows = []
                 for doc, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                    ids = np.asarray([*encode(t, path), end_id], "<u4")
+                    ids = np.asarray([*token_ids(t, path), end_id], "<u4")
                     first = len(ids) % capacity or capacity
                     at, p = 0, 0
                     while at < len(ids):

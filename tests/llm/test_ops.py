@@ -339,3 +339,16 @@ def test_pii_disguises_on_their_own(text, kind, span):
 def test_pii_prose_stays():
     for t in ("look at the dot in the middle", "look at the dot product", "he is at home.now go", "stand at point dot to the left", "192 dot 168 dot 1", "one dot two"):
         assert pii.spans(t) == ([], []), t
+
+
+def test_packing_reads_added_tokens(spark):
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = ["hi <|endoftext|> x", "<|endoftext|><|endoftext|>", "a  <|endoftext|>\n b<|endoftext|", "plain", "", "<|endoftext|>" * 1500 + " é"]
+    want = []
+    for i, t in enumerate(texts):
+        ids = np.array([*tok.encode(t, add_special_tokens=False).ids, 2], "<u4")
+        cut = [0, *range(len(ids) % 1024 or 1024, len(ids) + 1, 1024)]
+        want += [(i, p, a, b - a, zlib.crc32(ids[a:b].tobytes())) for p, (a, b) in enumerate(zip(cut, cut[1:]))]
+    assert sorted(tuple(r)[:5] for r in packing.pack(frame(spark, list(enumerate(texts))), RANKS).collect()) == sorted(want)

@@ -10,6 +10,11 @@ def text(c: Column) -> Column:
     return F.coalesce(c.cast("string"), F.lit(""))
 
 
+def stripped(c: Column) -> Column:
+    """Without white space of any kind at both ends."""
+    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+
+
 def tokens(c: Column, sep: str = ";") -> Column:
     """Trimmed tokens of a delimited string, empty ones dropped; null stays null."""
     return F.filter(F.transform(F.split(c, sep), lambda t: F.trim(t)), lambda t: t != "")
@@ -69,10 +74,20 @@ def months_before(d: Column, months: int) -> Column:
 
 #: Registry statuses and the operational label of each (fixed values); anything else is unknown.
 STATUS_LABEL = {
-    "completed": "completed", "terminated": "terminated", "withdrawn": "withdrawn", "suspended": "suspended",
-    "active not recruiting": "active_not_recruiting", "enrolling by invitation": "enrolling_by_invitation", "recruiting": "recruiting",
-    "not yet recruiting": "not_yet_recruiting", "available": "unknown", "no longer available": "unknown", "withheld": "unknown",
-    "unknown": "unknown", "temporarily not available": "suspended", "approved for marketing": "completed",
+    "completed": "completed",
+    "terminated": "terminated",
+    "withdrawn": "withdrawn",
+    "suspended": "suspended",
+    "active not recruiting": "active_not_recruiting",
+    "enrolling by invitation": "enrolling_by_invitation",
+    "recruiting": "recruiting",
+    "not yet recruiting": "not_yet_recruiting",
+    "available": "unknown",
+    "no longer available": "unknown",
+    "temporarily not available": "suspended",
+    "approved for marketing": "completed",
+    "withheld": "unknown",
+    "unknown": "unknown",
 }
 
 

@@ -55,7 +55,7 @@ def fuzzy_match(a: Column, b: Column, threshold: float = 0.85) -> Column:
     def slow(x: pd.Series, y: pd.Series) -> pd.Series:
         return pd.Series([matches(p or "", q or "", threshold) for p, q in zip(x, y)], dtype="bool")
 
-    return slow(a, b)
+    return slow.asNondeterministic()(a, b)  # it is not: this keeps the optimizer from moving it into a join's condition, where Python cannot run
 
 
 def effective_tokens(c: Column) -> Column:
@@ -69,3 +69,12 @@ def exact_match(a: Column, b: Column) -> Column:
     """Equal strings or a shared effective token: what the fuzzy match surely accepts, JVM-side."""
     x, y = text(a), text(b)
     return (x != "") & (y != "") & ((F.lower(x) == F.lower(y)) | F.arrays_overlap(effective_tokens(a), effective_tokens(b)))
+
+
+def may_match(a: Column, b: Column, threshold: float = 0.85) -> Column:
+    """Whether lengths allow a match: a ratio is at most twice the shorter length over both. JVM-side, no pair of names is refused that could reach it."""
+    x, y = F.lower(text(a)), F.lower(text(b))
+    fits = lambda p, q: 2.0 * F.least(p, q) + 1e-6 >= F.lit(threshold) * (p + q)
+    lengths = lambda c: F.array_distinct(F.transform(effective_tokens(c), F.length))
+    tokens = F.exists(lengths(a), lambda p: F.exists(lengths(b), lambda q: fits(p, q)))
+    return (x != "") & (y != "") & (fits(F.length(x), F.length(y)) | tokens)

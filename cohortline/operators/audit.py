@@ -10,6 +10,19 @@ BUCKETS = {
     "censored_early_negative": "edge (censored_early_negative)", "excluded_other": "edge (excluded)",
 }
 
+#: Columns of a review, in order (fixed values).
+REVIEW_COLUMNS = [
+    "nct_id", "label_value", "label_confidence", "evidence_source", "notes", "event_label", "event_category", "event_observed", "event_detail", "evidence_nct_id",
+    "successor_phase", "temporal_gap_months", "condition_overlap", "intervention_similarity", "lifecycle_flag", "broad_basket_flag", "supportive_flag", "common_asset_flag",
+    "brief_title", "phases", "overall_status", "lead_sponsor", "intervention_names", "conditions", "primary_purpose", "first_post_date", "start_date",
+    "primary_completion_date", "completion_date", "enrollment", "n_locations", "why_stopped", "url",
+]
+
+
+def distribution(labels: DataFrame, column: str) -> DataFrame:
+    """(value, n), the most frequent first; a missing value is counted too."""
+    return labels.groupBy(F.col(column).alias("value")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "value")
+
 
 def targets(n_positive: int = 50, n_negative: int = 50, n_edge: int = 25) -> dict[str, int]:
     third = n_negative // 3

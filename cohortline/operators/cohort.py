@@ -1,5 +1,6 @@
 """Cohort filters with a reason for every exclusion, in one pass over the studies."""
 
+import hashlib
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -137,8 +138,14 @@ def date_range(df: DataFrame, column: str = "start_date", first: str | None = "2
 
 
 def content_hash(df: DataFrame, key: str = "nct_id") -> DataFrame:
-    """The first 12 hex digits of the sha256 of the sorted ids joined by commas: of the id column alone, which one row must hold."""
-    return df.agg(F.substring(F.sha2(F.array_join(F.array_sort(F.collect_list(key)), ","), 256), 1, 12).alias("content_hash"), F.count(F.lit(1)).alias("n"))
+    """The first 12 hex digits of the sha256 of the sorted ids joined by commas, and their number.
+
+    The hash is a chain over all ids in order: they are sorted by the cluster and stream through the driver, one partition of ids at a time."""
+    chain, n = hashlib.sha256(), 0
+    for r in df.select(F.col(key).cast("string")).where(F.col(key).isNotNull()).sort(key).toLocalIterator():
+        chain.update(("," if n else "").encode() + r[0].encode())
+        n += 1
+    return df.sparkSession.createDataFrame([(chain.hexdigest()[:12], n)], "content_hash string, n long")
 
 
 def summarize(df: DataFrame) -> dict:
@@ -150,3 +157,10 @@ def summarize(df: DataFrame) -> dict:
     if "has_results" in df.columns and "start_date" in df.columns:
         out["dates"] = date_range(df).first().asDict()
     return out
+
+
+def build_cohort(studies: DataFrame, config: CohortConfig = STANDARD) -> tuple[DataFrame, DataFrame, dict]:
+    """(cohort, exclusion log, metadata): filters, hash of the ids, counts and summary."""
+    kept, out = apply_filters(studies, config)
+    h = content_hash(kept).first()
+    return kept, out, {"config": vars(config), "content_hash": h["content_hash"], "n_kept": h["n"], "n_excluded": out.count(), "summary": summarize(kept)}

@@ -4,7 +4,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortline.functions import text_rules
-from cohortline.functions.scalars import followup_months, lower_tokens, operational_confidence, operational_label, registry_id, shown, text
+from cohortline.functions.scalars import followup_months, lower_tokens, operational_confidence, operational_label, registry_id, shown, stripped, text
 from cohortline.operators import linkage
 
 TASK_OF_TYPE = {"development": "phase2_to_phase3_v1", "operational": "operational_status_v1"}
@@ -46,7 +46,7 @@ def eligibility(cohort: DataFrame) -> DataFrame:
     rest = F.regexp_replace(phases, "^(.*?)PHASE2", "$1")
     title = text_rules.title_exclusion(F.col("brief_title"))
     reason = (F.when((phases != "PHASE2") & phases.contains("PHASE2") & rest.contains("PHASE"), "excluded_mixed_phase").when(phases != "PHASE2", "excluded_wrong_phase")
-              .when(purpose.isin(text_rules.NON_TREATMENT), "excluded_non_treatment_purpose").when(title.isNotNull(), F.concat(F.lit("excluded_nonprogression_design_"), title)))
+              .when(purpose.isin(text_rules.NON_TREATMENT), "excluded_non_treatment_purpose").when(title.isNotNull(), F.concat(F.lit("excluded_"), title)))
     category = (F.when(status.isin("COMPLETED", "TERMINATED", "WITHDRAWN"), "terminal")
                 .when(status.isin("ACTIVE_NOT_RECRUITING", "RECRUITING", "NOT_YET_RECRUITING", "ENROLLING_BY_INVITATION"), "in_progress")
                 .when(status == "SUSPENDED", "conditional").otherwise("other"))
@@ -72,7 +72,7 @@ def development(cohort: DataFrame, studies: DataFrame, window_months: int = link
     positive = text_rules.positive_terminal(c("why_stopped"))
     anchors = state.where(c("eligible") & (c("status_category") != "in_progress") & ~positive)
     first = linkage.first_successor(linkage.successor_pairs(anchors, studies, window_months, threshold, fuzzy))
-    first = linkage.with_similarity(first) if fuzzy else first.withColumn("intervention_similarity", F.lit(None).cast("double"))
+    first = linkage.with_similarity(first)
     common = common_assets(cohort, studies).withColumn("asset", F.lit(True))
     rows = state.join(first, "nct_id", "left").join(common, "nct_id", "left")
     stopped = F.upper(text(c("overall_status"))).isin("TERMINATED", "WITHDRAWN")
@@ -91,11 +91,11 @@ def development(cohort: DataFrame, studies: DataFrame, window_months: int = link
         F.when(b == "ineligible", "n/a").when(b == "in_progress", "low").when(b == "positive", "medium").when(b == "advanced", "high")
         .when(b == "stopped", c("neg.confidence")).otherwise("medium").alias("label_confidence"),
         F.when(b == "ineligible", "dev_eligibility_filter").when(b == "in_progress", F.concat(F.lit("status="), shown(c("overall_status"))))
-        .when(b == "positive", F.concat(F.lit("positive_stop: "), F.substring(F.trim(c("why_stopped")), 1, 100)))
+        .when(b == "positive", F.concat(F.lit("positive_stop: "), F.substring(stripped(c("why_stopped")), 1, 100)))
         .when(b == "advanced", F.concat(F.lit("successor="), c("successor_id"), F.lit(", phase="), c("successor_phase"), F.lit(", sponsor="), c("successor_sponsor")))
         .when(b == "stopped", c("neg.evidence")).otherwise("no successor trial found").alias("evidence_source"),
-        F.when(b == "ineligible", F.lit(None)).when(b == "in_progress", "Ongoing trial, not yet terminal").when(b == "positive", "Stopped with a positive outcome: neither positive nor negative")
-        .when(b == "advanced", F.concat(c("n_successors").cast("string"), F.lit(" successor(s) found; gap="), c("temporal_gap_months").cast("string"), F.lit("mo, cond_overlap="), c("condition_overlap").cast("string")))
+        F.when(b == "ineligible", F.lit(None)).when(b == "in_progress", "Ongoing trial, not yet terminal").when(b == "positive", "Terminated with positive outcome — neither positive nor negative for modeling")
+        .when(b == "advanced", F.concat(c("n_successors").cast("string"), F.lit(" successor(s) found; gap="), c("temporal_gap_months").cast("string"), F.lit("mo, cond_overlap="), c("condition_overlap").cast("string"), F.lit(", interv_sim="), c("intervention_similarity").cast("string")))
         .when(b == "stopped", F.concat(F.lit("why_stopped: "), shown(c("why_stopped")))).otherwise(F.concat(F.lit("diagnostic_flags: "), F.when(shown_flags == "", "none").otherwise(shown_flags))).alias("notes"),
         *[F.when(b == "advanced", c(k)).alias(k) for k in ("successor_phase", "temporal_gap_months", "condition_overlap", "intervention_similarity")], *FLAGS)
 
@@ -154,9 +154,9 @@ def with_events(labels: DataFrame) -> DataFrame:
     }).drop("__e")
 
 
-def build(cohort: DataFrame, studies: DataFrame, reference: Column, least_months: int = 36, fuzzy: bool = True, **how) -> DataFrame:
-    """All labels of a cohort, long: legacy columns, event columns, then the rest."""
-    dev = censor(development(cohort, studies, fuzzy=fuzzy, **how), cohort, reference, least_months)
+def build(cohort: DataFrame, studies: DataFrame, reference: Column, least_months: int = 36, fuzzy: bool = True, dev: DataFrame | None = None, **how) -> DataFrame:
+    """All labels of a cohort, long: legacy columns, event columns, then the rest. `dev`: uncensored development labels, if a stage before has made them."""
+    dev = censor(development(cohort, studies, fuzzy=fuzzy, **how) if dev is None else dev, cohort, reference, least_months)
     both = with_events(with_task(operational(cohort, reference.cast("string")).unionByName(dev, allowMissingColumns=True)))
     first = [*LEGACY_COLUMNS, *EVENT_COLUMNS]
     return both.select(*first, *[x for x in both.columns if x not in first])
@@ -181,13 +181,65 @@ def wide(labels: DataFrame) -> DataFrame:
     return labels.groupBy("nct_id").pivot("label_type", ["development", "operational"]).agg(F.first("label_value", ignorenulls=True).alias("value"), F.first("label_confidence", ignorenulls=True).alias("confidence"))
 
 
+#: Negative label values of the nested benchmarks (fixed values).
+NESTED = {"strict": ["hard_negative"], "intermediate": ["hard_negative", "ambiguous_negative"], "broad": ["hard_negative", "ambiguous_negative", "soft_negative"]}
+
+
 def benchmark_sizes(labels: DataFrame) -> DataFrame:
-    """Totals of the nested benchmarks among development rows, and flags of soft negatives."""
-    dev = labels.where("label_type = 'development'")
+    """Positives, negatives, their total and the rate of positives (4 digits; 0 of none) of the nested benchmarks among development rows: one pass."""
     v = F.col("label_value")
-    sets = {"strict": ["hard_negative"], "intermediate": ["hard_negative", "ambiguous_negative"], "broad": ["hard_negative", "ambiguous_negative", "soft_negative"]}
-    out = None
-    for name, neg in sets.items():
-        one = dev.agg(F.lit(name).alias("benchmark"), F.count_if(v == "advanced").alias("positives"), F.count_if(v.isin(neg)).alias("negatives"))
-        out = one if out is None else out.unionByName(one)
-    return out
+    one = labels.where("label_type = 'development'").agg(F.count_if(v == "advanced").alias("positives"), *[F.count_if(v.isin(neg)).alias(n) for n, neg in NESTED.items()])
+    rows = one.select(F.explode(F.array(*[F.struct(F.lit(n).alias("benchmark"), "positives", F.col(n).alias("negatives")) for n in NESTED])).alias("b")).select("b.*")
+    total = F.col("positives") + F.col("negatives")
+    return rows.withColumn("total", total).withColumn("positive_rate", F.when(total > 0, F.bround(F.col("positives") / total, 4)).otherwise(0.0))
+
+
+def soft_flag_counts(labels: DataFrame) -> DataFrame:
+    """How many soft negatives bear each diagnostic flag."""
+    soft = labels.where("label_type = 'development' and label_value = 'soft_negative'")
+    one = soft.agg(*[F.count_if(F.coalesce(F.col(f), F.lit(False))).alias(f) for f in FLAGS])
+    return one.select(F.explode(F.array(*[F.struct(F.lit(f).alias("flag"), F.col(f).alias("n")) for f in FLAGS])).alias("x")).select("x.*")
+
+
+def audit(labels: DataFrame, cohort_size: int | None = None) -> dict:
+    """What the label run holds, by type: counts of values, confidences, events and rule versions, benchmark sizes, flags, exclusions, duplicates.
+
+    All but the duplicates come from one table of counts, whose rows are combinations of the vocabularies."""
+    c, n = F.col, F.count(F.lit(1)).alias("n")
+    by = [x for x in ("label_type", "label_task", "label_value", "label_confidence", "event_label", "event_category", "event_rule_version") if x in labels.columns]
+    flags = [F.count_if(F.coalesce(c(f), F.lit(False))).alias(f) for f in FLAGS if f in labels.columns]
+    cells = [r.asDict() for r in labels.groupBy(*by).agg(n, *flags).collect()]
+
+    def spread(rows: list[dict], name: str) -> dict:
+        out: dict = {}
+        for r in rows:
+            out[r[name]] = out.get(r[name], 0) + r["n"]
+        return dict(sorted(out.items(), key=lambda kv: (-kv[1], str(kv[0]))))
+
+    out: dict = {"cohort_size": cohort_size, "total_label_records": sum(r["n"] for r in cells)}
+    if "label_task" in by:
+        out["label_tasks"] = spread(cells, "label_task")
+    out["label_types"] = {}
+    for kind in sorted({r["label_type"] for r in cells}):
+        rows = [r for r in cells if r["label_type"] == kind]
+        own = {"count": sum(r["n"] for r in rows), "distribution": spread(rows, "label_value"), "confidence_distribution": spread(rows, "label_confidence")}
+        if any(r.get("event_label") for r in rows):
+            own |= {"event_label_distribution": spread(rows, "event_label"), "event_category_distribution": spread(rows, "event_category"),
+                    "event_rule_version": sorted({r["event_rule_version"] for r in rows if r["event_rule_version"]})}
+        if kind == "development":
+            values = own["distribution"]
+            positives = values.get("advanced", 0)
+            ready = {}
+            for name, neg in NESTED.items():
+                negatives = sum(values.get(x, 0) for x in neg)
+                total = positives + negatives
+                ready[name] = {"total": total, "positives": positives, "negatives": negatives, "positive_rate": round(positives / total, 4) if total else 0}
+            own["modeling_ready"] = ready
+            own["soft_negative_flags"] = {f: sum(r[f] for r in rows if r["label_value"] == "soft_negative") for f in FLAGS if f in labels.columns}
+            excluded = {k: v for k, v in values.items() if str(k).startswith("excluded_")}
+            own["excluded_count"] = sum(excluded.values())
+            if excluded:
+                own["exclusion_reasons"] = excluded
+        out["label_types"][kind] = own
+    again = [f"{r['label_type']}: {r['n_duplicates']} duplicate nct_ids" for r in duplicates(labels).collect() if r["n_duplicates"]]
+    return out | ({"warnings": sorted(again)} if again else {})

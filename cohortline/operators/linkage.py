@@ -1,11 +1,12 @@
 """Linking a study to its successors: equality on sponsor, an interval on dates, overlap of sets and likeness of names.
 
-Sponsor and condition are the join key; rank and dates are residuals of the same join, so Catalyst prunes pairs inside it. Likeness that needs Python
-comes last, on survivors only, behind the JVM-side test that accepts what is surely alike. A key with a large share of all studies
-is split by AQE's skew join, as both sides are plain shuffles on it.
+The join is over narrow rows (ids, rank, dates): one a condition, by (sponsor, condition, bucket of the window's length), so neither texts nor arrays
+are shuffled once a condition, and a sponsor and condition that many studies share are dealt over time. A study is looked for in the
+two buckets that its window can reach. Pairs that share several conditions are made one; then names and conditions are fetched for the pairs alone.
+Names are compared in the JVM first: what is surely alike stays, what lengths rule out goes, and Python sees only the rest.
 """
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortline.functions import similarity
@@ -14,37 +15,56 @@ from cohortline.functions.scalars import DAYS_PER_MONTH, lower_tokens, months_be
 WINDOW_MONTHS, THRESHOLD = 36, 0.85
 
 
-def _side(studies: DataFrame, p: str) -> DataFrame:
+def _conditions(c: str = "conditions") -> Column:
+    return F.array_distinct(lower_tokens(F.col(c)))
+
+
+def _narrow(studies: DataFrame, p: str, day: Column) -> DataFrame:
+    """One row a study and condition: id, sponsor, rank, posting date and the day that the window is about."""
     c = F.col
-    return studies.select(
-        c("nct_id").alias(f"{p}_id"), c("lead_sponsor").alias(f"{p}_sponsor"), phase_rank(c("phases")).alias(f"{p}_rank"), c("phases").alias(f"{p}_phases"),
-        F.array_distinct(lower_tokens(c("conditions"))).alias(f"{p}_conditions"), c("intervention_names").alias(f"{p}_names"),
-        strict_date(c("first_post_date")).alias(f"{p}_posted"), strict_date(c("start_date")).alias(f"{p}_start"), c("start_date").alias(f"{p}_start_text"),
-        F.coalesce(strict_date(c("primary_completion_date")), strict_date(c("completion_date"))).alias(f"{p}_end"), c("ordinal").alias(f"{p}_ordinal"))
+    rows = studies.where(c("lead_sponsor").isNotNull()).select(
+        c("nct_id").alias(f"{p}_id"), c("lead_sponsor").alias("sponsor"), phase_rank(c("phases")).alias(f"{p}_rank"),
+        strict_date(c("first_post_date")).alias(f"{p}_posted"), day.alias(f"{p}_day"), _conditions().alias("conditions"))
+    rows = rows.where(c(f"{p}_rank").isNotNull() & c(f"{p}_day").isNotNull())
+    return rows.withColumn("key", F.explode("conditions")).drop("conditions")
+
+
+def candidates(anchors: DataFrame, studies: DataFrame, window_months: int = WINDOW_MONTHS) -> DataFrame:
+    """(a_id, s_id, gap_days) of studies with a sponsor and a condition in common, a later phase, a start in the window and no earlier posting; each pair once."""
+    c, days = F.col, int(window_months * DAYS_PER_MONTH)
+    end = F.coalesce(strict_date(c("primary_completion_date")), strict_date(c("completion_date")))
+    bucket = lambda d: F.floor(F.unix_date(d) / F.lit(days + 1))
+    a = _narrow(anchors, "a", end)
+    a = a.withColumn("bucket", F.explode(F.array(bucket(c("a_day")), bucket(c("a_day")) + 1)))
+    s = _narrow(studies, "s", strict_date(c("start_date"))).withColumn("bucket", bucket(c("s_day")))
+    gap = F.datediff("s_day", "a_day")
+    met = a.join(s, ["sponsor", "key", "bucket"]).where((c("a_id") != c("s_id")) & (c("s_rank") > c("a_rank")) & gap.between(0, days) & ~F.coalesce(c("s_posted") < c("a_posted"), F.lit(False)))
+    return met.select("a_id", "s_id", gap.alias("gap_days")).distinct()
 
 
 def successor_pairs(anchors: DataFrame, studies: DataFrame, window_months: int = WINDOW_MONTHS, threshold: float = THRESHOLD, fuzzy: bool = True) -> DataFrame:
     """All (anchor, successor) pairs with what they have in common. `ordinal` is the row order of the studies.
 
     fuzzy=False takes names as alike only when whole strings or effective tokens are equal."""
-    a, s = _side(anchors, "a").where("a_rank is not null and a_end is not null"), _side(studies, "s").where("s_rank is not null and s_start is not null")
-    gap = F.datediff("s_start", "a_end")
-    alike = similarity.exact_match(F.col("a_names"), F.col("s_names"))
-    # the overlap of conditions is part of the key: a pair is kept at the first condition it shares, so that it comes once and no distinct is needed
-    a, s = a.withColumn("a_key", F.explode("a_conditions")), s.withColumn("s_key", F.explode("s_conditions"))
-    on = ((F.col("a_sponsor") == F.col("s_sponsor")) & (F.col("a_key") == F.col("s_key")) & (F.col("a_id") != F.col("s_id")) & (F.col("s_rank") > F.col("a_rank"))
-          & gap.between(0, int(window_months * DAYS_PER_MONTH)) & ~F.coalesce(F.col("s_posted") < F.col("a_posted"), F.lit(False))
-          & (F.col("a_key") == F.array_min(F.array_intersect("a_conditions", "s_conditions"))))
-    pairs = a.join(s, on & alike if not fuzzy else on)
+    c = F.col
+    left = anchors.select(c("nct_id").alias("a_id"), c("intervention_names").alias("a_names"), _conditions().alias("a_conditions"))
+    right = studies.select(c("nct_id").alias("s_id"), c("intervention_names").alias("s_names"), _conditions().alias("s_conditions"), c("phases").alias("successor_phase"),
+                           c("lead_sponsor").alias("successor_sponsor"), c("start_date").alias("s_start_text"), c("ordinal").alias("successor_ordinal"))
+    pairs = candidates(anchors, studies, window_months).join(left, "a_id").join(right, "s_id")
+    sure = similarity.exact_match(c("a_names"), c("s_names"))
     if fuzzy:
-        sure = pairs.withColumn("__sure", alike)
-        names = F.when(F.col("__sure"), True).otherwise(similarity.fuzzy_match(text(F.col("a_names")), text(F.col("s_names")), threshold))
-        pairs = sure.where(F.col("__sure")).drop("__sure").unionByName(sure.where(~F.col("__sure")).where(names).drop("__sure"))
+        # one plan for both: pairs that need no Python go to it as nulls
+        ask = lambda name: F.when(~c("__sure") & c("__may"), text(c(name)))
+        pairs = pairs.withColumn("__sure", sure).withColumn("__may", similarity.may_match(c("a_names"), c("s_names"), threshold))
+        pairs = pairs.where(c("__sure") | c("__may")).withColumn("__alike", similarity.fuzzy_match(ask("a_names"), ask("s_names"), threshold))
+        pairs = pairs.where(c("__sure") | c("__alike")).drop("__sure", "__may", "__alike")
+    else:
+        pairs = pairs.where(sure)
     both, either = F.size(F.array_intersect("a_conditions", "s_conditions")), F.size(F.array_union("a_conditions", "s_conditions"))
     return pairs.select(
-        F.col("a_id").alias("nct_id"), F.col("s_id").alias("successor_id"), F.col("s_phases").alias("successor_phase"), gap.alias("gap_days"),
-        months_between_days(gap).alias("temporal_gap_months"), F.bround(both / F.greatest(either, F.lit(1)), 3).alias("condition_overlap"),
-        "a_names", "s_names", "s_start_text", F.col("s_sponsor").alias("successor_sponsor"), F.col("s_ordinal").alias("successor_ordinal"))
+        c("a_id").alias("nct_id"), c("s_id").alias("successor_id"), "successor_phase", "gap_days",
+        months_between_days(c("gap_days")).alias("temporal_gap_months"), F.bround(both / F.greatest(either, F.lit(1)), 3).alias("condition_overlap"),
+        "a_names", "s_names", "s_start_text", "successor_sponsor", "successor_ordinal")
 
 
 def first_successor(pairs: DataFrame) -> DataFrame:

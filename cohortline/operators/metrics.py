@@ -1,13 +1,16 @@
 """Exact evaluation metrics as aggregates over distinct scores.
 
-Every curve metric first counts labels by distinct score (map-side combined), then runs cumulative sums over those. Scores rounded to
-`digits` have at most 10^digits + 1 distinct values, which bounds the one task that the ordered window needs, whatever the number of rows; with
-digits=None the window is over all distinct scores, for exact small-data parity.
+Every curve metric first counts labels by distinct score (map-side combined), then needs running counts over those. Scores are cut into ranges at
+approximate quantiles; running counts are made inside each range, and what lies above a range is a sum over at most `RANGES` totals, so no task holds all
+scores. `digits=` rounds scores first, for those who want fewer of them; nothing is rounded unasked.
 """
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Ranges of scores that running counts are made in.
+RANGES = 32
+
 
 def by_score(df: DataFrame, score: str = "score", y: str = "y", digits: int | None = None) -> DataFrame:
     """(s, pos, neg) of each distinct score."""
@@ -15,12 +18,21 @@ def by_score(df: DataFrame, score: str = "score", y: str = "y", digits: int | No
     return df.groupBy(s.alias("s")).agg(F.sum(F.col(y).cast("long")).alias("pos"), F.sum(1 - F.col(y).cast("long")).alias("neg"))
 
 
-def curve(df: DataFrame, score: str = "score", y: str = "y", digits: int | None = None) -> DataFrame:
+def curve(df: DataFrame, score: str = "score", y: str = "y", digits: int | None = None, ranges: int = RANGES) -> DataFrame:
     """(s, pos, neg, tp, fp, p, n): running counts at and above each score, and the totals."""
+    shares = [i / ranges for i in range(1, ranges)]
+    cuts = sorted(set(df.agg(F.percentile_approx(score, shares, 1000)).first()[0] or [])) if shares else []
     counts = by_score(df, score, y, digits)
-    down = Window.orderBy(F.desc("s")).rowsBetween(Window.unboundedPreceding, 0)
-    total = counts.agg(F.sum("pos").alias("p"), F.sum("neg").alias("n"))
-    return counts.withColumn("tp", F.sum("pos").over(down)).withColumn("fp", F.sum("neg").over(down)).crossJoin(F.broadcast(total))  # one row
+    part = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c >= F.col("s"))) if cuts else F.lit(0)  # 0: the range of the largest scores
+    counts = counts.withColumn("part", part)
+    above = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # over at most `ranges` rows
+    every = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    totals = counts.groupBy("part").agg(F.sum("pos").alias("rp"), F.sum("neg").alias("rn")).select(
+        "part", F.coalesce(F.sum("rp").over(above), F.lit(0)).alias("tp0"), F.coalesce(F.sum("rn").over(above), F.lit(0)).alias("fp0"),
+        F.sum("rp").over(every).alias("p"), F.sum("rn").over(every).alias("n"))
+    down = Window.partitionBy("part").orderBy(F.desc("s")).rowsBetween(Window.unboundedPreceding, 0)
+    rows = counts.withColumn("tp", F.sum("pos").over(down)).withColumn("fp", F.sum("neg").over(down)).join(F.broadcast(totals), "part")
+    return rows.select("s", "pos", "neg", (F.col("tp") + F.col("tp0")).alias("tp"), (F.col("fp") + F.col("fp0")).alias("fp"), "p", "n")
 
 
 def average_precision(df: DataFrame, **kw) -> DataFrame:
@@ -92,40 +104,68 @@ def ece(df: DataFrame, n_bins: int = 10, score: str = "score", y: str = "y", par
     return cal.join(hist, "i", "left").crossJoin(F.broadcast(total)).agg(F.sum(F.coalesce("m", F.lit(0)) / F.col("total") * gap).alias("ece"))
 
 
-def bootstrap(df: DataFrame, iters: int = 1000, seed: int = 12345, key: str = "nct_id", digits: int = 3, level: float = 0.95, score: str = "score", y: str = "y") -> DataFrame:
-    """(metric, low, high): stratified bootstrap of average precision and AUROC.
+def _average_precision(p, n):
+    import numpy as np
+
+    tp, fp = p.cumsum(), n.cumsum()
+    return float((p / p.sum() * np.where(tp + fp > 0, tp / np.maximum(tp + fp, 1), 0)).sum())
+
+
+def _auroc(p, n):
+    return float((p * (n.sum() - n.cumsum() + n / 2)).sum() / (p.sum() * n.sum()))
 
-    Labels are counted by rounded score first, and replicates resample those counts (multinomially, per class, as resampling rows would), so a
-    replicate costs 10^digits numbers whatever the number of rows; replicates are spread over tasks."""
+
+def _precision_at_share(p, n, share: float = 0.10):
+    """Precision of the top share of rows; of the score that the border falls into, rows count in proportion."""
+    import numpy as np
+
+    k = max(1, int((p.sum() + n.sum()) * share))
+    before = np.concatenate(([0], (p + n).cumsum()[:-1]))
+    taken = np.clip(k - before, 0, p + n)
+    return float((taken * p / np.maximum(p + n, 1)).sum() / k)
+
+
+#: Metrics with intervals, in the order of their seeds.
+INTERVALS = {"average_precision": _average_precision, "auroc": _auroc, "precision_at_10pct": _precision_at_share}
+#: Distinct scores that a bootstrap takes to the driver and to each task (two numbers each); beyond, digits= has to be given.
+MOST_SCORES = 2_000_000
+
+
+def bootstrap(df: DataFrame, iters: int = 1000, seed: int = 12345, key: str = "nct_id", digits: int | None = None, level: float = 0.95, score: str = "score", y: str = "y") -> DataFrame:
+    """(metric, low, high): stratified bootstrap of average precision, AUROC and precision of the top tenth, the i-th metric with seed + i.
+
+    Labels are counted by score first, and replicates resample those counts (multinomially, per class, as resampling rows would), so a
+    replicate costs as many numbers as there are scores; replicates are spread over tasks. Over MOST_SCORES distinct scores, ask for `digits`."""
     import numpy as np
     import pandas as pd
 
     spark = df.sparkSession
-    rows = by_score(df, score, y, digits).orderBy(F.desc("s")).collect()  # at most 10^digits + 1 rows
-    pos, neg = (np.array([r[k] for r in rows], float) for k in ("pos", "neg"))
+    counts = by_score(df, score, y, digits)
+    rows = counts.limit(MOST_SCORES + 1).toPandas().sort_values("s", ascending=False)
+    if len(rows) > MOST_SCORES:
+        raise ValueError(f"more than {MOST_SCORES} distinct scores: round them with digits=")
+    pos, neg = rows["pos"].to_numpy(float), rows["neg"].to_numpy(float)
 
     def run(batches):
         for pdf in batches:
             out = []
             for b in pdf["id"]:
-                rng = np.random.default_rng([seed, int(b)])
-                p, n = (rng.multinomial(int(c.sum()), c / c.sum()) for c in (pos, neg))
-                tp, fp = p.cumsum(), n.cumsum()
-                with np.errstate(invalid="ignore", divide="ignore"):
-                    ap = np.nansum(p / p.sum() * np.where(tp + fp > 0, tp / (tp + fp), 0))
-                out.append((ap, float((p * (n.sum() - fp + n / 2)).sum() / (p.sum() * n.sum()))))
-            yield pd.DataFrame(out, columns=["average_precision", "auroc"])
-
-    names = ["average_precision", "auroc"]
+                one = []
+                for j, f in enumerate(INTERVALS.values()):
+                    rng = np.random.default_rng([seed + j, int(b)])
+                    one.append(f(*(rng.multinomial(int(c.sum()), c / c.sum()) for c in (pos, neg))))
+                out.append(one)
+            yield pd.DataFrame(out, columns=list(INTERVALS))
+
     if pos.sum() < 2 or neg.sum() < 2:
-        return spark.createDataFrame([(m, None, None) for m in names], "metric string, low double, high double")
-    reps = spark.range(iters, numPartitions=8).mapInPandas(run, "average_precision double, auroc double")
+        return spark.createDataFrame([(m, None, None) for m in INTERVALS], "metric string, low double, high double")
+    reps = spark.range(iters, numPartitions=8).mapInPandas(run, ", ".join(f"{m} double" for m in INTERVALS))
     tail = (1 - level) / 2
-    pairs = F.array(*[F.struct(F.lit(m).alias("metric"), F.percentile(m, F.lit(tail)).alias("low"), F.percentile(m, F.lit(1 - tail)).alias("high")) for m in names])
+    pairs = F.array(*[F.struct(F.lit(m).alias("metric"), F.percentile(m, F.lit(tail)).alias("low"), F.percentile(m, F.lit(1 - tail)).alias("high")) for m in INTERVALS])
     return reps.agg(pairs.alias("ps")).select(F.explode("ps").alias("p")).select("p.*")
 
 
-def evaluate(df: DataFrame, threshold: float | None = None, key: str = "nct_id", digits: int | None = None, bootstrap_iters: int = 0, seed: int = 12345) -> dict:
+def evaluate(df: DataFrame, threshold: float | None = None, key: str = "nct_id", digits: int | None = None, bootstrap_iters: int = 0, seed: int = 12345, n_bins: int = 10) -> dict:
     """All metrics of one split, rounded to 4 digits; a given threshold is used as it is, otherwise the F1-optimal one is chosen."""
     df = df.select(key, "score", "y")
     n, n_pos = df.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.col("y").cast("long")), F.lit(0))).first()
@@ -134,22 +174,40 @@ def evaluate(df: DataFrame, threshold: float | None = None, key: str = "nct_id",
     own = threshold is None
     value = f1_threshold(df, digits=digits).first()["threshold"] if own else float(threshold)
     r = lambda v: None if v is None else round(float(v), 4)
+    both = 0 < n_pos < n
+    bins = calibration(df, min(n_bins, n_pos)).orderBy("bin").collect() if both else []
     out = {
         "n_samples": n, "n_positive": n_pos, "n_negative": n - n_pos, "positive_rate": r(n_pos / n),
         "pr_auc": r(average_precision(df, digits=digits).first()[0]), "auroc": r(auroc(df, digits=digits).first()[0]), "brier_score": r(brier(df).first()[0]),
         "precision_at_k": {x["name"]: r(x["precision"]) for x in precision_at(df, standard_ks(n), key=key).collect()},
-        "threshold_value": r(value), "threshold_source": "self" if own else "validation", "confusion": confusion(df, F.lit(value)).first().asDict(),
-        "ece": r(ece(df, max(1, min(10, n_pos)), parity=True).first()[0]) if 0 < n_pos < n else 0.0,
+        "calibration_bins": {"fraction_of_positives": [x["fraction_of_positives"] for x in bins], "mean_predicted_value": [x["mean_predicted"] for x in bins]},
+        "threshold_value": r(value), "threshold_source": "self" if own else "validation", "threshold_metric_used": "f1", "confusion": confusion(df, F.lit(value)).first().asDict(),
+        "ece": r(ece(df, max(1, min(10, n_pos)), parity=True).first()[0]) if both else 0.0,
+        "pr_auc_ci": None, "auroc_ci": None, "precision_at_10pct_ci": None, "bootstrap_iters": bootstrap_iters, "bootstrap_seed": seed,
     }
-    if bootstrap_iters:
-        out["ci95"] = {x["metric"]: (r(x["low"]), r(x["high"])) for x in bootstrap(df, bootstrap_iters, seed, key).collect()}
+    if bootstrap_iters and n_pos > 1 and n - n_pos > 1:
+        found = {x["metric"]: [r(x["low"]), r(x["high"])] for x in bootstrap(df, bootstrap_iters, seed, key, digits).collect()}
+        out |= {"pr_auc_ci": found["average_precision"], "auroc_ci": found["auroc"], "precision_at_10pct_ci": found["precision_at_10pct"]}
     return out
 
 
+def summary(result: dict) -> str:
+    """One result as text to read."""
+    head = " | ".join(str(result[k]) for k in ("model", "features", "benchmark", "split") if k in result)
+    ci = lambda k: f"  CI95={tuple(result[k])}" if result.get(k) else ""
+    c = result["confusion"]
+    lines = [
+        head, f"  rows: {result['n_samples']} ({result['n_positive']} positive, {result['n_negative']} negative, rate {result['positive_rate']})",
+        f"  PR-AUC: {result['pr_auc']:.4f}{ci('pr_auc_ci')}", f"  AUROC: {result['auroc']:.4f}{ci('auroc_ci')}", f"  Brier: {result['brier_score']:.4f}",
+        f"  threshold: {result['threshold_value']:.4f} ({result['threshold_source']}, {result['threshold_metric_used']}): tp={c['tp']} fp={c['fp']} fn={c['fn']} tn={c['tn']}"]
+    lines += [f"  {k}: {v:.4f}{ci('precision_at_10pct_ci') if k == 'top_10pct' else ''}" for k, v in result["precision_at_k"].items()]
+    return "\n".join(lines) + "\n"
+
+
 def comparison(results: list[dict]) -> str:
     """A markdown table of results."""
     if not results:
         return "No results to compare."
-    names = ["model", "features", "benchmark", "split", "n_samples", "pr_auc", "auroc", "brier_score", "threshold_value"]
+    names = ["model", "features", "benchmark", "split", "n_samples", "pr_auc", "pr_auc_ci", "auroc", "auroc_ci", "brier_score", "threshold_value"]
     rows = ["| " + " | ".join(names) + " |", "|" + "---|" * len(names)]
-    return "\n".join(rows + ["| " + " | ".join(str(x.get(n, "")) for n in names) + " |" for x in results]) + "\n"
+    return "\n".join(rows + ["| " + " | ".join("" if x.get(n) is None else str(x[n]) for n in names) + " |" for x in results]) + "\n"

@@ -7,6 +7,7 @@ from cohortline.functions import scalars, text_rules
 from cohortline.operators import audit, cohort, features, labels, linkage, metrics, snapshots, splits, text
 from cohortline.plans.trial_adapter import REFERENCE, TRAIN_END, VAL_END, trials
 from cohortline.sources.registry_json import keep_last
+from cohortline.sources.storage import staged
 
 QUERIES: dict = {}
 
@@ -26,6 +27,21 @@ def on_trials(f):
     return run
 
 
+def on_labels(f):
+    """A query that takes the trial view and the development labels, which a stage before has made by equal names."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return f(trials(spark, sf_dir), development(spark, sf_dir, False))
+
+    QUERIES[f.__name__] = run
+    return run
+
+
+def development(spark: SparkSession, sf_dir: str, fuzzy: bool) -> DataFrame:
+    t = trials(spark, sf_dir)
+    return staged(spark, ("development", sf_dir, fuzzy), lambda: labels.development(t, t, fuzzy=fuzzy))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -189,22 +205,34 @@ def successor_fuzzy(t):
     return linkage.with_similarity(linkage.first_successor(pairs(t, fuzzy=True))).select("nct_id", "n_successors", "successor_id", "temporal_gap_months", "condition_overlap", "intervention_similarity")
 
 
-@on_trials
-def dev_labels(t):
-    return labels.development(t, t, fuzzy=False).select("nct_id", "label_value", "label_date", *labels.FLAGS)
+@on_labels
+def dev_labels(t, dev):
+    return dev.select("nct_id", "label_value", "label_date", *labels.FLAGS)
 
 
-def censored(t: DataFrame) -> DataFrame:
-    return labels.censor(labels.development(t, t, fuzzy=False), t, reference())
+@query
+def dev_labels_fuzzy(spark, sf_dir):
+    return development(spark, sf_dir, True).select("nct_id", "label_value", "label_date", "label_confidence", "evidence_source", "notes", "intervention_similarity")
 
 
-def everything(t: DataFrame) -> DataFrame:
-    return labels.build(t, t, reference(), fuzzy=False)
+@query
+def label_table(spark, sf_dir):
+    """The whole label table, names compared by likeness: what the engine makes by default."""
+    t = trials(spark, sf_dir)
+    return labels.build(t, t, reference(), dev=development(spark, sf_dir, True))
 
 
-@on_trials
-def censored_labels(t):
-    return censored(t).select("nct_id", "label_value", "followup_months")
+def censored(t: DataFrame, dev: DataFrame) -> DataFrame:
+    return labels.censor(dev, t, reference())
+
+
+def everything(t: DataFrame, dev: DataFrame) -> DataFrame:
+    return labels.build(t, t, reference(), dev=dev)
+
+
+@on_labels
+def censored_labels(t, dev):
+    return censored(t, dev).select("nct_id", "label_value", "followup_months")
 
 
 @on_trials
@@ -213,39 +241,46 @@ def legacy_censoring(t):
     return labels.censor_legacy(old, t, reference()).select("nct_id", "label_value")
 
 
-@on_trials
-def label_union(t):
-    return everything(t).groupBy("label_type", "label_task").agg(F.count(F.lit(1)).alias("n"))
+@on_labels
+def label_union(t, dev):
+    return everything(t, dev).groupBy("label_type", "label_task").agg(F.count(F.lit(1)).alias("n"))
 
 
-@on_trials
-def task_backfill(t):
-    return labels.with_task(labels.with_task(labels.operational(t).drop("label_task"))).select("nct_id", "label_task")
+@on_labels
+def task_backfill(t, dev):
+    """Rows of both types, some of them with a task and some without one."""
+    rows = everything(t, dev).withColumn("label_task", F.when(F.pmod(F.crc32("nct_id"), F.lit(3)) == 0, F.col("label_task")))
+    return labels.with_task(labels.with_task(rows)).select("nct_id", "label_type", "label_task")
 
 
-@on_trials
-def event_labels(t):
-    return labels.with_events(censored(t)).select("nct_id", "label_value", "event_label", "event_observed", "event_detail", "evidence_nct_id")
+@on_labels
+def event_labels(t, dev):
+    return labels.with_events(censored(t, dev)).select("nct_id", "label_value", "event_label", "event_observed", "event_detail", "evidence_nct_id")
 
 
-@on_trials
-def label_audit_counts(t):
-    return labels.audit_counts(everything(t)).where("field = 'label_value'")
+@on_labels
+def label_audit_counts(t, dev):
+    return labels.audit_counts(everything(t, dev))
 
 
-@on_trials
-def label_pivot(t):
-    return labels.wide(everything(t)).select("nct_id", "development_value", "operational_value", "operational_confidence")
+@on_labels
+def label_pivot(t, dev):
+    return labels.wide(everything(t, dev))
 
 
-@on_trials
-def label_uniqueness(t):
-    return labels.duplicates(everything(t))
+@on_labels
+def label_uniqueness(t, dev):
+    return labels.duplicates(everything(t, dev))
 
 
-@on_trials
-def benchmark_sizes(t):
-    return labels.benchmark_sizes(censored(t))
+@on_labels
+def benchmark_sizes(t, dev):
+    return labels.benchmark_sizes(censored(t, dev))
+
+
+@on_labels
+def soft_flag_counts(t, dev):
+    return labels.soft_flag_counts(censored(t, dev))
 
 
 # --- snapshots, benchmarks, splits -------------------------------------------------------------------------------------
@@ -261,36 +296,56 @@ def snapshot_t2(t):
     return snapshots.snapshot(t, "T2")
 
 
-def bench(t: DataFrame, name: str) -> DataFrame:
-    return splits.dataset(censored(t), t, name, today=reference())
+def bench(t: DataFrame, dev: DataFrame, name: str, **how) -> DataFrame:
+    return splits.dataset(censored(t, dev), t, name, today=reference(), **how)
+
+
+def _register(name: str) -> None:
+    def run(t, dev):
+        return bench(t, dev, name)
+
+    run.__name__ = f"bench_{name}"
+    on_labels(run)
 
 
 for _b in splits.LADDER:
-    QUERIES[f"bench_{_b.name}"] = lambda spark, sf_dir, n=_b.name: bench(trials(spark, sf_dir), n)
+    _register(_b.name)
 
 
-def split(t: DataFrame) -> DataFrame:
-    return splits.temporal_split(bench(t, "intermediate"), t, TRAIN_END, VAL_END)
+@on_labels
+def bench_not_before(t, dev):
+    return bench(t, dev, "broad_full", not_before="1996-01-01")
 
 
-@on_trials
-def temporal_split(t):
-    return split(t).select("nct_id", "y", "split")
+def split(t: DataFrame, dev: DataFrame) -> DataFrame:
+    return splits.temporal_split(bench(t, dev, "intermediate"), t, TRAIN_END, VAL_END)
 
 
-@on_trials
-def split_yearly(t):
-    return splits.split_yearly(split(t)).select("split", F.col("year").cast("long").alias("year"), "n_total", "n_positive")
+@on_labels
+def temporal_split(t, dev):
+    return split(t, dev).select("nct_id", "y", "split")
 
 
-@on_trials
-def split_stats(t):
-    return splits.split_stats(split(t))
+@on_labels
+def split_partial_dates(t, dev):
+    """By a column of months: its first value is the format of all."""
+    months = t.select("nct_id", "ordinal", F.substring("first_post_date", 1, 7).alias("month"))
+    return splits.temporal_split(splits.dataset(censored(t, dev), months, "broad_full", "month", today=reference()), months, TRAIN_END, VAL_END, "month").select("nct_id", "y", "split")
 
 
-@on_trials
-def temporal_distribution(t):
-    return splits.yearly(bench(t, "broad_full"), t).select(F.col("year").cast("long").alias("year"), "n_total", "n_positive", "n_negative")
+@on_labels
+def split_yearly(t, dev):
+    return splits.split_yearly(split(t, dev)).select("split", F.col("year").cast("long").alias("year"), "n_total", "n_positive")
+
+
+@on_labels
+def split_stats(t, dev):
+    return splits.split_stats(split(t, dev))
+
+
+@on_labels
+def temporal_distribution(t, dev):
+    return splits.yearly(bench(t, dev, "broad_full"), t).select(F.col("year").cast("long").alias("year"), "n_total", "n_positive", "n_negative", "positive_rate")
 
 
 @on_trials
@@ -329,7 +384,7 @@ def age_years(t):
 
 @on_trials
 def structured_features(t):
-    return features.structured(t)
+    return rounded(features.structured(t), "enrollment", "n_locations", "minimum_age_years", "maximum_age_years")
 
 
 @on_trials
@@ -363,7 +418,7 @@ def document_assembly(t):
 
 @query
 def strip_html(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", F.length(F.regexp_replace("html", "<[^>]+>", " ")).cast("long").alias("n_chars"))
+    return table(spark, sf_dir, "pages").select("page_id", F.md5(scalars.clean_text(F.col("html"))).alias("cleaned_md5"))
 
 
 @query
@@ -371,13 +426,12 @@ def doc_lengths(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", scalars.text_length(F.col("text")).cast("long").alias("n"))
 
 
-_TFIDF = text.TfidfConfig(max_features=1000)
+_TFIDF = text.TfidfConfig()
 
 
 @query
 def tfidf_df(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
-    return text.vocabulary(text.term_counts(docs, "doc_id", "text"), docs.count(), _TFIDF).select("term", "df", "cf")
+    return text.fit(table(spark, sf_dir, "documents"), "text", _TFIDF).select("term", "df", "cf")
 
 
 @query
@@ -412,7 +466,8 @@ def brier(spark, sf_dir):
 
 @query
 def precision_at_k(spark, sf_dir):
-    return rounded(metrics.precision_at(scored(spark, sf_dir), {"top_50": 50, "top_200": 200}, key="id"), "precision")
+    s = scored(spark, sf_dir)
+    return rounded(metrics.precision_at(s, metrics.standard_ks(s.count()), key="id"), "precision")
 
 
 @query
@@ -435,32 +490,39 @@ def ece(spark, sf_dir):
     return rounded(metrics.ece(scored(spark, sf_dir)), "ece")
 
 
+@query
+def ece_parity(spark, sf_dir):
+    return rounded(metrics.ece(scored(spark, sf_dir), parity=True), "ece")
+
+
 @query
 def bootstrap_ci(spark, sf_dir):
-    return metrics.bootstrap(scored(spark, sf_dir), iters=200)
+    return metrics.bootstrap(scored(spark, sf_dir), key="id")
 
 
-def prepared(t: DataFrame) -> DataFrame:
+def prepared(spark: SparkSession, sf_dir: str) -> DataFrame:
     from cohortline.operators import models
 
-    return models.prepare(split(t), snapshots.snapshot(t, "T0"), "structured")
+    t, dev = trials(spark, sf_dir), development(spark, sf_dir, False)
+    return staged(spark, ("prepared", sf_dir), lambda: models.prepare(split(t, dev), snapshots.snapshot(t, "T0"), "structured"))
 
 
-@on_trials
-def logistic_scores(t):
+@query
+def logistic_scores(spark, sf_dir):
     from cohortline.operators import models
 
-    p = prepared(t).persist()
-    model, _ = models.train_logistic(p.where("split = 'train'"), max_iter=50)
+    p = prepared(spark, sf_dir)
+    model, _ = models.train_logistic(p.where("split = 'train'"))
     return models.predict(model, p).select("nct_id", "split", "y", "score")
 
 
-@on_trials
-def gbt_scores(t):
+@query
+def gbt_scores(spark, sf_dir):
+    """Fewer rounds than the operator's default of 500: each costs a handful of Spark jobs, whatever the data."""
     from cohortline.operators import models
 
-    p = prepared(t).persist()
-    model, _ = models.train_gbt(p.where("split = 'train'"), trees=5, depth=3)
+    p = prepared(spark, sf_dir)
+    model, _ = models.train_gbt(p.where("split = 'train'"), n_estimators=20)
     return models.predict(model, p).select("nct_id", "split", "y", "score")
 
 
@@ -480,16 +542,32 @@ def json_props(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k"))
 
 
-@on_trials
-def stratified_sample(t):
-    return audit.sample(censored(t)).select("nct_id", "label_value")
+@query
+def flattened_records(spark, sf_dir):
+    """Nested records made of orders, through the scan's own projection of paths."""
+    from cohortline.sources import registry_json
 
+    o = table(spark, sf_dir, "orders")
+    k = F.col("o_orderkey")
+    text = F.to_json(F.struct(F.struct(
+        F.struct(F.concat(F.lit("NCT"), F.lpad((k % 500).cast("string"), 8, "0")).alias("nctId"), F.col("o_orderpriority").alias("briefTitle")).alias("identificationModule"),
+        F.struct(F.col("o_orderstatus").alias("overallStatus"), F.struct(F.col("o_orderdate").cast("date").cast("string").alias("date")).alias("startDateStruct")).alias("statusModule"),
+        F.struct(F.array(F.lit("PHASE1"), F.lit("PHASE2")).alias("phases")).alias("designModule")).alias("protocolSection"), (k % 2 == 0).alias("hasResults")))
+    raw = o.select(F.lit("f").alias("file"), k.alias("ordinal"), F.from_json(text, registry_json.record()).alias("study"))
+    return registry_json.flatten(raw).select("nct_id", "ordinal", "brief_title", "overall_status", "start_date", "phases", "has_results", "n_arms", "countries")
 
-@on_trials
-def audit_filter(t):
-    return audit.in_phase(censored(t).join(t.select("nct_id", "phases"), "nct_id")).select("nct_id", "label_value")
 
+@on_labels
+def stratified_sample(t, dev):
+    return audit.sample(censored(t, dev)).select("nct_id", "label_value")
 
-@on_trials
-def evidence_id(t):
-    return t.select("nct_id", scalars.registry_id(F.concat(F.lit("successor="), F.col("nct_id"), F.lit(", phase="))).alias("evidence"))
+
+@on_labels
+def audit_filter(t, dev):
+    return audit.in_phase(censored(t, dev).join(t.select("nct_id", "phases"), "nct_id")).select("nct_id", "label_value")
+
+
+@on_labels
+def evidence_id(t, dev):
+    """Ids out of evidence texts, and out of titles, which have none."""
+    return dev.select("nct_id", scalars.registry_id(F.col("evidence_source")).alias("evidence"))

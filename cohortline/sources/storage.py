@@ -1,10 +1,12 @@
 """Tables and side files by path, through Spark, so that any store that Spark reads will do."""
 
 import json
+import tempfile
+import uuid
+from collections.abc import Callable
 from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 
 def stamp() -> str:
@@ -103,9 +105,9 @@ def save_snapshots(snapshots: dict[str, DataFrame], meta: dict, folder: str) ->
     return [*paths, save_json(next(iter(snapshots.values())).sparkSession, meta, f"{folder}/snapshots_metadata_{at}.json")]
 
 
-def save_labels(labels: DataFrame, audit: dict, folder: str) -> list[str]:
-    at = stamp()
-    return [save(labels, f"{folder}/labels_{at}"), save(labels, f"{folder}/labels_{at}", "csv"), save_json(labels.sparkSession, audit, f"{folder}/labels_audit_{at}.json")]
+def save_label_files(labels: DataFrame, audit: dict, stem: str) -> list[str]:
+    """The label table once more as CSV, and its audit."""
+    return [save(labels, stem, "csv"), save_json(labels.sparkSession, audit, f"{stem}_audit.json")]
 
 
 def save_evaluation(spark: SparkSession, result: dict, folder: str) -> str:
@@ -118,5 +120,26 @@ def output_folder(folder: str, task: str) -> str:
     return folder if "benchmarks" in folder else f"{folder}/{task}/{stamp()}"
 
 
-def with_file(df: DataFrame) -> DataFrame:
-    return df.withColumn("file", F.col("_metadata.file_path"))
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names; a temporary one is made only for a session that runs on this machine alone."""
+    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    folder = f"file://{tempfile.mkdtemp(prefix='cohortline-')}"
+    spark.conf.set("spark.checkpoint.dir", folder)
+    return folder
+
+
+_staged: dict[tuple, str] = {}
+
+
+def staged(spark: SparkSession, name: tuple, build: Callable[[], DataFrame]) -> DataFrame:
+    """The table that `build` gives, written once an application and read from there, as the output of a stage is."""
+    key = (spark.sparkContext.applicationId, *name)
+    if key not in _staged or not exists(spark, _staged[key]):
+        path = f"{shared_folder(spark)}/cohortline-stages/{uuid.uuid4().hex}.parquet"
+        build().write.parquet(path)
+        _staged[key] = path
+    return spark.read.parquet(_staged[key])

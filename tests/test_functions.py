@@ -43,7 +43,8 @@ def test_counts_and_flags(spark):
 @pytest.mark.parametrize("text,want", [
     ("Primary endpoint met", True), ("Clinically meaningful benefit seen", True), ("Study objective achieved early", True), ("superiority demonstrated at interim", True),
     ("No clinically meaningful benefit", False), ("Primary endpoint not met", False), ("futility; efficacy observed", False), ("Lack of efficacy", False), (None, False),
-    ("failed to show efficacy observed", False)])
+    ("failed to show efficacy observed", False), ("Not clinically meaningful benefit", False), ("results were not efficacy confirmed", False), ("futilities; efficacy observed", True),
+    ("  Study objective\treached ", True)])
 def test_positive_stop(spark, text, want):
     assert values(spark, [text], text_rules.positive_terminal) == [want]
 
@@ -58,7 +59,23 @@ def test_terminal_negative(spark):
 
 def test_titles(spark):
     got = values(spark, ["PK/PD of X", "Bioavailability of X", "Long-Term Safety Extension", "A new Formulation", "Efficacy of X", None], text_rules.title_exclusion)
-    assert got == ["pk_pd", "bioavailability", "extension", "formulation", None, None]
+    assert got == [f"nonprogression_design_{x}" for x in ("pk_pd", "bioavailability", "extension", "formulation")] + [None, None]
+
+
+def test_titles_nearly(spark):
+    hit = ["Openlabel extension", "Longterm safety", "Absorption,distribution", "Proof of concept, Phase 1", "PK / PD", "Biomarkerexpression"]
+    miss = ["nonbioavailability", "proof of concept in phase 10", "rollovers", "Plaque tests", "SPK", "formulations"]
+    got = values(spark, hit + miss, text_rules.title_exclusion)
+    assert all(got[:len(hit)]) and not any(got[len(hit):])
+
+
+@pytest.mark.parametrize("flag,hit,miss", [
+    ("lifecycle_flag", ["add on therapy", "addon to insulin", "Neonates", "children", "switching from"], ["Schoolchildren", "Pediatrics", "overdose adjustment", "additional doses"]),
+    ("broad_basket_flag", ["refractory tumours", "basket trial", "cancers that are"], ["neoplastic", "platforms study"]),
+    ("supportive_flag", ["peri operative", "anti nausea", "antinausea", "post-dental extraction", "hemostatis", "Haemostatic"], ["hemostatics", "antiemetics", "prophylaxis in"])])
+def test_flags_nearly(spark, flag, hit, miss):
+    got = values(spark, hit + miss, lambda c: text_rules.diagnostic_flags(c, F.lit(""))[flag])
+    assert got == [True] * len(hit) + [False] * len(miss)
 
 
 def test_flags(spark):

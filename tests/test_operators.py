@@ -1,3 +1,4 @@
+import contextlib
 import json
 
 import pytest
@@ -126,7 +127,11 @@ def test_tfidf_uses_training_vocabulary(spark):
     assert "delta" not in terms and "alpha beta" in terms and "beta beta" in terms
     norms = {r["id"]: r["n"] for r in w.groupBy("id").agg(F.sum(F.col("weight") * F.col("weight")).alias("n")).collect()}
     assert all(abs(n - 1) < 1e-9 for n in norms.values())
-    assert text.vectors(w, vocab, "id").count() == 4
+    zero = docs.unionByName(spark.createDataFrame([("e", "", True), ("f", None, False)], docs.schema))
+    got = {r["id"]: r["features"] for r in text.vectors(zero, vocab, "id", "t", text.TfidfConfig(min_df=1)).collect()}
+    assert len(got) == 6 and got["e"].numNonzeros() == got["f"].numNonzeros() == 0
+    by_term = sorted(terms)
+    assert all(abs(got[r["id"]][by_term.index(r["term"])] - r["weight"]) < 1e-12 for r in w.collect())
 
 
 def test_structured_and_models(spark):
@@ -145,6 +150,15 @@ def test_structured_and_models(spark):
     assert models.calibrated(models.platt(scored), scored).where("calibrated between 0 and 1").count() == 50
 
 
+@pytest.mark.parametrize("kind", ["structured", "text", "fusion"])
+def test_preparation_keeps_every_study(spark, kind):
+    rows = [(f"N{i}", ["train", "val", "test"][i % 3], i % 2, "A" if i % 2 else None, i % 7, None if i == 4 else "" if i == 5 else "zz qq" if i == 8 else "alpha beta") for i in range(12)]
+    df = spark.createDataFrame(rows, "nct_id string, split string, y int, sex string, n_arms int, brief_title string")
+    with pytest.warns(UserWarning) if kind != "text" else contextlib.nullcontext():
+        got = models.prepare(df.select("nct_id", "split", "y"), df.drop("split", "y"), kind, text.TfidfConfig(min_df=1)).collect()
+    assert sorted(r["nct_id"] for r in got) == sorted(r[0] for r in rows) and all(r["features"].size == got[0]["features"].size for r in got)
+
+
 def test_model_files(spark, tmp_path):
     df = spark.createDataFrame([(float(i), int(i > 5)) for i in range(10)], "x double, y int")
     from pyspark.ml.feature import VectorAssembler

@@ -4,6 +4,7 @@ import glob
 import os
 
 import duckdb
+import numpy as np
 import pytest
 
 from cohortline.plans import oracles
@@ -41,10 +42,84 @@ def test_entry_has_every_query():
     assert set(oracles.SQL) <= set(e.queries()) and set(e.oracle_sql()) <= set(e.queries())
 
 
+def brute_fuzzy(rows):
+    """Successors by the rules in plain Python, names compared by difflib."""
+    from difflib import SequenceMatcher
+
+    generic = {"placebo", "saline", "normal saline", "standard of care", "soc", "active comparator", "comparator"}
+    split = lambda s: [x.strip().lower() for x in (s or "").split(";") if x.strip()]
+    near = lambda x, y: SequenceMatcher(None, x, y).ratio() >= 0.85
+
+    def alike(a, b):
+        if not a or not b:
+            return False
+        if near(a.lower(), b.lower()):
+            return True
+        x, y = ([p for p in split(s) if p not in generic] or split(s) for s in (a, b))
+        return any(near(p, q) for p in x for q in y)
+
+    by_sponsor = {}
+    for r in rows:
+        by_sponsor.setdefault(r["lead_sponsor"], []).append(r)
+    out = {}
+    for a in rows:
+        if not a["anchor"] or a["rank"] is None or a["end"] is None or a["lead_sponsor"] is None:
+            continue
+        for s in sorted(by_sponsor[a["lead_sponsor"]], key=lambda r: r["ordinal"]):
+            if s["nct_id"] == a["nct_id"] or s["rank"] is None or s["rank"] <= a["rank"] or s["start"] is None or not 0 <= (s["start"] - a["end"]).days <= 36 * 30.44:
+                continue
+            if a["posted"] and s["posted"] and s["posted"] < a["posted"] or not set(split(a["conditions"])) & set(split(s["conditions"])) or not alike(a["intervention_names"], s["intervention_names"]):
+                continue
+            sim = round(SequenceMatcher(None, a["intervention_names"].lower(), s["intervention_names"].lower()).ratio(), 3)
+            n, first, likeness = out.get(a["nct_id"], (0, s["nct_id"], sim))
+            out[a["nct_id"]] = (n + 1, first, likeness)
+    return out
+
+
+def test_fuzzy_successors_by_brute_force(spark):
+    from pyspark.sql import functions as F
+
+    from cohortline.functions.scalars import phase_rank, strict_date
+    from cohortline.operators import linkage
+    from cohortline.plans.trial_adapter import trials
+
+    c = F.col
+    # names that are alike but not equal: some letters of the names are changed by the id
+    t = trials(spark, DATA).withColumn("intervention_names", F.when(c("ordinal") % 3 == 0, F.regexp_replace("intervention_names", "a", "ax")).when(c("ordinal") % 11 == 0, F.lit("placebo")).otherwise(c("intervention_names")))
+    t = t.withColumn("lead_sponsor", F.when(c("lead_sponsor").isNotNull(), F.concat(F.lit("s"), (F.crc32("lead_sponsor") % 6).cast("string")))).cache()
+    a = engine.anchors(t)
+    mark = a.select("nct_id", F.lit(True).alias("anchor"))
+    rows = t.join(mark, "nct_id", "left").select("nct_id", "ordinal", "lead_sponsor", "conditions", "intervention_names", "anchor", phase_rank(c("phases")).alias("rank"), strict_date(c("start_date")).alias("start"),
+                                                 strict_date(c("first_post_date")).alias("posted"), F.coalesce(strict_date(c("primary_completion_date")), strict_date(c("completion_date"))).alias("end")).collect()
+    want = brute_fuzzy(rows)
+    got = {r["nct_id"]: (r["n_successors"], r["successor_id"], r["intervention_similarity"]) for r in linkage.with_similarity(linkage.first_successor(linkage.successor_pairs(a, t))).collect()}
+    assert got == want and len(want) > 50
+    exact = linkage.first_successor(linkage.successor_pairs(a, t, fuzzy=False)).agg(F.sum("n_successors")).first()[0]
+    assert exact < sum(n for n, _, _ in want.values())
+    t.unpersist()
+
+
 def test_queries_without_sql(spark):
-    ci = {r["metric"]: r for r in engine.QUERIES["bootstrap_ci"](spark, DATA).collect()}
-    exact = engine.QUERIES["auroc"](spark, DATA).first()[0]
-    assert ci["auroc"]["low"] < exact < ci["auroc"]["high"]
+    ci = {r["metric"]: (r["low"], r["high"]) for r in engine.QUERIES["bootstrap_ci"](spark, DATA).collect()}
+    rows = engine.scored(spark, DATA).toPandas().sort_values("score", ascending=False, kind="stable")
+    score, y = rows["score"].to_numpy(), rows["y"].to_numpy()
+    want = {"average_precision": [], "auroc": [], "precision_at_10pct": []}
+    rng = np.random.default_rng(4)
+    for _ in range(400):  # whole rows resampled, class by class
+        i = np.concatenate([rng.choice(np.flatnonzero(y == v), (y == v).sum()) for v in (1, 0)])
+        i = i[np.argsort(-score[i], kind="stable")]
+        s, v = score[i], y[i]
+        last = np.flatnonzero(np.append(s[1:] != s[:-1], True))
+        tp, n = v.cumsum()[last], last + 1
+        want["average_precision"].append((np.diff(tp, prepend=0) * tp / n).sum() / v.sum())
+        fp = n - tp
+        want["auroc"].append((np.diff(tp, prepend=0) * (fp[-1] - fp + np.diff(fp, prepend=0) / 2)).sum() / (tp[-1] * fp[-1]))
+        want["precision_at_10pct"].append(v[:max(1, len(v) // 10)].mean())
+    for m, est in want.items():
+        low, high = np.percentile(est, [2.5, 97.5])
+        assert abs(ci[m][0] - low) <= 0.25 * (high - low) and abs(ci[m][1] - high) <= 0.25 * (high - low), m
+    labels = engine.QUERIES["label_table"](spark, DATA)
+    assert labels.count() == 2 * engine.trials(spark, DATA).count() and labels.where("label_value = 'advanced' and notes not like '%interv_sim=%'").count() == 0
     fuzzy = {r["nct_id"]: r["n_successors"] for r in engine.QUERIES["successor_fuzzy"](spark, DATA).collect()}
     sure = {r["nct_id"]: r["n_successors"] for r in engine.QUERIES["successor_first"](spark, DATA).collect()}
     assert all(fuzzy[k] >= n for k, n in sure.items())

@@ -1,5 +1,6 @@
 """What the corpus operators share: whole null-safe texts, written stages, the fold rule and bounded samples."""
 
+import atexit
 import tempfile
 import uuid
 
@@ -24,23 +25,65 @@ def slim(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> Dat
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), whole_text(text_col).alias("text"))
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that df does not have, in any case of its letters."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name = "_" + name
+    return name
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; a local one is made only where the session names none, as in tests."""
+    """The folder that all executors share. A temporary one is made only where the session names none and runs on this machine alone, as in tests."""
     conf = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if not conf:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         conf = f"file://{tempfile.mkdtemp(prefix='cohortline-')}"
         spark.conf.set("spark.checkpoint.dir", conf)
     return conf
 
 
+def _remove(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def _at_exit() -> None:
+    for spark, path in _stages:
+        try:
+            if spark.sparkContext._jsc is not None:
+                _remove(spark, path)
+        except Exception:  # noqa: BLE001, S110  (the session has ended, and its folder with it or not: nothing is left to do)
+            pass
+
+
+_stages: list[tuple[SparkSession, str]] = []
+atexit.register(_at_exit)
+
+
 def written(df: DataFrame) -> DataFrame:
-    """df as a Parquet table in the shared folder: lineage is cut and a lost executor loses nothing."""
+    """df as a Parquet table in the shared folder: lineage is cut and a lost executor loses nothing. Lazy results read these tables
+    as long as the application runs; its end removes them, `clear` does so before."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/cohortline/{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _stages.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
 
+def stages() -> int:
+    """How many tables of stages there are."""
+    return len(_stages)
+
+
+def clear(first: int = 0, last: int | None = None) -> None:
+    """Removes the tables of stages from the first-th to before the last-th: for callers that have written out what they made of them."""
+    for gone in _stages[first:last]:
+        _remove(*gone)
+    del _stages[first:last]
+
+
 def in_training_fold(id_col: Column) -> Column:
     """crc32 of the id as text, mod 5, is not 0."""
     return (F.crc32(id_col.cast("string")) % 5) != 0

@@ -1,17 +1,23 @@
 """N-gram Jaccard join by a MinHash LSH forest: sorted prefix tries of signatures, then exact verification.
 
 1. A text becomes the set of its five-word shingles; texts with one set are one class, and the class is what is joined.
-2. Each of `trees` tries holds a label of `depth` MinHash values for every class. A pair of similarity s shares a prefix of length d in a tree
-   with probability s^d, so prefixes are shortened from `depth` until the tries together reach the target recall at the threshold.
-   (1 - (1 - s^d)^trees >= `recall`); the nodes at that depth hold every pair that any deeper node holds.
-3. Nodes with one class are dropped. A node's classes are sorted into blocks of at most `block`, and pairs of blocks go to tasks, so a node with a
-   third of all rows is spread like any other. A pair belongs to the first tree in which it meets; pairs met before are skipped, and only
-   classes that meet a new partner there are sent on with their texts.
+2. Each of `trees` tries holds a label of `depth` MinHash values for every class. Of a trie only the parts matter where labels share a prefix of at
+   least `shallowest` values: the prefix at which the forest's recall at the threshold reaches the target whatever the data are. They are kept sorted by label.
+3. Prefixes are shortened level by level, from whole labels on, in all tries at once. At each level the classes of a node meet; a pair belongs to the
+   first tree in which it meets at that level, and pairs met at a longer prefix are skipped. A node's classes are sorted into blocks of at most
+   `block`, and pairs of blocks go to tasks, so a node with a third of all rows is spread like any other.
 4. Each task verifies its pairs exactly and returns, per class, how many links it found and a spanning forest of them: rows in proportion to
-   the classes, never pairs. Links are summed, and the forests joined to components by large-star / small-star rounds.
+   the classes, never pairs; and a histogram of the links' similarities.
+5. After each level the recall is estimated from all links so far: one of similarity s is found with probability p(s) = 1 - (1 - s^d)^trees, so it stands for
+   (1 - p) / p missed ones; one link more, at the threshold itself, is always assumed. The tries are shortened on while the estimate is below the target,
+   and at `shallowest` they are done. A corpus whose links are all close copies needs long prefixes only; one with links near the threshold short ones.
+6. Links are summed, and the forests joined to components by large-star / small-star rounds, whose hubs are dealt over salts.
+
+Every link is counted, so a group of m texts that are all alike and all different costs m^2 / 2 comparisons, spread over blocks; copies cost nothing.
 
 Defined results: words are lower-cased runs of letters and digits; a text of one to four words is one shingle of all of them; a text without words is one shingle of
-itself, so empty (and null) texts are copies of each other. Rows that repeat are copies too. An empty table gives an empty table.
+itself, so empty (and null) texts are copies of each other. Rows that repeat are copies too; of equal doc_ids each row counts. Similarity at the threshold
+exactly is a link. A null doc_id is lower than any other. An empty table gives an empty table. Columns other than doc_id and text don't matter.
 """
 
 import re
@@ -21,10 +27,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortline.llm.common import pieces, slim, written
+from cohortline.llm.common import fresh, pieces, slim, written
 
 WORDS, THRESHOLD = 5, 0.8
-TREES, DEPTH, RECALL, BLOCK = 32, 8, 0.99999, 512
+TREES, DEPTH, RECALL, BLOCK = 24, 8, 0.99999, 512
+#: Bins of the histogram of similarities, from the threshold to 1.
+BINS = 50
+#: Tasks that a hub's edges are dealt over.
+SALTS = 16
 _WORD = re.compile(r"\w+")
 _P, _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 #: Stands for a null doc_id.
@@ -71,41 +81,58 @@ def shingles(text: str, n: int = WORDS) -> np.ndarray:
     return np.unique(mix(out + np.uint64(n)))
 
 
-def depth_for(threshold: float = THRESHOLD, trees: int = TREES, depth: int = DEPTH, recall: float = RECALL) -> int:
-    """Prefixes are shortened until the expected recall of pairs at the threshold reaches the target."""
-    while depth > 1 and 1 - (1 - threshold**depth) ** trees < recall:
+def found_at(similarity: float | np.ndarray, depth: int, trees: int = TREES) -> float | np.ndarray:
+    """The probability that a pair shares a prefix of `depth` values in one of the trees."""
+    return 1 - (1 - similarity**depth) ** trees
+
+
+def shallowest(threshold: float = THRESHOLD, trees: int = TREES, depth: int = DEPTH, recall: float = RECALL) -> int:
+    """The longest prefix at which even pairs at the threshold reach the target recall."""
+    while depth > 1 and found_at(threshold, depth, trees) < recall:
         depth -= 1
     return depth
 
 
+def estimated_recall(histogram: np.ndarray, threshold: float, depth: int, trees: int) -> float:
+    """Of the links there are, the share found, by what the links found so far stand for (each at the lower end of its bin) and one more link at the threshold."""
+    s = threshold + (1 - threshold) * np.arange(len(histogram)) / len(histogram)
+    p = found_at(s, depth, trees)
+    missed = float((histogram * (1 - p) / p).sum()) + (1 - found_at(threshold, depth, trees)) / found_at(threshold, depth, trees)
+    return (1 + histogram.sum()) / (1 + histogram.sum() + missed)
+
+
 _rng = np.random.default_rng(20)
 _A = (_rng.integers(0, 2**32, 4096, dtype=np.uint32) | np.uint32(1)), _rng.integers(0, 2**32, 4096, dtype=np.uint32)
 
 
 def signature(sh: np.ndarray, size: int) -> np.ndarray:
-    """`size` MinHash values, uint32."""
+    """`size` MinHash values, uint32; the shingles' hashes are well mixed, so a linear function orders them."""
     x = (sh >> np.uint64(32)).astype(np.uint32)
     a, b = _A[0][:size], _A[1][:size]
     out = np.full(size, 0xFFFFFFFF, np.uint32)
     for lo in range(0, len(x), 256):
         v = x[lo:lo + 256, None] * a[None, :]
         v += b
-        v ^= v >> np.uint32(15)
         np.minimum(out, v.min(0), out=out)
     return out
 
 
-def prefixes(sh: np.ndarray, trees: int, depth: int) -> np.ndarray:
-    """One 64-bit hash per tree of its label's prefix of length `depth`."""
-    sig = signature(sh, trees * depth).astype(np.uint64).reshape(trees, depth)
-    h = np.arange(1, trees + 1, dtype=np.uint64)
-    for d in range(depth):
-        h = mix(h * _P + sig[:, d])
+def label(sh: np.ndarray, trees: int = TREES, depth: int = DEPTH) -> bytes:
+    """The labels of all trees: `depth` values of two bytes each, high byte first, so that bytes sort as the trie does."""
+    v = signature(sh, trees * depth).astype(np.uint64)
+    return (mix(v * _P) >> np.uint64(48)).astype(">u2").tobytes()
+
+
+def nodes(labels: np.ndarray, depth: int) -> np.ndarray:
+    """For rows of labels (class, tree, value), a number for each class's node at `depth` in each tree."""
+    h = np.broadcast_to(np.arange(1, labels.shape[1] + 1, dtype=np.uint64), labels.shape[:2])
+    for i in range(depth):
+        h = mix(h * _P + labels[:, :, i])
     return h
 
 
 def signed(docs: DataFrame, trees: int, depth: int, text_col: str = "text") -> DataFrame:
-    """doc_id, id (never null), th (text hash), key (digest of the shingle set), size, labels (prefix hashes of all trees)."""
+    """doc_id, id (never null), th (text hash), key (digest of the shingle set), size, labels (of all trees)."""
     import xxhash
 
     def sign(batches):
@@ -116,7 +143,7 @@ def signed(docs: DataFrame, trees: int, depth: int, text_col: str = "text") -> D
                     sh = shingles(t)
                     keys.append(xxhash.xxh3_128_digest(sh.tobytes()))
                     sizes.append(len(sh))
-                    labels.append(prefixes(sh, trees, depth).tobytes())
+                    labels.append(label(sh, trees, depth))
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), b.column(3), pa.array(keys, pa.binary()), pa.array(sizes, pa.int32()), pa.array(labels, pa.binary())], ["doc_id", "id", "th", "key", "size", "labels"])
 
     rows = slim(docs, text_col).withColumn("id", F.coalesce("doc_id", F.lit(LOWEST))).withColumn("th", F.xxhash64("text"))
@@ -146,24 +173,29 @@ def _runs(batches, columns: list[str], key: str):
         yield held
 
 
-def first_met(labels: np.ndarray, tree: int) -> np.ndarray:
-    """For classes that share a node of `tree`, the boolean matrix of pairs that shared none of an earlier tree."""
+def first_met(labels: np.ndarray, tree: int, level: int) -> np.ndarray:
+    """For classes that share a node of `tree` at `level`, the boolean matrix of pairs that share none of an earlier tree there, and none of any tree a level deeper."""
     out = np.ones((len(labels), len(labels)), bool)
+    at = nodes(labels, level)
     for t in range(tree):
-        out &= labels[:, t][:, None] != labels[:, t][None, :]
+        out &= at[:, t][:, None] != at[:, t][None, :]
+    if level < labels.shape[2]:
+        at = nodes(labels, level + 1)
+        for t in range(labels.shape[1]):
+            out &= at[:, t][:, None] != at[:, t][None, :]
     return out
 
 
-def wanted(unit: dict[str, list], trees: int) -> np.ndarray:
+def wanted(unit: dict[str, list], trees: int, level: int, threshold: float) -> np.ndarray:
     """The upper triangle of pairs that a unit (two blocks of one node, or one block) is to verify."""
-    lab = np.frombuffer(b"".join(unit["labels"]), np.uint64).reshape(-1, trees)
+    lab = np.frombuffer(b"".join(unit["labels"]), ">u2").reshape(len(unit["labels"]), trees, -1).astype(np.uint64)
     side = np.array(unit["side"])
     size = np.array(unit["size"], float)
-    pairs = first_met(lab, unit["tree"][0])
+    pairs = np.minimum(size[:, None], size[None, :]) >= threshold * np.maximum(size[:, None], size[None, :])
     if side.max() > 0:  # two blocks: only pairs across them
         pairs &= side[:, None] != side[None, :]
-    pairs &= np.minimum(size[:, None], size[None, :]) >= unit["threshold"] * np.maximum(size[:, None], size[None, :])
-    return np.triu(pairs, 1)
+    pairs = np.triu(pairs, 1)
+    return pairs & first_met(lab, unit["tree"][0], level) if pairs.any() else pairs
 
 
 def intersections(sets: list[np.ndarray], pairs: np.ndarray) -> np.ndarray:
@@ -187,10 +219,9 @@ def intersections(sets: list[np.ndarray], pairs: np.ndarray) -> np.ndarray:
     return out
 
 
-def verify(unit: dict[str, list], trees: int, threshold: float, words: int) -> tuple[list[int], list[int], list[int]]:
-    """For each class of the unit: linked classes, linked documents, and the first class of its part of the spanning forest."""
-    unit["threshold"] = threshold
-    pairs = wanted(unit, trees)
+def verify(unit: dict[str, list], trees: int, level: int, threshold: float, words: int) -> tuple[list[int], list[int], list[int], np.ndarray]:
+    """For each class of the unit: linked classes, linked documents, and the first class of its part of the spanning forest; and the histogram of similarities."""
+    pairs = wanted(unit, trees, level, threshold)
     m = len(pairs)
     root = list(range(m))
 
@@ -200,20 +231,29 @@ def verify(unit: dict[str, list], trees: int, threshold: float, words: int) -> t
             i = root[i]
         return i
 
-    links, docs = np.zeros(m, int), np.zeros(m, int)
+    links, docs, bins = np.zeros(m, int), np.zeros(m, int), np.zeros(BINS, int)
     if pairs.any():
         sets = [shingles(t, words) for t in unit["text"]]
         size = np.array([len(s) for s in sets], float)
         both = intersections(sets, pairs)
-        r, c = np.nonzero(pairs & (both >= threshold * (size[:, None] + size[None, :] - both) - 1e-6))
+        union = size[:, None] + size[None, :] - both
+        r, c = np.nonzero(pairs & (both >= threshold * union - 1e-6))
         copies = np.array(unit["copies"])
         np.add.at(links, r, 1), np.add.at(links, c, 1)
         np.add.at(docs, r, copies[c]), np.add.at(docs, c, copies[r])
+        at = ((both[r, c] / union[r, c] - threshold) / max(1e-9, 1 - threshold) * BINS).astype(int)
+        np.add.at(bins, np.clip(at, 0, BINS - 1), 1)
         for i, j in zip(r.tolist(), c.tolist()):
             a, b = find(i), find(j)
             if a != b:
                 root[max(a, b)] = min(a, b)
-    return links.tolist(), docs.tolist(), [find(i) for i in range(m)]
+    return links.tolist(), docs.tolist(), [find(i) for i in range(m)], bins
+
+
+def _with_least(rows: DataFrame, other: str, least: DataFrame) -> DataFrame:
+    """rows (u, ...) with the least neighbour of u; the rows of one u are dealt over salts, to each of which its least goes."""
+    salted = rows.withColumn("salt", F.pmod(F.xxhash64(other), F.lit(SALTS)).cast("int"))
+    return salted.join(least.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["u", "salt"])
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -224,11 +264,11 @@ def components(edges: DataFrame) -> DataFrame:
         # large star: neighbours above a node go to the smallest of its neighbourhood
         pairs = both(now)
         least = pairs.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = pairs.where("v > u").join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b"))
+        large = _with_least(pairs.where("v > u"), "v", least).select(F.col("v").alias("a"), F.col("m").alias("b"))
         # small star: a node and those below it go to the smallest of them
         down = large.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
         least = down.groupBy("u").agg(F.min("v").alias("m"))
-        small = down.join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).unionByName(least.select(F.col("u").alias("a"), F.col("m").alias("b")))
+        small = _with_least(down, "v", least).select(F.col("v").alias("a"), F.col("m").alias("b")).unionByName(least.select(F.col("u").alias("a"), F.col("m").alias("b")))
         now = written(small.where("a <> b").distinct())
         state = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if tuple(state) == last:
@@ -237,62 +277,82 @@ def components(edges: DataFrame) -> DataFrame:
     raise RuntimeError("components did not settle in 60 rounds")
 
 
-def join(docs: DataFrame, text_col: str = "text", threshold: float = THRESHOLD, words: int = WORDS, trees: int = TREES, depth: int = DEPTH, recall: float = RECALL, block: int = BLOCK, keyed: bool = False) -> DataFrame:
-    """One row per document: doc_id, class_id (largest doc_id of its component), n_links (other documents at the threshold or above), n_linked_texts
-    (other shingle sets), class_size (documents of its component)."""
-    depth = depth_for(threshold, trees, depth, recall)
-    rows = written(signed(docs, trees, depth, text_col))
-    classes = written(rows.groupBy("key").agg(F.max(F.struct("id", "th", "size", "labels")).alias("best"), F.count(F.lit(1)).alias("copies"))
-                      .select("key", F.col("best.id").alias("rep"), F.col("best.th").alias("th"), F.col("best.size").alias("size"), F.col("best.labels").alias("labels"), "copies"))
-
-    # nodes of the tries: one row per class and tree, by the hash of its prefix
-    node = classes.select("key", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.substring("labels", t * 8 + 1, F.lit(8)))).alias("tree", "node"))
-    node = node.withColumn("node", F.xxhash64("tree", "node"))
+def _links(tries: DataFrame, classes: DataFrame, texts: DataFrame, level: int, trees: int, threshold: float, words: int, block: int) -> DataFrame:
+    """What the pairs that meet at one level give: key, links, docs, root of each class with links, and rows without key that hold histograms."""
+    node = tries.select("key", "tree", F.xxhash64("tree", F.substring("label", 1, 2 * level)).alias("node"))
     shared = node.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    members = node.join(shared, "node")
     blocks = F.ceil(F.col("n") / F.lit(block)).cast("int")
-    members = members.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("key", F.lit(3)), F.col("blocks")).cast("int"))
+    members = node.join(shared, "node").withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("key", F.lit(3)), F.col("blocks")).cast("int"))
     # a block meets itself and every other block of its node once
     members = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     members = members.select("key", "tree", F.xxhash64("node", F.least("own", "other"), F.greatest("own", "other")).alias("unit"),
                              F.when(F.col("own") > F.col("other"), 1).otherwise(0).alias("side"))
     light = members.join(classes.select("key", "size", "labels"), "key")
+    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.binary()]
 
     def meet(batches):
         """Units with a pair that meets for the first time, only with the classes of such pairs."""
-        names = ["unit", "tree", "side", "key"]
-        out = []
+        names, out = ["unit", "tree", "side", "key"], []
         for u in _runs(batches, ["unit", "tree", "side", "key", "size", "labels"], "unit"):
-            u["threshold"] = threshold
             if len(u["key"]) > 1:
-                pairs = wanted(u, trees)
+                pairs = wanted(u, trees, level, threshold)
                 for i in np.flatnonzero(pairs.any(0) | pairs.any(1)):
                     out.append((u["unit"][i], u["tree"][i], u["side"][i], u["key"][i]))
             if len(out) > 4096:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), [pa.int64(), pa.int32(), pa.int32(), pa.binary()])], names)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names)
                 out = []
         if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), [pa.int64(), pa.int32(), pa.int32(), pa.binary()])], names)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names)
 
     met = written(light.repartition("unit").sortWithinPartitions("unit").mapInArrow(meet, "unit long, tree int, side int, key binary"))
-    # the texts that verification needs; rows that repeat a class's text give it once
-    need = met.select("key").distinct().join(classes, "key")
-    texts = slim(docs, text_col).select(F.coalesce("doc_id", F.lit(LOWEST)).alias("rep"), F.xxhash64("text").alias("th"), "text")
-    heavy = met.join(texts.join(need, ["rep", "th"]).dropDuplicates(["key"]), "key")
+    heavy = met.join(texts, "key")
 
     def check(batches):
-        out = []
-        names = ["key", "links", "docs", "root"]
+        names, out, bins = ["key", "links", "docs", "root", "bins"], [], np.zeros(BINS, int)
+        kinds = [pa.binary(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64())]
         for u in _runs(batches, ["unit", "tree", "side", "key", "size", "labels", "copies", "text"], "unit"):
-            links, n, root = verify(u, trees, threshold, words)
-            out += [(k, a, b, u["key"][r]) for k, a, b, r in zip(u["key"], links, n, root) if a]
+            links, n, root, more = verify(u, trees, level, threshold, words)
+            bins += more
+            out += [(k, a, b, u["key"][r], None) for k, a, b, r in zip(u["key"], links, n, root) if a]
             if len(out) > 4096:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), [pa.binary(), pa.int64(), pa.int64(), pa.binary()])], names)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names)
                 out = []
+        if bins.any():
+            out.append((None, 0, 0, None, bins.tolist()))
         if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), [pa.binary(), pa.int64(), pa.int64(), pa.binary()])], names)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names)
+
+    return written(heavy.repartition("unit").sortWithinPartitions("unit").mapInArrow(check, "key binary, links long, docs long, root binary, bins array<long>"))
+
+
+def join(docs: DataFrame, text_col: str = "text", threshold: float = THRESHOLD, words: int = WORDS, trees: int = TREES, depth: int = DEPTH, recall: float = RECALL, block: int = BLOCK, keyed: bool = False) -> DataFrame:
+    """One row per document: doc_id, class_id (largest doc_id of its component), n_links (other documents at the threshold or above), n_linked_texts
+    (other shingle sets), class_size (documents of its component)."""
+    least = shallowest(threshold, trees, depth, recall)
+    rows = written(signed(docs, trees, depth, text_col))
+    classes = written(rows.groupBy("key").agg(F.max(F.struct("id", "th", "size", "labels")).alias("best"), F.count(F.lit(1)).alias("copies"))
+                      .select("key", F.col("best.id").alias("rep"), F.col("best.th").alias("th"), F.col("best.size").alias("size"), F.col("best.labels").alias("labels"), "copies"))
 
-    found = written(heavy.repartition("unit").sortWithinPartitions("unit").mapInArrow(check, "key binary, links long, docs long, root binary"))
+    # the tries, down to the prefixes that can ever be shared: a row per class and tree, sorted by label in each file
+    each = F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.substring("labels", t * (2 * depth) + 1, F.lit(2 * depth)))
+    every = classes.select("key", F.posexplode(each).alias("tree", "label")).withColumn("node", F.xxhash64("tree", F.substring("label", 1, 2 * least)))
+    shared = every.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("node")
+    tries = written(every.join(shared, "node").sortWithinPartitions("tree", "label").select("key", "tree", "label"))
+    # the texts that verification may need; rows that repeat a class's text give it once
+    need = tries.select("key").distinct().join(classes, "key")
+    own = slim(docs, text_col).select(F.coalesce("doc_id", F.lit(LOWEST)).alias("rep"), F.xxhash64("text").alias("th"), "text")
+    texts = written(own.join(need, ["rep", "th"]).dropDuplicates(["key"]).select("key", "size", "labels", "copies", "text"))
+
+    found, histogram = None, np.zeros(BINS, int)
+    for level in range(depth, least - 1, -1):
+        new = _links(tries, classes, texts, level, trees, threshold, words, block)
+        found = new if found is None else found.unionByName(new)
+        sums = new.where("bins is not null").select(F.posexplode("bins").alias("bin", "n")).groupBy("bin").agg(F.sum("n")).collect()  # BINS rows at most
+        for at, n in sums:
+            histogram[at] += n
+        if estimated_recall(histogram, threshold, level, trees) >= recall:
+            break
+    found = found.where("key is not null")
     links = found.groupBy("key").agg(F.sum("links").alias("links"), F.sum("docs").alias("docs"))
     parts = components(found.select(F.col("key").alias("a"), F.col("root").alias("b")))
     named = classes.select("key", "rep", "copies").join(links, "key", "left").join(parts.withColumnRenamed("u", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
@@ -304,7 +364,8 @@ def join(docs: DataFrame, text_col: str = "text", threshold: float = THRESHOLD,
 
 def survivors(docs: DataFrame, text_col: str = "text", **how) -> DataFrame:
     """The rows of one document of each component, whole: the one with the largest doc_id. Of rows that share that id, those of its class stay."""
+    at, th = fresh(docs, "at"), fresh(docs, "th")
     found = join(docs, text_col, keyed=True, **how)
-    gone = found.where(~F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.coalesce("doc_id", F.lit(LOWEST)).alias("__id"), F.col("th").alias("__th")).distinct()
-    named = docs.withColumn("__id", F.coalesce(F.col("doc_id").cast("long"), F.lit(LOWEST))).withColumn("__th", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
-    return named.join(gone, ["__id", "__th"], "left_anti").select(*docs.columns)
+    gone = found.where(~F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.coalesce("doc_id", F.lit(LOWEST)).alias(at), F.col("th").alias(th)).distinct()
+    named = docs.withColumn(at, F.coalesce(F.col("doc_id").cast("long"), F.lit(LOWEST))).withColumn(th, F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
+    return named.join(gone, [at, th], "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

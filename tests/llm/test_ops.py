@@ -108,8 +108,56 @@ def test_jaccard_survivors(docs, rows, empty):
     assert jaccard_forest.join(empty).count() == 0
 
 
-def test_forest_depth():
-    assert jaccard_forest.depth_for() == 5 and jaccard_forest.depth_for(recall=0.5) > jaccard_forest.depth_for(recall=0.999999)
+def test_forest_is_shortened_until_the_target():
+    j = jaccard_forest
+    assert j.shallowest() == 4 and j.shallowest(recall=0.5) > j.shallowest(recall=0.999999)
+    close, far = np.zeros(j.BINS, int), np.zeros(j.BINS, int)
+    close[-1], far[0] = 100_000, 100_000
+    assert j.estimated_recall(close, 0.8, 8, j.TREES) > 0.999999 > j.estimated_recall(far, 0.8, 8, j.TREES)
+    stop = lambda h: next(d for d in range(8, 0, -1) if j.estimated_recall(h, 0.8, d, j.TREES) >= j.RECALL or d == j.shallowest())
+    assert stop(close) == 8 and stop(far) == 4 and stop(np.zeros(j.BINS, int)) == 4  # without evidence it goes all the way
+
+
+def test_forest_levels_meet_each_pair_once():
+    """At every level a pair meets in one tree, and at one level only: the length of the longest prefix it shares in any tree."""
+    rng = np.random.default_rng(2)
+    lab = rng.integers(0, 2, (40, 4, 5)).astype(np.uint64)
+    seen = np.zeros((40, 40), int)
+    for level in range(5, 0, -1):
+        at = jaccard_forest.nodes(lab, level)
+        for t in range(4):
+            for v in np.unique(at[:, t]):
+                i = np.flatnonzero(at[:, t] == v)
+                seen[np.ix_(i, i)] += jaccard_forest.first_met(lab[i], t, level)
+    shares = (lab[:, None, :, 0] == lab[None, :, :, 0]).any(-1)
+    off = ~np.eye(40, dtype=bool)
+    assert (seen[off] == shares[off]).all()
+
+
+def test_jaccard_recall_on_a_table(spark):
+    """Against all pairs of sf0.01: every link, and so every class."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = [(r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").collect()]
+    sets, holders = [set(jaccard_forest.shingles(t or "").tolist()) for _, t in rows], {}
+    for i, s in enumerate(sets):
+        for x in s:
+            holders.setdefault(x, []).append(i)
+    pairs = {(i, j) for v in holders.values() for n, i in enumerate(v) for j in v[n + 1:]}
+    n = Counter()
+    for i, j in pairs:
+        if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+            n[rows[i][0]] += 1
+            n[rows[j][0]] += 1
+    got = {r["doc_id"]: r["n_links"] for r in jaccard_forest.join(docs).collect()}
+    assert sum(n.values()) > 100 and got == {i: n[i] for i, _ in rows}
+
+
+def test_jaccard_survivors_keep_columns_of_any_name(spark, rows):
+    named = spark.createDataFrame([(i, t, f"keep{n}", n) for n, (i, t) in enumerate(rows)], "doc_id long, text string, at string, th long")
+    left = jaccard_forest.survivors(named)
+    assert left.columns == named.columns
+    by = {(i, t, f"keep{n}", n) for n, (i, t) in enumerate(rows)}
+    assert {tuple(r) for r in left.collect()} <= by
 
 
 BASE = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}

@@ -3,14 +3,14 @@
 1. A text becomes the set of its five-word shingles; texts with one set are one class, and the class is what is joined.
 2. Each of `trees` tries holds a label of `depth` MinHash values for every class. Of a trie only the parts matter where labels share a prefix of at
    least `shallowest` values: the prefix at which the forest's recall at the threshold reaches the target whatever the data are. They are kept sorted by label.
-3. Prefixes are shortened level by level, from whole labels on, in all tries at once. At each level the classes of a node meet; a pair belongs to the
-   first tree in which it meets at that level, and pairs met at a longer prefix are skipped. A node's classes are sorted into blocks of at most
-   `block`, and pairs of blocks go to tasks, so a node with a third of all rows is spread like any other.
-4. Each task verifies its pairs exactly and returns, per class, how many links it found and a spanning forest of them: rows in proportion to
-   the classes, never pairs; and a histogram of the links' similarities.
-5. After each level the recall is estimated from all links so far: one of similarity s is found with probability p(s) = 1 - (1 - s^d)^trees, so it stands for
-   (1 - p) / p missed ones; one link more, at the threshold itself, is always assumed. The tries are shortened on while the estimate is below the target,
-   and at `shallowest` they are done. A corpus whose links are all close copies needs long prefixes only; one with links near the threshold short ones.
+3. The classes of a node at that prefix meet, by their labels alone. A pair belongs to the first tree in which it meets. A node's classes are sorted into
+   blocks of at most `block`, and pairs of blocks go to tasks, so a node with a third of all rows is spread like any other. Of each pair the
+   longest prefix it shares in any tree is known, and from the values in which labels agree about how alike it is; both are counted, not kept.
+4. Matched prefixes are shortened from whole labels on, level by level, until those that share as much hold the target share of all pairs that may be links
+   (by their labels, with a margin; one pair more, at the threshold itself, is always assumed missing). A corpus of close copies needs long
+   prefixes only, one with links near the threshold short ones; `shallowest` is where shortening ends in any case.
+5. Each task verifies the pairs that share such a prefix exactly and returns, per class, how many links it found and a spanning forest of them: rows in
+   proportion to the classes, never pairs.
 6. Links are summed, and the forests joined to components by large-star / small-star rounds, whose hubs are dealt over salts.
 
 Every link is counted, so a group of m texts that are all alike and all different costs m^2 / 2 comparisons, spread over blocks; copies cost nothing.
@@ -31,8 +31,8 @@ from cohortline.llm.common import fresh, pieces, slim, written
 
 WORDS, THRESHOLD = 5, 0.8
 TREES, DEPTH, RECALL, BLOCK = 24, 8, 0.99999, 512
-#: Bins of the histogram of similarities, from the threshold to 1.
-BINS = 50
+#: A pair whose labels agree in this much less than the threshold may still be a link: two standard errors of 192 values.
+MARGIN = 0.06
 #: Tasks that a hub's edges are dealt over.
 SALTS = 16
 _WORD = re.compile(r"\w+")
@@ -93,12 +93,14 @@ def shallowest(threshold: float = THRESHOLD, trees: int = TREES, depth: int = DE
     return depth
 
 
-def estimated_recall(histogram: np.ndarray, threshold: float, depth: int, trees: int) -> float:
-    """Of the links there are, the share found, by what the links found so far stand for (each at the lower end of its bin) and one more link at the threshold."""
-    s = threshold + (1 - threshold) * np.arange(len(histogram)) / len(histogram)
-    p = found_at(s, depth, trees)
-    missed = float((histogram * (1 - p) / p).sum()) + (1 - found_at(threshold, depth, trees)) / found_at(threshold, depth, trees)
-    return (1 + histogram.sum()) / (1 + histogram.sum() + missed)
+def level_for(counts: dict[int, int], threshold: float = THRESHOLD, trees: int = TREES, depth: int = DEPTH, recall: float = RECALL) -> int:
+    """How far matched prefixes are shortened, by counts of the pairs that may be links by the longest prefix they share."""
+    least, every, held = shallowest(threshold, trees, depth, recall), 1 + sum(counts.values()), 0
+    for level in range(depth, least, -1):
+        held += counts.get(level, 0)
+        if (held + found_at(threshold, level, trees)) / every >= recall:
+            return level
+    return least
 
 
 _rng = np.random.default_rng(20)
@@ -174,28 +176,38 @@ def _runs(batches, columns: list[str], key: str):
 
 
 def first_met(labels: np.ndarray, tree: int, level: int) -> np.ndarray:
-    """For classes that share a node of `tree` at `level`, the boolean matrix of pairs that share none of an earlier tree there, and none of any tree a level deeper."""
+    """For classes that share a node of `tree` at `level`, the boolean matrix of pairs that share none of an earlier tree there."""
     out = np.ones((len(labels), len(labels)), bool)
-    at = nodes(labels, level)
+    at = nodes(labels[:, :tree], level)
     for t in range(tree):
         out &= at[:, t][:, None] != at[:, t][None, :]
-    if level < labels.shape[2]:
-        at = nodes(labels, level + 1)
-        for t in range(labels.shape[1]):
-            out &= at[:, t][:, None] != at[:, t][None, :]
     return out
 
 
-def wanted(unit: dict[str, list], trees: int, level: int, threshold: float) -> np.ndarray:
-    """The upper triangle of pairs that a unit (two blocks of one node, or one block) is to verify."""
-    lab = np.frombuffer(b"".join(unit["labels"]), ">u2").reshape(len(unit["labels"]), trees, -1).astype(np.uint64)
+def label_array(unit: dict[str, list], trees: int) -> np.ndarray:
+    return np.frombuffer(b"".join(unit["labels"]), ">u2").reshape(len(unit["labels"]), trees, -1).astype(np.uint64)
+
+
+def wanted(unit: dict[str, list], labels: np.ndarray, level: int, threshold: float) -> np.ndarray:
+    """The upper triangle of pairs that belong to a unit (two blocks of one node, or one block) and whose sizes let them be links."""
     side = np.array(unit["side"])
     size = np.array(unit["size"], float)
     pairs = np.minimum(size[:, None], size[None, :]) >= threshold * np.maximum(size[:, None], size[None, :])
     if side.max() > 0:  # two blocks: only pairs across them
         pairs &= side[:, None] != side[None, :]
     pairs = np.triu(pairs, 1)
-    return pairs & first_met(lab, unit["tree"][0], level) if pairs.any() else pairs
+    return pairs & first_met(labels, unit["tree"][0], level) if pairs.any() else pairs
+
+
+def agreement(labels: np.ndarray, r: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For pairs of rows: the longest prefix shared in any tree, and the share of equal values."""
+    prefix, share = np.empty(len(r), int), np.empty(len(r))
+    small = labels.astype(np.uint16)
+    for i in range(0, len(r), 4096):
+        same = small[r[i:i + 4096]] == small[c[i:i + 4096]]
+        prefix[i:i + 4096] = np.logical_and.accumulate(same, axis=2).sum(2).max(1)
+        share[i:i + 4096] = same.mean((1, 2))
+    return prefix, share
 
 
 def intersections(sets: list[np.ndarray], pairs: np.ndarray) -> np.ndarray:
@@ -219,9 +231,13 @@ def intersections(sets: list[np.ndarray], pairs: np.ndarray) -> np.ndarray:
     return out
 
 
-def verify(unit: dict[str, list], trees: int, level: int, threshold: float, words: int) -> tuple[list[int], list[int], list[int], np.ndarray]:
-    """For each class of the unit: linked classes, linked documents, and the first class of its part of the spanning forest; and the histogram of similarities."""
-    pairs = wanted(unit, trees, level, threshold)
+def verify(unit: dict[str, list], trees: int, least: int, level: int, threshold: float, words: int) -> tuple[list[int], list[int], list[int]]:
+    """For each class of the unit: linked classes, linked documents, and the first class of its part of the spanning forest, by pairs that share `level` values."""
+    labels = label_array(unit, trees)
+    pairs = wanted(unit, labels, least, threshold)
+    r, c = np.nonzero(pairs)
+    short = agreement(labels, r, c)[0] < level
+    pairs[r[short], c[short]] = False
     m = len(pairs)
     root = list(range(m))
 
@@ -231,23 +247,20 @@ def verify(unit: dict[str, list], trees: int, level: int, threshold: float, word
             i = root[i]
         return i
 
-    links, docs, bins = np.zeros(m, int), np.zeros(m, int), np.zeros(BINS, int)
+    links, docs = np.zeros(m, int), np.zeros(m, int)
     if pairs.any():
         sets = [shingles(t, words) for t in unit["text"]]
         size = np.array([len(s) for s in sets], float)
         both = intersections(sets, pairs)
-        union = size[:, None] + size[None, :] - both
-        r, c = np.nonzero(pairs & (both >= threshold * union - 1e-6))
+        r, c = np.nonzero(pairs & (both >= threshold * (size[:, None] + size[None, :] - both) - 1e-6))
         copies = np.array(unit["copies"])
         np.add.at(links, r, 1), np.add.at(links, c, 1)
         np.add.at(docs, r, copies[c]), np.add.at(docs, c, copies[r])
-        at = ((both[r, c] / union[r, c] - threshold) / max(1e-9, 1 - threshold) * BINS).astype(int)
-        np.add.at(bins, np.clip(at, 0, BINS - 1), 1)
         for i, j in zip(r.tolist(), c.tolist()):
             a, b = find(i), find(j)
             if a != b:
                 root[max(a, b)] = min(a, b)
-    return links.tolist(), docs.tolist(), [find(i) for i in range(m)], bins
+    return links.tolist(), docs.tolist(), [find(i) for i in range(m)]
 
 
 def _with_least(rows: DataFrame, other: str, least: DataFrame) -> DataFrame:
@@ -277,9 +290,18 @@ def components(edges: DataFrame) -> DataFrame:
     raise RuntimeError("components did not settle in 60 rounds")
 
 
-def _links(tries: DataFrame, classes: DataFrame, texts: DataFrame, level: int, trees: int, threshold: float, words: int, block: int) -> DataFrame:
-    """What the pairs that meet at one level give: key, links, docs, root of each class with links, and rows without key that hold histograms."""
-    node = tries.select("key", "tree", F.xxhash64("tree", F.substring("label", 1, 2 * level)).alias("node"))
+def join(docs: DataFrame, text_col: str = "text", threshold: float = THRESHOLD, words: int = WORDS, trees: int = TREES, depth: int = DEPTH, recall: float = RECALL, block: int = BLOCK, keyed: bool = False) -> DataFrame:
+    """One row per document: doc_id, class_id (largest doc_id of its component), n_links (other documents at the threshold or above), n_linked_texts
+    (other shingle sets), class_size (documents of its component)."""
+    least = shallowest(threshold, trees, depth, recall)
+    rows = written(signed(docs, trees, depth, text_col))
+    classes = written(rows.groupBy("key").agg(F.max(F.struct("id", "th", "size", "labels")).alias("best"), F.count(F.lit(1)).alias("copies"))
+                      .select("key", F.col("best.id").alias("rep"), F.col("best.th").alias("th"), F.col("best.size").alias("size"), F.col("best.labels").alias("labels"), "copies"))
+
+    # nodes of the tries: one row per class and tree, by its prefix
+    prefix = lambda t: F.substring("labels", t * (2 * depth) + 1, F.lit(2 * least))
+    node = classes.select("key", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), prefix)).alias("tree", "node"))
+    node = node.withColumn("node", F.xxhash64("tree", "node"))
     shared = node.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     blocks = F.ceil(F.col("n") / F.lit(block)).cast("int")
     members = node.join(shared, "node").withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("key", F.lit(3)), F.col("blocks")).cast("int"))
@@ -288,71 +310,50 @@ def _links(tries: DataFrame, classes: DataFrame, texts: DataFrame, level: int, t
     members = members.select("key", "tree", F.xxhash64("node", F.least("own", "other"), F.greatest("own", "other")).alias("unit"),
                              F.when(F.col("own") > F.col("other"), 1).otherwise(0).alias("side"))
     light = members.join(classes.select("key", "size", "labels"), "key")
-    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.binary()]
+    tries = light.repartition("unit").sortWithinPartitions("unit", F.expr(f"substring(labels, tree * {2 * depth} + 1, {2 * depth})"))
 
     def meet(batches):
-        """Units with a pair that meets for the first time, only with the classes of such pairs."""
-        names, out = ["unit", "tree", "side", "key"], []
+        """Units with a pair that meets for the first time, only with the classes of such pairs; and counts of pairs by the prefix they share, without a key."""
+        names, out, counts = ["unit", "tree", "side", "key", "counts"], [], np.zeros(depth + 1, int)
+        kinds = [pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.list_(pa.int64())]
         for u in _runs(batches, ["unit", "tree", "side", "key", "size", "labels"], "unit"):
             if len(u["key"]) > 1:
-                pairs = wanted(u, trees, level, threshold)
+                labels = label_array(u, trees)
+                pairs = wanted(u, labels, least, threshold)
+                shares, alike = agreement(labels, *np.nonzero(pairs))
+                np.add.at(counts, shares[alike >= threshold - MARGIN], 1)
                 for i in np.flatnonzero(pairs.any(0) | pairs.any(1)):
-                    out.append((u["unit"][i], u["tree"][i], u["side"][i], u["key"][i]))
+                    out.append((u["unit"][i], u["tree"][i], u["side"][i], u["key"][i], None))
             if len(out) > 4096:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names)
                 out = []
+        if counts.any():
+            out.append((0, 0, 0, None, counts.tolist()))
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names)
 
-    met = written(light.repartition("unit").sortWithinPartitions("unit").mapInArrow(meet, "unit long, tree int, side int, key binary"))
-    heavy = met.join(texts, "key")
+    met = written(tries.mapInArrow(meet, "unit long, tree int, side int, key binary, counts array<long>"))
+    totals = met.where("counts is not null").select(F.posexplode("counts").alias("prefix", "n")).groupBy("prefix").agg(F.sum("n")).collect()  # depth + 1 rows at most
+    level = level_for({r[0]: r[1] for r in totals}, threshold, trees, depth, recall)
+    # the texts that verification needs; rows that repeat a class's text give it once
+    met = met.where("key is not null").drop("counts")
+    need = met.select("key").distinct().join(classes, "key")
+    texts = slim(docs, text_col).select(F.coalesce("doc_id", F.lit(LOWEST)).alias("rep"), F.xxhash64("text").alias("th"), "text")
+    heavy = met.join(texts.join(need, ["rep", "th"]).dropDuplicates(["key"]), "key")
 
     def check(batches):
-        names, out, bins = ["key", "links", "docs", "root", "bins"], [], np.zeros(BINS, int)
-        kinds = [pa.binary(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64())]
+        out = []
+        names, kinds = ["key", "links", "docs", "root"], [pa.binary(), pa.int64(), pa.int64(), pa.binary()]
         for u in _runs(batches, ["unit", "tree", "side", "key", "size", "labels", "copies", "text"], "unit"):
-            links, n, root, more = verify(u, trees, level, threshold, words)
-            bins += more
-            out += [(k, a, b, u["key"][r], None) for k, a, b, r in zip(u["key"], links, n, root) if a]
+            links, n, root = verify(u, trees, least, level, threshold, words)
+            out += [(k, a, b, u["key"][r]) for k, a, b, r in zip(u["key"], links, n, root) if a]
             if len(out) > 4096:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names)
                 out = []
-        if bins.any():
-            out.append((None, 0, 0, None, bins.tolist()))
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names)
 
-    return written(heavy.repartition("unit").sortWithinPartitions("unit").mapInArrow(check, "key binary, links long, docs long, root binary, bins array<long>"))
-
-
-def join(docs: DataFrame, text_col: str = "text", threshold: float = THRESHOLD, words: int = WORDS, trees: int = TREES, depth: int = DEPTH, recall: float = RECALL, block: int = BLOCK, keyed: bool = False) -> DataFrame:
-    """One row per document: doc_id, class_id (largest doc_id of its component), n_links (other documents at the threshold or above), n_linked_texts
-    (other shingle sets), class_size (documents of its component)."""
-    least = shallowest(threshold, trees, depth, recall)
-    rows = written(signed(docs, trees, depth, text_col))
-    classes = written(rows.groupBy("key").agg(F.max(F.struct("id", "th", "size", "labels")).alias("best"), F.count(F.lit(1)).alias("copies"))
-                      .select("key", F.col("best.id").alias("rep"), F.col("best.th").alias("th"), F.col("best.size").alias("size"), F.col("best.labels").alias("labels"), "copies"))
-
-    # the tries, down to the prefixes that can ever be shared: a row per class and tree, sorted by label in each file
-    each = F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.substring("labels", t * (2 * depth) + 1, F.lit(2 * depth)))
-    every = classes.select("key", F.posexplode(each).alias("tree", "label")).withColumn("node", F.xxhash64("tree", F.substring("label", 1, 2 * least)))
-    shared = every.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("node")
-    tries = written(every.join(shared, "node").sortWithinPartitions("tree", "label").select("key", "tree", "label"))
-    # the texts that verification may need; rows that repeat a class's text give it once
-    need = tries.select("key").distinct().join(classes, "key")
-    own = slim(docs, text_col).select(F.coalesce("doc_id", F.lit(LOWEST)).alias("rep"), F.xxhash64("text").alias("th"), "text")
-    texts = written(own.join(need, ["rep", "th"]).dropDuplicates(["key"]).select("key", "size", "labels", "copies", "text"))
-
-    found, histogram = None, np.zeros(BINS, int)
-    for level in range(depth, least - 1, -1):
-        new = _links(tries, classes, texts, level, trees, threshold, words, block)
-        found = new if found is None else found.unionByName(new)
-        sums = new.where("bins is not null").select(F.posexplode("bins").alias("bin", "n")).groupBy("bin").agg(F.sum("n")).collect()  # BINS rows at most
-        for at, n in sums:
-            histogram[at] += n
-        if estimated_recall(histogram, threshold, level, trees) >= recall:
-            break
-    found = found.where("key is not null")
+    found = written(heavy.repartition("unit").sortWithinPartitions("unit").mapInArrow(check, "key binary, links long, docs long, root binary"))
     links = found.groupBy("key").agg(F.sum("links").alias("links"), F.sum("docs").alias("docs"))
     parts = components(found.select(F.col("key").alias("a"), F.col("root").alias("b")))
     named = classes.select("key", "rep", "copies").join(links, "key", "left").join(parts.withColumnRenamed("u", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))

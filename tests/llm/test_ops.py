@@ -111,27 +111,27 @@ def test_jaccard_survivors(docs, rows, empty):
 def test_forest_is_shortened_until_the_target():
     j = jaccard_forest
     assert j.shallowest() == 4 and j.shallowest(recall=0.5) > j.shallowest(recall=0.999999)
-    close, far = np.zeros(j.BINS, int), np.zeros(j.BINS, int)
-    close[-1], far[0] = 100_000, 100_000
-    assert j.estimated_recall(close, 0.8, 8, j.TREES) > 0.999999 > j.estimated_recall(far, 0.8, 8, j.TREES)
-    stop = lambda h: next(d for d in range(8, 0, -1) if j.estimated_recall(h, 0.8, d, j.TREES) >= j.RECALL or d == j.shallowest())
-    assert stop(close) == 8 and stop(far) == 4 and stop(np.zeros(j.BINS, int)) == 4  # without evidence it goes all the way
+    assert j.level_for({8: 10_000_000}) == 8 and j.level_for({8: 900_000, 6: 100_000}) == 6 and j.level_for({8: 9_000_000, 5: 50}) == 8 and j.level_for({8: 9_000_000, 5: 500}) == 5  # at most 1e-5 of the pairs is left
+    assert j.level_for({}) == j.level_for({8: 9, 4: 1}) == 4 and j.level_for({8: 90, 3: 10}, recall=0.9) == 8
 
 
-def test_forest_levels_meet_each_pair_once():
-    """At every level a pair meets in one tree, and at one level only: the length of the longest prefix it shares in any tree."""
+def test_forest_pairs_meet_once():
+    """A pair belongs to the first tree in which it shares a node; prefixes and shares of pairs are those of plain loops."""
     rng = np.random.default_rng(2)
     lab = rng.integers(0, 2, (40, 4, 5)).astype(np.uint64)
     seen = np.zeros((40, 40), int)
-    for level in range(5, 0, -1):
-        at = jaccard_forest.nodes(lab, level)
-        for t in range(4):
-            for v in np.unique(at[:, t]):
-                i = np.flatnonzero(at[:, t] == v)
-                seen[np.ix_(i, i)] += jaccard_forest.first_met(lab[i], t, level)
-    shares = (lab[:, None, :, 0] == lab[None, :, :, 0]).any(-1)
+    at = jaccard_forest.nodes(lab, 2)
+    for t in range(4):
+        for v in np.unique(at[:, t]):
+            i = np.flatnonzero(at[:, t] == v)
+            seen[np.ix_(i, i)] += jaccard_forest.first_met(lab[i], t, 2)
+    shares = (lab[:, None, :, :2] == lab[None, :, :, :2]).all(-1).any(-1)
     off = ~np.eye(40, dtype=bool)
     assert (seen[off] == shares[off]).all()
+    r, c = np.nonzero(off)
+    prefix, share = jaccard_forest.agreement(lab, r, c)
+    for i, j, p, s in list(zip(r, c, prefix, share))[::7]:
+        assert p == max(next((k for k in range(5) if lab[i, t, k] != lab[j, t, k]), 5) for t in range(4)) and abs(s - (lab[i] == lab[j]).mean()) < 1e-9
 
 
 def test_jaccard_recall_on_a_table(spark):

@@ -1,13 +1,15 @@
 """Byte-level BPE encoding and decoding by overlapping chunks.
 
 A short text is one chunk. A long text is cut at nominal points, every chunk reading `overlap` characters past its end; its chunks are rows of
-their own and are pre-tokenised in parallel. Two runs of the pattern over the same characters that share one boundary share all later ones,
-so a chunk can be cut at the first boundary, at or after its nominal point, that both neighbours see. A change from a
-non-space to a space is a boundary in every run (no match of the pattern goes from the one to the other), which is where neighbours
-always resynchronise; chunks whose overlap holds no such point are joined again before they are encoded, so the result is exact.
-The pieces between cuts are then encoded, and decoding concatenates the raw bytes of the ids.
-
-Defined results: a null or empty text has no ids; lone surrogates cannot occur in Spark strings; repeated rows are encoded each.
+their own and are pre-tokenised and encoded in parallel. Two runs of the pattern over the same characters that share one boundary share all later ones,
+so neighbours may be stitched at the first boundary, at or after the nominal point, that both see. A change from a
+non-space to a space is a boundary in every run (no match of the pattern goes from the one to the other): there neighbours
+resynchronise wherever they began, so each finds the cut by itself, without the other's boundaries. Chunks whose overlap holds no such point, as in
+scripts without spaces, are joined again before they are encoded, in one task a text, so the result is exact.
+The pieces between cuts are encoded, and decoding concatenates the raw bytes of the ids.
+
+Defined results: a null or empty text has no ids; lone surrogates cannot occur in Spark strings; repeated rows are encoded each; a null doc_id is an id like any
+other; an empty table gives an empty table; columns other than doc_id and text don't matter.
 """
 
 import base64
@@ -43,18 +45,6 @@ def encoding(path: str):
     return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks_of(path), special_tokens={})
 
 
-@lru_cache(maxsize=2)
-def pattern():
-    import public_tokenizers
-
-    return regex.compile(public_tokenizers.PATTERN)
-
-
-def boundaries(text: str, start: int = 0, end: int | None = None) -> list[int]:
-    """Where the pre-tokens of text[start:end] begin."""
-    return [m.start() for m in pattern().finditer(text, start, len(text) if end is None else end)]
-
-
 def sync_point(text: str, nominal: int, limit: int) -> int | None:
     """The first boundary at or after `nominal`, before `limit`, that any run over the text has; None if the overlap has none."""
     m = SYNC.search(text, max(nominal, 1), limit)

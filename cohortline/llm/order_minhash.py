@@ -5,8 +5,11 @@ has `size` equal ranges; from each the `ell` minimal ones are selected, put back
 their k-mers is hashed to a 16-bit component. A range with fewer than `ell` takes the missing ones from the ranges after it, so that short and long
 texts are fingerprinted by one rule. The likeness of two fingerprints is the share of equal components.
 
+A text's `size` samples come from one hash instead of `size` independent ones: a k-mer is looked at in one range only, so a fingerprint costs one pass. The tests hold
+it against independent samples. Neighbouring components of a short text may share k-mers, which changes no expectation, only the variance.
+
 The next document (descending doc_id, cyclic) is met without a global window: rows are dealt by range of doc_id, the bounds being ids that
-occur, and the row at a bound is dealt to the following range too, as the one to look ahead to.
+occur, and the row at a bound is dealt to the following range too, as the one to look ahead to. Rows that repeat one doc_id are in one range and stream through its task.
 
 Defined results: a null text is empty, and has the fingerprint of the empty text; rows of one doc_id are ordered by text; a single row is its
 own next document; a null doc_id comes after all others in descending order; an empty table gives an empty table.
@@ -24,8 +27,8 @@ from cohortline.llm.common import pieces, slim
 K, ELL, SIZE = 5, 2, 64
 #: Rows that one range of ids holds, about.
 ROWS_A_RANGE = 500
-#: A range then holds more rows; they are streamed, never held together.
-MOST_RANGES = 2_048
+#: Bounds of ranges that the driver and a plan hold, as numbers; past MOST_RANGES x ROWS_A_RANGE rows a range has more rows, which are streamed, never held together.
+MOST_RANGES, FAN = 1 << 16, 256
 NAMES = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
 TYPES = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
 _M1, _M2, _P = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
@@ -83,16 +86,24 @@ def edited(text: str, following: str) -> str:
     return text[:len(text) - m] + following[:m]
 
 
-def bucket(key: Column, cuts: list[int]) -> Column:
-    """How many cuts are below the key: a balanced tree of comparisons."""
+def numbers(values: list, kind: str) -> Column:
+    """A constant array; one literal, however many values there are."""
+    return F.split(F.lit(",".join(map(str, values))), ",").cast(f"array<{kind}>")
+
 
-    def tree(lo: int, hi: int) -> Column:
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        return F.when(key <= cuts[mid], tree(lo, mid)).otherwise(tree(mid + 1, hi))
+def tree(key: Column, cuts: list[int], lo: int, hi: int) -> Column:
+    """How many of cuts[lo:hi] are below the key, plus lo, by a balanced tree of comparisons."""
+    if lo == hi:
+        return F.lit(lo)
+    mid = (lo + hi) // 2
+    return F.when(key <= cuts[mid], tree(key, cuts, lo, mid)).otherwise(tree(key, cuts, mid + 1, hi))
 
-    return tree(0, len(cuts))
+
+def near(key: Column, cuts: list[int]) -> tuple[Column, Column]:
+    """The block of cuts that the key falls into, an array, and the number of cuts before it."""
+    last = [cuts[min(i + FAN, len(cuts)) - 1] for i in range(0, len(cuts), FAN)]
+    at = F.least(tree(key, last, 0, len(last)), F.lit(len(last) - 1)) * FAN
+    return F.slice(numbers(cuts, "bigint"), at + 1, F.lit(FAN)), at
 
 
 def ranged(rows: DataFrame, rows_a_range: int = ROWS_A_RANGE) -> DataFrame:
@@ -101,15 +112,18 @@ def ranged(rows: DataFrame, rows_a_range: int = ROWS_A_RANGE) -> DataFrame:
     n, top = rows.agg(F.count(F.lit(1)), F.max(key)).first()
     parts = max(1, min(MOST_RANGES, -(-n // rows_a_range)))
     share = [i / parts for i in range(1, parts)]
-    cuts = sorted({c for c in rows.agg(F.percentile_approx(key, share, 10_000)).first()[0] if c < top}) if share else []
+    cuts = sorted({c for c in rows.agg(F.percentile_approx(key, numbers(share, "double"), max(10_000, 10 * parts))).first()[0] if c < top}) if share else []
     # range i holds cuts[i - 1] < key <= cuts[i]; a cut is an id that occurs, so the first one of a range is known to be it
     place = lambda r, ahead: F.array(F.struct(r.cast("int").alias("range"), F.lit(ahead).alias("ahead")))
     none = F.array().cast("array<struct<range:int,ahead:boolean>>")
-    own = F.col("own")
-    to = F.concat(place(own, False), F.when(F.col("key").isin(cuts), place(own + 1, True)).otherwise(none) if cuts else none,
-                  F.when(F.col("key") == top, place(F.lit(0), True)).otherwise(none) if n else none)
-    return (rows.withColumn("key", key).withColumn("own", bucket(F.col("key"), cuts)).withColumn("to", F.explode(to))
-            .select("doc_id", "text", "key", "to.range", "to.ahead"))
+    rows = rows.withColumn("key", key)
+    if cuts:
+        block, before = near(F.col("key"), cuts)
+        rows = rows.withColumn("block", block).withColumn("own", before + F.size(F.filter("block", lambda c: c < F.col("key")))).withColumn("cut", F.array_contains("block", F.col("key")))
+    else:
+        rows = rows.withColumn("own", F.lit(0)).withColumn("cut", F.lit(False))
+    to = F.concat(place(F.col("own"), False), F.when(F.col("cut"), place(F.col("own") + 1, True)).otherwise(none), F.when(F.col("key") == top, place(F.lit(0), True)).otherwise(none) if n else none)
+    return rows.withColumn("to", F.explode(to)).select("doc_id", "text", "key", "to.range", "to.ahead")
 
 
 def fingerprints(docs: DataFrame, text_col: str = "text", k: int = K, ell: int = ELL, size: int = SIZE, rows_a_range: int = ROWS_A_RANGE) -> DataFrame:

@@ -5,7 +5,8 @@ signs, spelled digits, at/dot in words or brackets - into a normalised text that
 came from. The same detectors run over the normalised text, and what they find is mapped back to source offsets. Base spans always stay;
 a span inside a base span of its kind adds nothing. All scanners are linear in the text, whatever it holds.
 
-Defined results: a null text is empty and has no spans; offsets count code points, ends are exclusive; repeated rows are scanned each.
+Defined results: a null text is empty and has no spans, and stays null when masked; offsets count code points, ends are exclusive; repeated rows are scanned each; overlapping
+spans of several kinds are all reported, and masked together; an empty table gives an empty table; other columns go along as they are.
 """
 
 import bisect
@@ -269,7 +270,7 @@ def find(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def redacted(docs: DataFrame, text_col: str = "text", length_col: str | None = "n_chars") -> DataFrame:
-    """The documents with spans masked in place; the length column, if there is one, follows."""
+    """The documents with spans masked in place; the length column, if there is one of numbers or text, follows."""
 
     def mask(batches):
         for batch in batches:
@@ -280,7 +281,8 @@ def redacted(docs: DataFrame, text_col: str = "text", length_col: str | None = "
                 cols[names.index(text_col)] = pa.array(texts, pa.string())
                 if length_col in names:
                     i = names.index(length_col)
-                    cols[i] = pa.array([None if t is None else len(t) for t in texts], cols[i].type)
+                    if pa.types.is_integer(cols[i].type) or pa.types.is_floating(cols[i].type) or pa.types.is_string(cols[i].type):
+                        cols[i] = pa.array([None if t is None else len(t) for t in texts], pa.int64()).cast(cols[i].type)
                 yield pa.RecordBatch.from_arrays(cols, names)
 
     return docs.mapInArrow(mask, docs.schema)

@@ -6,8 +6,9 @@ surrounded the token in the training texts. A document is pooled twice, over its
 of different tokens beside; a hidden layer and a sigmoid follow. The temperature is fitted on documents that training never saw.
 
 Training uses a bounded sample (`train_docs` documents of at most `train_chars` characters) of labelled rows outside the held-out fold.
-Defined results: null and empty texts are scored like any other (they pool to zeros); several labels of one doc_id: the largest counts; without any
-training row every score is 0.5.
+Defined results: null and empty texts are scored like any other (they pool to zeros); several labels of one doc_id: the largest counts; several texts of one
+doc_id: the least is learned from, all are scored; equal texts have equal scores; a null doc_id is scored and not held out; very long texts are scored whole,
+not learned from; without any training row every score is 0.5; an empty table gives an empty table. Columns other than doc_id and text don't matter.
 """
 
 import re
@@ -150,7 +151,10 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, bound: int,
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y")).where(in_training_fold(F.col("doc_id")) & F.col("y").isNotNull())
     some = hashed_share(known.groupBy("doc_id").agg(F.max("y").alias("y")), F.col("doc_id"), bound)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text(text_col).alias("text")).join(F.broadcast(some), "doc_id")  # about `bound` rows
-    got = sorted(rows.where(F.length("text") <= train_chars).collect(), key=lambda r: (r["doc_id"], r["text"]))
+    rows = rows.where(F.length("text") <= train_chars)
+    # a doc_id that repeats brings one text only, so that rows are as bounded as labels
+    one = rows.groupBy("doc_id").agg(F.min(F.struct("text", "y")).alias("x")).select("doc_id", "x.*")
+    got = sorted(one.collect(), key=lambda r: (r["doc_id"], r["text"]))
     return [r["text"] for r in got], [r["y"] for r in got]
 
 

@@ -4,11 +4,13 @@ Groups are the rows of one text. A group goes where the dot product of its deman
 three being fractions of a shard's fair share, among the shards that have the bytes left. The law that holds is `bytes`: sizes of
 shards are near equal.
 Large groups (over 1/`fine` of a shard in any dimension; so their number is bounded by 3 x shards x fine, whatever the corpus) are placed
-first, on the driver. Those over half a shard are cut into small pieces, as shards could not be balanced around them. The others are
-dealt over tasks by their digest; each task places its groups, largest first, against its own part of what the large ones left, so that
-the shards' sums stay balanced at any number of tasks. Pieces of a large group take its rows in turn. Slots come from counts by (task, shard).
+first, on the driver. Only a group whose bytes fit no shard whole, above all one over a whole shard's bytes, is cut into small pieces; its rows are dealt over
+them in turn. The others are dealt over tasks by their digest, `GROUPS_A_TASK` to one; each task places its groups, largest first, against its own part of what
+the large ones left, so that the shards' sums stay balanced at any number of tasks. Slots come from counts by (task, shard).
 
-Defined results: a null text counts as empty (size 8); repeated rows are rows of one group; an empty table gives an empty table.
+Defined results: a null text counts as empty (size 8); repeated rows are rows of one group, and each gets its slot; a null doc_id is a row like any other; groups of
+equal demand are placed in the order of their digests, equal dot products go to the lower shard; a single row larger than a shard is placed where the
+most bytes are left; an empty table gives an empty table. Columns other than doc_id and text don't matter.
 """
 
 from collections import Counter
@@ -22,8 +24,8 @@ from pyspark.sql import functions as F
 from cohortline.llm.common import slim, written
 
 SHARDS, FINE = 24, 64
-#: Parts of a shard's fair share: a group up to WHOLE stays together, a larger one is cut into pieces of at most PIECE.
-WHOLE, PIECE = 0.5, 0.125
+#: The part of a shard's bytes that a piece of a cut group has at most.
+PIECE = 0.125
 #: Groups that one placing task takes, about.
 GROUPS_A_TASK = 20_000
 #: What counts as a token when shards are balanced: a run of letters and digits, or any other sign that is no space.
@@ -43,6 +45,16 @@ def place(demand: np.ndarray, residual: np.ndarray) -> np.ndarray:
     return out
 
 
+def place_whole(groups: list[tuple[bytes, int, np.ndarray]], residual: np.ndarray) -> dict[bytes, list[int]]:
+    """The shards of each group (digest, rows, demand of one row), in order: one if it fits a shard whole, otherwise those of its pieces; residual is reduced in place."""
+    out: dict[bytes, list[int]] = {}
+    for g, n, one in groups:
+        cuts = 1 if n * one[0] <= residual[:, 0].max() else int(min(n, np.ceil(n * one[0] / PIECE)))
+        demand = np.array([(n // cuts + (k < n % cuts)) * one for k in range(cuts)])
+        out[g] = place(demand, residual).tolist()
+    return out
+
+
 def rows_of(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """A small row for each document: its group, size, tokens and checksum."""
     t = F.col("text")
@@ -60,21 +72,10 @@ def shard(docs: DataFrame, text_col: str = "text", shards: int = SHARDS, fine: i
     share = F.greatest(F.col("n") * F.col("size") / F.lit(float(fair[0])), F.col("n") * F.col("tokens") / F.lit(float(fair[1])), F.col("n") / F.lit(float(fair[2])))
     # few groups have the share of a large one; a single row is never cut, however large it is
     large = groups.where((share > 1.0 / fine) & (share < float("inf"))).orderBy(F.col("size").desc(), "g").collect() if total[3] else []
-    units = []
-    for r in large:
-        one = np.array([r["size"], r["tokens"], 1]) / fair
-        share_of = r["n"] * one.max()
-        cuts = int(min(r["n"], np.ceil(share_of / PIECE))) if share_of > WHOLE else 1
-        for k in range(cuts):
-            m = r["n"] // cuts + (k < r["n"] % cuts)
-            units.append((bytes(r["g"]), k, cuts, m * one, m))
-    units.sort(key=lambda u: (-u[3].max(), u[0], u[1]))
+    units = [(bytes(r["g"]), r["n"], np.array([r["size"], r["tokens"], 1]) / fair) for r in large]
+    units.sort(key=lambda u: (-(u[1] * u[2]).max(), u[0]))
     residual = np.ones((shards, 3))
-    chosen = place(np.array([u[3] for u in units]).reshape(-1, 3), residual)
-    # where the pieces of each large group go: at most 3 x shards x fine groups, and 3 x shards / PIECE cuts more
-    large_at: dict[bytes, list[int]] = {}
-    for u, at in zip(units, chosen.tolist()):
-        large_at.setdefault(u[0], [0] * u[2])[u[1]] = at
+    large_at = place_whole(units, residual)  # at most 3 x shards x fine groups, and shards / PIECE pieces more
 
     def mark(batches):
         """Rows of large groups with their shards, pieces in turn; others without. Each task begins at another piece."""
@@ -89,7 +90,7 @@ def shard(docs: DataFrame, text_col: str = "text", shards: int = SHARDS, fine: i
                     seen[g] += 1
             yield pdf.assign(at=pd.array(at, "Int32"))
 
-    tasks = int(max(1, min(4096, -(-(total[3] or 0) // GROUPS_A_TASK))))
+    tasks = int(max(1, -(-(total[3] or 0) // GROUPS_A_TASK)))  # grows with the corpus, so a task's groups don't
     rest = residual.copy()
 
     def deal(pdf: pd.DataFrame) -> pd.DataFrame:

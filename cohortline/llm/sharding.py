@@ -16,7 +16,7 @@ most bytes are left; an empty table gives an empty table. Columns other than doc
 from collections import Counter
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -28,8 +28,8 @@ SHARDS, FINE = 24, 64
 PIECE = 0.125
 #: Groups that one placing task takes, about.
 GROUPS_A_TASK = 20_000
-#: What counts as a token when shards are balanced: a run of letters and digits, or any other sign that is no space.
-TOKEN = r"[\p{L}\p{N}]+|[^\s\p{L}\p{N}]"
+#: What ends a token, for the balance of shards: each of these signs, and the text's end. They are counted without a list of tokens being made.
+ENDS = " \t\n\r.,;:!?-()[]{}<>/\\'\"|#*"
 
 
 def place(demand: np.ndarray, residual: np.ndarray) -> np.ndarray:
@@ -60,7 +60,7 @@ def rows_of(docs: DataFrame, text_col: str = "text") -> DataFrame:
     t = F.col("text")
     return slim(docs, text_col).select(
         "doc_id", F.unhex(F.sha2(t, 256)).alias("g"), (F.octet_length(t) + 8).cast("long").alias("size"),
-        F.regexp_count(t, F.lit(TOKEN)).cast("long").alias("tokens"), F.crc32(t).cast("long").alias("text_crc32"))
+        (F.length(t) - F.length(F.translate(t, ENDS, "")) + 1).cast("long").alias("tokens"), F.crc32(t).cast("long").alias("text_crc32"))
 
 
 def shard(docs: DataFrame, text_col: str = "text", shards: int = SHARDS, fine: int = FINE) -> DataFrame:
@@ -81,29 +81,31 @@ def shard(docs: DataFrame, text_col: str = "text", shards: int = SHARDS, fine: i
         """Rows of large groups with their shards, pieces in turn; others without. Each task begins at another piece."""
         seen: Counter[bytes] = Counter()
         task = TaskContext.get().partitionId()
-        for pdf in batches:
+        for b in batches:
             at = []
-            for g in map(bytes, pdf["g"]):
+            for g in b.column("g").to_pylist():
                 to = large_at.get(g)
                 at.append(None if to is None else to[(task + seen[g]) % len(to)])
                 if to is not None:
                     seen[g] += 1
-            yield pdf.assign(at=pd.array(at, "Int32"))
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(at, pa.int32())], [*b.schema.names, "at"])
 
     tasks = int(max(1, -(-(total[3] or 0) // GROUPS_A_TASK)))  # grows with the corpus, so a task's groups don't
     rest = residual.copy()
 
-    def deal(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf[[bytes(g) not in large_at for g in pdf["g"]]]
-        d = (pdf[["size", "tokens"]].assign(one=1).to_numpy(float) * pdf[["n"]].to_numpy(float)) / fair
-        order = np.lexsort((pdf["g"].map(bytes).to_numpy(), -d[:, 0])) if len(d) else []
-        d = d[order]
+    def deal(groups: pa.Table) -> pa.Table:
+        g = np.array(groups.column("g").to_pylist(), object)
+        d = np.column_stack([groups.column("size").to_numpy(), groups.column("tokens").to_numpy(), np.ones(len(g))]) * groups.column("n").to_numpy()[:, None] / fair
+        cold = np.array([x not in large_at for x in g], bool)
+        g, d = g[cold], d[cold]
+        order = np.array(sorted(range(len(g)), key=lambda i: (-d[i, 0], g[i])), int)
+        g, d = g[order], d[order]
         own = d.sum(0) * rest / np.maximum(rest.sum(0), 1e-12)  # this task's part of what is left
-        return pd.DataFrame({"g": pdf["g"].to_numpy()[order], "at": place(d, own)})
+        return pa.table({"g": pa.array(g.tolist(), pa.binary()), "at": pa.array(place(d, own), pa.int32())})
 
-    placed = groups.withColumn("deal", F.pmod(F.xxhash64("g"), F.lit(tasks))).groupBy("deal").applyInPandas(deal, "g binary, at int")
+    placed = groups.withColumn("deal", F.pmod(F.xxhash64("g"), F.lit(tasks))).groupBy("deal").applyInArrow(deal, "g binary, at int")
     columns = "doc_id long, g binary, size long, tokens long, text_crc32 long"
-    marked = written(rows.mapInPandas(mark, f"{columns}, at int"))
+    marked = written(rows.mapInArrow(mark, f"{columns}, at int"))
     cold = marked.where("at is null").drop("at").join(placed, "g")  # what is shuffled by g has no hot key
     return with_slots(marked.where("at is not null").unionByName(cold))
 
@@ -114,13 +116,17 @@ def with_slots(rows: DataFrame) -> DataFrame:
     def number(batches):
         seen: Counter[int] = Counter()
         task = TaskContext.get().partitionId()
-        for pdf in batches:
-            turn = pdf.groupby("at").cumcount() + pdf["at"].map(lambda a: seen[a])
-            seen.update(pdf["at"].tolist())
-            yield pdf.assign(task=task, turn=turn)
+        for b in batches:
+            at = b.column("at").to_numpy()
+            order = np.argsort(at, kind="stable")
+            values, first, n = np.unique(at[order], return_index=True, return_counts=True)
+            turn = np.empty(len(at), np.int64)
+            turn[order] = np.arange(len(at)) - np.repeat(first, n) + np.repeat([seen[v] for v in values.tolist()], n).astype(np.int64)
+            seen.update(dict(zip(values.tolist(), n.tolist())))
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.full(len(at), task, np.int32)), pa.array(turn)], [*b.schema.names, "task", "turn"])
 
     kept = rows.select("doc_id", "size", "text_crc32", "tokens", "at")
-    parts = written(kept.mapInPandas(number, "doc_id long, size long, text_crc32 long, tokens long, at int, task int, turn long"))
+    parts = written(kept.mapInArrow(number, "doc_id long, size long, text_crc32 long, tokens long, at int, task int, turn long"))
     n = parts.groupBy("at", "task").agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy("at").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
     first = n.select("at", "task", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))

@@ -531,3 +531,32 @@ def test_order_minhash_agrees_with_independent_samples():
         ours.append(order_minhash.likeness(order_minhash.fingerprint(a), order_minhash.fingerprint(b)))
         theirs.append(np.mean([x == y for x, y in zip(independent(a), independent(b))]))
     assert np.corrcoef(ours, theirs)[0, 1] > 0.97 and np.abs(np.array(ours) - theirs).mean() < 0.06
+
+
+def test_language_rejects_what_it_never_learned():
+    """A language left out of training, letters in random order and other alphabets go; languages that were learned stay."""
+    d = labelled()
+    rng = np.random.default_rng(3)
+    for left_out in ("de", "fr"):
+        some = d[~d.held & (d.lang != left_out)]
+        model = langid.train(some.text.tolist(), some.lang.tolist())
+        stay, go = d[d.held & (d.lang != left_out)].text, d[(d.lang == left_out) & (d.text.str.len() > 100)].text
+        assert np.mean([model.predict(t)[2] for t in stay]) >= 0.98 and np.mean([model.predict(t)[2] for t in go]) <= 0.1, left_out
+    made = langid.noise(stay.tolist()[:100], rng)
+    assert len(made) > 100 and np.mean([model.predict(t)[2] for t in made if len(t) > 60]) <= 0.1
+    assert not model.predict("Все люди рождаются свободными и равными в своем достоинстве и правах")[2]
+
+
+def test_language_takes_codes_for_no_words():
+    plain, coded = langid.normal("a word and more"), langid.normal("a word 2abc3ff2ca8f and AKIA75PJ4 more x9")
+    assert plain.tolist() == coded.tolist() and len(langid.normal("abc123")) == 5  # unless there is nothing else
+    assert len(langid.normal("x" * 200_000 + " " + "a1" * 100_000)) == 200_002
+
+
+def test_language_of_equal_texts_is_equal(spark):
+    docs = spark.createDataFrame([(i, t, v) for i in range(60) for t, v in [(f"the and of {i % 7} to", "en"), ("le la et de", "fr"), (None, "fr")]] + [(None, "the and of", None)], "doc_id long, text string, lang string")
+    model = langid.fit(docs)
+    got = {}
+    for r in langid.identify(docs, model).orderBy("doc_id").collect():
+        got.setdefault((r["lang_pred"], r["score"]), []).append(r["doc_id"])
+    assert sum(map(len, got.values())) == docs.count() and got["und", 0.0] == [i for i in range(60)]

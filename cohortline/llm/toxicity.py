@@ -3,17 +3,20 @@
 The kernel of two strings sums over their common subsequences of `N` characters, each weighed by LAMBDA to the power of the lengths it
 spans in both, is normalised by the strings' own kernels and raised to POWER (which
 leaves it a kernel); gaps and inserted characters lower it gently. A sentence is compared with a landmark
-through its best-matching unit (a word without its punctuation; single letters in a row are one unit; a very long word is windows), so its
-margin is the largest margin of its units, and a document's that of its sentences. The kernel is computed whole, for every unit with every landmark,
-from the subsequences themselves: those of the landmarks are a table, and those of a unit are looked up in it.
-
-Landmarks are telling words, which toxic training documents hold and clean ones don't, until each telling word is one or is like one (kernel of at least
-LIKE), and a third as many frequent clean words. A sentence of a
-toxic document that holds none of the telling words says nothing and is left out; all sentences of clean documents count. Positive sentences are
-trained on with gaps and insertions added. Platt scaling on documents that training never saw turns margins into scores.
-
-Training uses a bounded sample of labelled rows outside the held-out fold. Defined results: a null or empty text has the lowest margin;
-several labels of one doc_id: the largest counts; without training rows of both classes every score is 0.5 - 1e-9.
+through its best-matching unit. Units are its words without their punctuation (single letters in a row are one unit, whatever signs stand between them; a very long word is windows),
+and those windows of two neighbouring words, with the space between them, whose letters run on over the space as those of a landmark do: only there can an insult
+be that a space splits, or one of several words. So a sentence's margin is the largest margin of its units, and a document's that of its sentences. The kernel is
+computed whole, for every unit with every landmark, from the subsequences themselves: those of the landmarks are a table, and those of a unit are looked up in it.
+
+Landmarks are telling words, which toxic training documents hold and clean ones don't, then telling windows of toxic documents that no such word explains, until each is one or is
+like one (kernel of at least LIKE), and a third as many frequent clean words. A sentence of a
+toxic document that holds none of them says nothing and is left out; all sentences of clean documents count. Positive sentences are
+trained on with gaps, insertions and spaces added. Platt scaling on documents that training never saw turns margins into scores.
+
+Training uses a bounded sample of labelled rows outside the held-out fold, one text for each doc_id. Defined results: a null or empty text has the lowest margin;
+several labels of one doc_id: the largest counts; several texts of one doc_id: the least is learned from, all are scored; equal texts have equal scores; a
+null doc_id is scored and not held out; very long texts are scored whole, not learned from; without training rows of both classes every score is 0.5 - 1e-9; an
+empty table gives an empty table. Columns other than doc_id and text don't matter.
 """
 
 import hashlib
@@ -32,6 +35,8 @@ N, LAMBDA, POWER, LONGEST, LIKE = 3, 0.8, 4, 24, 0.8
 #: Least number of clean landmarks; otherwise there is one to three telling ones.
 CLEAN_LANDMARKS = 16
 TRAIN_DOCS, TRAIN_CHARS, UNITS, REG = 6_000, 20_000, 150_000, 1e-4
+#: How much oftener a telling word is in toxic documents than in clean ones.
+OFTENER = 20
 #: Subsequences looked up at once.
 AT_ONCE = 1 << 16
 #: With fewer characters in the landmarks than this, subsequences are found by place and not by search.
@@ -47,21 +52,22 @@ _PLAIN = re.compile(r"[^\W\d_]+\Z")
 
 
 def units(sentence: str) -> list[str]:
-    """Lower-case words without signs; a row of three or more single letters is one unit; a long word is windows of LONGEST characters."""
+    """Lower-case words without signs; a row of three or more single letters is one unit, also over signs that stand alone; a long word is windows of LONGEST characters."""
     out, row = [], []
     for w in sentence.lower().split():
         u = w
         if not _PLAIN.match(w):
             u = w.translate(LEET) if any(map(str.isalpha, w)) else w
             u = "".join(c for c in u if c.isalnum())
+            if not u:
+                continue
         if len(u) == 1:
             row.append(u)
             continue
         if len(row) > 2:
             out.append("".join(row))
         row = []
-        if u:
-            out.append(u)
+        out.append(u)
     if len(row) > 2:
         out.append("".join(row))
     if any(len(u) > LONGEST for u in out):
@@ -69,6 +75,43 @@ def units(sentence: str) -> list[str]:
     return out
 
 
+def neighbours(us: list[str]) -> list[str]:
+    """All windows of two units of a sentence."""
+    return [f"{a} {b}" for a, b in zip(us, us[1:]) if len(a) + len(b) < LONGEST]
+
+
+class Border:
+    """Which neighbouring words run on over the space between them as letters of landmarks do: the runs of three letters across it, both of them, are in a landmark."""
+
+    def __init__(self, landmarks: list[str]):
+        plain = [w.replace(" ", "") for w in landmarks]
+        self.runs = {w[i:i + 3] for w in plain for i in range(len(w) - 2)}
+        ends = sorted({r[:2] for r in self.runs} | {r[0] for r in self.runs})
+        begins = sorted({r[1:] for r in self.runs} | {r[2] for r in self.runs})
+        self.ends, self.begins = ({x: i + 1 for i, x in enumerate(v)} for v in (ends, begins))
+        self.meet = np.zeros((len(ends) + 1, len(begins) + 1), bool)
+        for a, i in self.ends.items():
+            for b, j in self.begins.items():
+                both = [a + b[0]] * (len(a) > 1) + [a[-1] + b] * (len(b) > 1)
+                self.meet[i, j] = bool(both) and all(x in self.runs for x in both)
+
+    def sides(self, word: str, us: list[str]) -> tuple[int, int]:
+        """Numbers of a word's end and beginning, 0 where no window goes on; none goes on over the end of a sentence."""
+        if len(us) != 1 and not (not us and len(word) == 1 and word.isalpha()):
+            return 0, 0
+        u = us[0] if us else word
+        return 0 if word[-1] in ".!?" else self.ends.get(u[-2:], 0), self.begins.get(u[:2], 0)
+
+    def windows(self, words: list[str], ends: np.ndarray, begins: np.ndarray) -> list[str]:
+        """The windows of a text's words, by the numbers of their sides."""
+        out = []
+        for i in np.flatnonzero(self.meet[ends[:-1], begins[1:]]):
+            a, b = ((units(w) or [w])[0] for w in words[i:i + 2])
+            if len(a) + len(b) < LONGEST:
+                out.append(f"{a} {b}")
+        return out
+
+
 def letter_rows(words: list[str], margins: list[float]) -> list[str]:
     """The units made of single letters in a row."""
     out, run = [], []
@@ -192,37 +235,39 @@ class Landmarks:
         return out
 
 
-_known: dict[str, dict[str, float]] = {}
+_known: dict[str, tuple[dict[str, float], dict[str, int], dict[str, int]]] = {}
 
 
 class Model:
-    def __init__(self, landmarks: Landmarks | None, beta: np.ndarray, bias: float, a: float, b: float):
-        self.landmarks, self.beta, self.bias, self.a, self.b = landmarks, beta, bias, a, b
+    def __init__(self, landmarks: Landmarks | None, beta: np.ndarray, bias: float, a: float, b: float, border: Border | None = None):
+        self.landmarks, self.beta, self.bias, self.a, self.b, self.border = landmarks, beta, bias, a, b, border
         self.name = hashlib.sha256(repr((landmarks and landmarks.words, beta.tolist(), bias)).encode()).hexdigest()
 
     @property
-    def known(self) -> dict[str, float]:
-        """Margins of words by this model, which the tasks of a worker share."""
+    def known(self) -> tuple[dict[str, float], dict[str, int], dict[str, int]]:
+        """Margins of words (and of windows) by this model, and the numbers of words' ends and beginnings, which the tasks of a worker share."""
         if self.name not in _known:
             _known.clear()
-            _known[self.name] = {}
+            _known[self.name] = {}, {}, {}
         return _known[self.name]
 
     def judge(self, strings: list[str]) -> np.ndarray:
         return self.landmarks.kernel(strings) @ self.beta + self.bias
 
-    def remember(self, words: set[str]) -> None:
-        """The largest margin of the units of each word that isn't known yet."""
-        known = self.known
+    def remember(self, words: set[str], windows: bool = False) -> None:
+        """The largest margin of the units of each word, or the margin of each window, that isn't known yet."""
+        known, ends, begins = self.known
         new = [w for w in words if w not in known]
-        if len(known) + len(new) > REMEMBERED:
-            known.clear()
+        if len(known) + len(new) > REMEMBERED and not windows:
+            known.clear(), ends.clear(), begins.clear()
             new = list(words)
-        own = {w: units(w) for w in new}
+        own = {w: [w] if windows else units(w) for w in new}
         every = sorted({u for us in own.values() for u in us})
         margin = dict(zip(every, self.judge(every).tolist())) if every else {}
         for w, us in own.items():
             known[w] = max((margin[u] for u in us), default=NOTHING)
+            if not windows:
+                ends[w], begins[w] = self.border.sides(w, us)
 
     def margins(self, texts: list[str]) -> np.ndarray:
         """A sentence's margin is that of its best unit and a document's that of its best sentence: so, that of its best unit."""
@@ -230,12 +275,17 @@ class Model:
         for lo in range(0, len(texts), 64):
             docs = [t.lower().split() for t in texts[lo:lo + 64]]
             self.remember({w for d in docs for w in d})
-            known = self.known
-            for i, d in enumerate(docs):
+            known, ends, begins = self.known
+            numbers = lambda d, side: np.fromiter(map(side.__getitem__, d), np.int32, len(d))
+            windows = [self.border.windows(d, numbers(d, ends), numbers(d, begins)) for d in docs]
+            self.remember({w for ws in windows for w in ws}, windows=True)
+            for i, (d, ws) in enumerate(zip(docs, windows)):
                 got = list(map(known.__getitem__, d))
                 best = max(got, default=NOTHING)
                 if got.count(NOTHING) > 2 and (row := letter_rows(d, got)):  # single letters alone have no margin
                     best = max(best, float(self.judge(row).max()))
+                if ws:
+                    best = max(best, max(map(known.__getitem__, ws)))
                 out[lo + i] = max(best, self.bias)
         return out
 
@@ -254,10 +304,10 @@ def telling(docs: list[set[str]], y: np.ndarray, least: float = 0.75) -> list[st
     hot = [i for i in range(len(docs)) if y[i]]
     for i in hot:
         for w in docs[i]:
-            if len(w) > 3:
+            if len(w) > 2:
                 where.setdefault(w, []).append(i)
     n1, n0 = max(1, len(hot)), max(1, len(docs) - len(hot))
-    where = {w: v for w, v in where.items() if len(v) >= 3 and len(v) / n1 > 20 * cold[w] / n0}
+    where = {w: v for w, v in where.items() if len(v) >= 3 and len(v) / n1 > OFTENER * cold[w] / n0}
     gain = {w: math.log((len(v) / n1 + 1e-4) / (cold[w] / n0 + 1e-4)) for w, v in where.items()}
     counts, out = np.ones(len(docs)), []
     heap = [(-gain[w] * len(v), w) for w, v in where.items()]
@@ -283,6 +333,18 @@ def gapped(word: str, rng: np.random.Generator) -> str:
     return word[:LONGEST]
 
 
+def spaced(word: str) -> list[str]:
+    """The word with a space inside, at each place."""
+    return [f"{word[:i]} {word[i:]}"[:LONGEST] for i in range(1, len(word))] if " " not in word else []
+
+
+def confirmed(clues: list[str], docs: list[set[str]], y: np.ndarray) -> list[str]:
+    """The clues that documents they were not chosen from don't speak against: those that are not in clean ones, or in toxic ones far more often."""
+    hot, cold = (Counter(c for d, t in zip(docs, y) if t == v for c in d) for v in (1, 0))
+    n1, n0 = max(1, int(y.sum())), max(1, len(y) - int(y.sum()))
+    return [c for c in clues if not cold[c] or hot[c] / n1 > OFTENER * cold[c] / n0]
+
+
 def newton_svm(x: np.ndarray, t: np.ndarray, weight: np.ndarray, reg: float = REG, rounds: int = 50) -> np.ndarray:
     """The linear machine of least squared hinge loss: Newton steps in the primal until the support vectors stay the same."""
     w, support = np.zeros(x.shape[1]), None
@@ -321,6 +383,17 @@ def train(texts: list[str], labels: list[int], seed: int = 3) -> Model:
     words = [{u for s in d for u in s} for d in docs]
     fit = np.flatnonzero(~val)
     clues = telling([words[i] for i in fit], y[fit])
+    # windows of toxic documents that no word explains, if clean documents don't have them
+    clue = set(clues)
+    rest = [i for i in fit if y[i] and not words[i] & clue]
+    pairs = {i: {p for s in docs[i] for p in neighbours(s)} for i in rest}
+    often = Counter(p for ps in pairs.values() for p in ps)
+    maybe = {p for p, n in often.items() if n >= 3}
+    if maybe:
+        cold = [{p for s in docs[i] for p in neighbours(s)} & maybe for i in fit if not y[i]]
+        clues += telling([pairs[i] & maybe for i in rest] + cold, np.array([1] * len(rest) + [0] * len(cold)))
+    asked = set(clues)
+    clues = confirmed(clues, [(words[i] | ({p for s in docs[i] for p in neighbours(s)} if maybe else set())) & asked for i in np.flatnonzero(val)], y[val])
     if not clues:
         return none
     # landmarks: telling words unlike each other until none is left without one, then frequent clean words
@@ -331,6 +404,7 @@ def train(texts: list[str], labels: list[int], seed: int = 3) -> Model:
         if not taken or k[i, taken].max() < LIKE:
             taken.append(i)
     chosen = [clues[i] for i in taken]
+    border = Border(chosen)
     clean = Counter(u for i in fit if not y[i] for u in words[i] if 3 < len(u) <= LONGEST)
     chosen += [w for w, _ in sorted(clean.items(), key=lambda x: (-x[1], x[0])) if w not in chosen][:max(CLEAN_LANDMARKS, len(chosen) // 3)]
     marks = Landmarks(chosen)
@@ -341,20 +415,28 @@ def train(texts: list[str], labels: list[int], seed: int = 3) -> Model:
 
     # labelled sentences, each by its best unit: the clue it holds in a toxic document, any of its units in a clean one
     clue = set(clues)
-    hot = Counter(u for i in fit if y[i] for s in docs[i] for u in s if u in clue)
+    hot = Counter(u for i in fit if y[i] for s in docs[i] for u in [*s, *neighbours(s)] if u in clue)
     cold = Counter(u for i in fit if not y[i] for s in docs[i] for u in s)
-    pos = list(hot) + [gapped(u, rng) for u in hot for _ in range(4)]
+    sides = {u: border.sides(u, [u]) for u in cold}
+    for i in fit:
+        if not y[i]:
+            for s in docs[i]:
+                if len(s) > 1:
+                    at = np.array([sides[u] for u in s])
+                    cold.update(border.windows(s, at[:, 0], at[:, 1]))
+    more = [(v, u) for u in hot for v in [gapped(u, rng) for _ in range(4)] + spaced(u)]
+    pos = list(hot) + [v for v, _ in more]
     neg = sorted((u for u in cold if u not in hot), key=lambda u: (-cold[u], u))[:UNITS]  # a bound on what the driver trains with
     del docs, words
     x = np.concatenate([marks.kernel(pos), marks.kernel(neg)]) @ root.astype(np.float32)
     t = np.concatenate([np.ones(len(pos)), -np.ones(len(neg))])
-    often = np.sqrt([*hot.values(), *[hot[u] / 2 for u in hot for _ in range(4)], *[cold[u] for u in neg]])
+    often = np.sqrt([*hot.values(), *[hot[u] / 2 for _, u in more], *[cold[u] for u in neg]])
     weight = np.where(t > 0, often / often[:len(pos)].sum(), often / max(1.0, often[len(pos):].sum()))
     x = np.column_stack([x, np.ones(len(x), np.float32)])
     x, t, weight = np.vstack([x, np.eye(1, x.shape[1], x.shape[1] - 1, dtype=np.float32)]), np.append(t, -1.0), np.append(weight, 1.0)
     w = newton_svm(x, t, weight)
     w, b = w[:-1], w[-1]
-    model = Model(marks, (root @ w).astype(np.float32), float(b), 1.0, 0.0)
+    model = Model(marks, (root @ w).astype(np.float32), float(b), 1.0, 0.0, border)
     margin, yy = model.margins([texts[i] for i in np.flatnonzero(val)]), y[val]
     if 0 < yy.sum() < len(yy):
         up, target = np.clip(margin, -3, 3), np.where(yy > 0, (yy.sum() + 1) / (yy.sum() + 2), 1 / (len(yy) - yy.sum() + 2))

@@ -329,7 +329,7 @@ def test_toxicity(docs, empty):
     bad = [c.replace(c.split()[9], rng.choice(["idiot", "scumbag", "moronic"]), 1) for c in clean[:60]]
     model = toxicity.train(clean[60:] + bad, [0] * 240 + [1] * 60)
     say = lambda t: model.scores([t])[0]
-    for t in ("you idiot", "i.d.i.o.t", "an i d i o t here", "idiiot", "id1ot", "scummbag"):
+    for t in ("you idiot", "i.d.i.o.t", "an i d i o t here", "idiiot", "id1ot", "scummbag", "an id iot here", "i diot", "i . d . i . o . t"):
         assert say(t) >= 0.5, t
     for t in ("", "a plain sentence about gardens", clean[100]):
         assert say(t) < 0.5, t
@@ -560,3 +560,23 @@ def test_language_of_equal_texts_is_equal(spark):
     for r in langid.identify(docs, model).orderBy("doc_id").collect():
         got.setdefault((r["lang_pred"], r["score"]), []).append(r["doc_id"])
     assert sum(map(len, got.values())) == docs.count() and got["und", 0.0] == [i for i in range(60)]
+
+
+def test_toxicity_learns_insults_of_several_words():
+    """Two ordinary words that are an insult only together, and clean texts that have each of them."""
+    rng = random.Random(11)
+    plain = [" ".join(rng.choice(WORDS).replace("w", "wor") for _ in range(40)) for _ in range(600)]
+    put = lambda c, *ws: " ".join([*c.split()[:10], *ws, *c.split()[10:]])
+    bad = [put(c, "oxygen", "thief") for c in plain[:60]]
+    near = [put(put(c, "oxygen"), "thief") if i % 2 else c + " oxygen and a thief" for i, c in enumerate(plain[60:160])]
+    near = [t.replace("thief oxygen", "thief of oxygen") for t in near]
+    model = toxicity.train(plain[160:500] + near + bad, [0] * 440 + [1] * 60)
+    assert model.scores(["that oxygen thief again", plain[550] + " oxygen thief"]).min() >= 0.5
+    assert model.scores(["oxygen is a gas", "a thief came", "oxygen. Thief!", plain[560], ""]).max() < 0.5
+
+
+def test_windows_are_those_that_run_on():
+    b = toxicity.Border(["idiot", "oxygen thief"])
+    words = "the id iot oxygen thief. idi otter i diot ox".split()
+    at = np.array([b.sides(w, toxicity.units(w)) for w in words])
+    assert b.windows(words, at[:, 0], at[:, 1]) == ["id iot", "oxygen thief", "idi otter", "i diot"]

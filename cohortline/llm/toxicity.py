@@ -35,6 +35,8 @@ N, LAMBDA, POWER, LONGEST, LIKE = 3, 0.8, 4, 24, 0.8
 #: Least number of clean landmarks; otherwise there is one to three telling ones.
 CLEAN_LANDMARKS = 16
 TRAIN_DOCS, TRAIN_CHARS, UNITS, REG = 6_000, 20_000, 150_000, 1e-4
+#: Clean units with a margin over -HARD count HARDER times in the second round of training.
+HARD, HARDER = 0.8, 100
 #: How much oftener a telling word is in toxic documents than in clean ones.
 OFTENER = 20
 #: Subsequences looked up at once.
@@ -338,6 +340,17 @@ def spaced(word: str) -> list[str]:
     return [f"{word[:i]} {word[i:]}"[:LONGEST] for i in range(1, len(word))] if " " not in word else []
 
 
+def disguised(text: str, clue: set[str], rng: np.random.Generator) -> str:
+    """The text with each of its telling words gapped or split."""
+    out = []
+    for w in text.split():
+        us = units(w)
+        if len(us) == 1 and us[0] in clue:
+            w = gapped(us[0], rng) if rng.random() < 0.5 else str(rng.choice(spaced(us[0])))
+        out.append(w)
+    return " ".join(out)
+
+
 def confirmed(clues: list[str], docs: list[set[str]], y: np.ndarray) -> list[str]:
     """The clues that documents they were not chosen from don't speak against: those that are not in clean ones, or in toxic ones far more often."""
     hot, cold = (Counter(c for d, t in zip(docs, y) if t == v for c in d) for v in (1, 0))
@@ -435,9 +448,15 @@ def train(texts: list[str], labels: list[int], seed: int = 3) -> Model:
     x = np.column_stack([x, np.ones(len(x), np.float32)])
     x, t, weight = np.vstack([x, np.eye(1, x.shape[1], x.shape[1] - 1, dtype=np.float32)]), np.append(t, -1.0), np.append(weight, 1.0)
     w = newton_svm(x, t, weight)
+    # a rare clean word that looks like an insult weighs little among all words; a document is judged by its worst one, so such words count more in a second round
+    weight = weight * np.where((t < 0) & (x @ w > -HARD), HARDER, 1)
+    w = newton_svm(x, t, weight)
     w, b = w[:-1], w[-1]
     model = Model(marks, (root @ w).astype(np.float32), float(b), 1.0, 0.0, border)
-    margin, yy = model.margins([texts[i] for i in np.flatnonzero(val)]), y[val]
+    # documents that training never saw, toxic ones also with their insults gapped or split
+    seen = [(texts[i], y[i]) for i in np.flatnonzero(val)]
+    seen += [(disguised(t, clue, rng), 1) for t, v in seen if v for _ in range(2)]
+    margin, yy = model.margins([t for t, _ in seen]), np.array([v for _, v in seen], int)
     if 0 < yy.sum() < len(yy):
         up, target = np.clip(margin, -3, 3), np.where(yy > 0, (yy.sum() + 1) / (yy.sum() + 2), 1 / (len(yy) - yy.sum() + 2))
         best = min(((a, c) for a in np.linspace(0.5, 8, 31) for c in np.linspace(-6, 6, 49)), key=lambda ac: np.mean(np.logaddexp(0, ac[0] * up + ac[1]) - target * (ac[0] * up + ac[1])))

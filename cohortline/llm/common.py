@@ -3,6 +3,8 @@
 import atexit
 import tempfile
 import uuid
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -58,30 +60,39 @@ def _at_exit() -> None:
             pass
 
 
+_scope: ContextVar[list | None] = ContextVar("scope", default=None)
 _stages: list[tuple[SparkSession, str]] = []
 atexit.register(_at_exit)
 
 
 def written(df: DataFrame) -> DataFrame:
     """df as a Parquet table in the shared folder: lineage is cut and a lost executor loses nothing. Lazy results read these tables
-    as long as the application runs; its end removes them, `clear` does so before."""
+    as long as the application runs; its end removes them, `remove` does so before."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/cohortline/{uuid.uuid4().hex}"
     df.write.parquet(path)
     _stages.append((spark, path))
+    if (made := _scope.get()) is not None:
+        made.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
 
-def stages() -> int:
-    """How many tables of stages there are."""
-    return len(_stages)
+@contextmanager
+def scope():
+    """The tables that are written inside, as a list that grows: for callers that write out what they made of them and then `remove` them."""
+    made: list[tuple[SparkSession, str]] = []
+    token = _scope.set(made)
+    try:
+        yield made
+    finally:
+        _scope.reset(token)
 
 
-def clear(first: int = 0, last: int | None = None) -> None:
-    """Removes the tables of stages from the first-th to before the last-th: for callers that have written out what they made of them."""
-    for gone in _stages[first:last]:
+def remove(tables: list[tuple[SparkSession, str]]) -> None:
+    for gone in tables:
         _remove(*gone)
-    del _stages[first:last]
+        if gone in _stages:
+            _stages.remove(gone)
 
 
 def in_training_fold(id_col: Column) -> Column:

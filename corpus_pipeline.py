@@ -6,7 +6,7 @@ Each stage takes (spark, docs, sf_dir) and works on all that the stage before ke
 from pyspark.sql import DataFrame, SparkSession
 
 from cohortline.llm import exact_dedup, jaccard_forest, langid, packing, pii
-from cohortline.llm.common import written
+from cohortline.llm.common import remove, scope, written
 from cohortline.llm.queries import ranks_path
 
 
@@ -39,11 +39,14 @@ STAGES = [("language", language), ("exact", exact), ("near", near), ("personal",
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, kept = spark.read.parquet(f"{sf_dir}/documents.parquet"), []
     for i, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i < len(STAGES) - 1:
-            docs = written(docs)
+        with scope() as made:
+            docs = stage(spark, docs, sf_dir)
+            if i < len(STAGES) - 1:
+                docs = written(docs)
+                remove([*kept, *made[:-1]])  # the stage's result is written out: what it came from is done with
+                kept = made[-1:]
     return docs
 
 

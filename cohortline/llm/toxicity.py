@@ -4,8 +4,8 @@ The kernel of two strings sums over their common subsequences of `N` characters,
 spans in both, is normalised by the strings' own kernels and raised to POWER (which
 leaves it a kernel); gaps and inserted characters lower it gently. A sentence is compared with a landmark
 through its best-matching unit. Units are its words without their punctuation (single letters in a row are one unit, whatever signs stand between them; a very long word is windows),
-and those windows of two neighbouring words, with the space between them, whose letters run on over the space as those of a landmark do: only there can an insult
-be that a space splits, or one of several words. So a sentence's margin is the largest margin of its units, and a document's that of its sentences. The kernel is
+and those windows of two neighbouring words, with the space between them, whose letters run on over the space as those of a landmark of about their length do: only there
+can an insult be that a space splits, or one of several words. So a sentence's margin is the largest margin of its units, and a document's that of its sentences. The kernel is
 computed whole, for every unit with every landmark, from the subsequences themselves: those of the landmarks are a table, and those of a unit are looked up in it.
 
 Landmarks are telling words, which toxic training documents hold and clean ones don't, then telling windows of toxic documents that no such word explains, until each is one or is
@@ -37,6 +37,8 @@ CLEAN_LANDMARKS = 16
 TRAIN_DOCS, TRAIN_CHARS, UNITS, REG = 6_000, 20_000, 150_000, 1e-4
 #: Clean units with a margin over -HARD count HARDER times in the second round of training.
 HARD, HARDER = 0.8, 100
+#: Letters that a window may have more or fewer than the landmark it is like.
+SLACK = 2
 #: How much oftener a telling word is in toxic documents than in clean ones.
 OFTENER = 20
 #: Subsequences looked up at once.
@@ -83,19 +85,20 @@ def neighbours(us: list[str]) -> list[str]:
 
 
 class Border:
-    """Which neighbouring words run on over the space between them as letters of landmarks do: the runs of three letters across it, both of them, are in a landmark."""
+    """Which neighbouring words run on over the space between them as a landmark's letters do: two letters on either side (one of a word of one letter) follow
+    each other in a landmark of about as many letters, SLACK more or fewer."""
 
     def __init__(self, landmarks: list[str]):
-        plain = [w.replace(" ", "") for w in landmarks]
-        self.runs = {w[i:i + 3] for w in plain for i in range(len(w) - 2)}
-        ends = sorted({r[:2] for r in self.runs} | {r[0] for r in self.runs})
-        begins = sorted({r[1:] for r in self.runs} | {r[2] for r in self.runs})
-        self.ends, self.begins = ({x: i + 1 for i, x in enumerate(v)} for v in (ends, begins))
-        self.meet = np.zeros((len(ends) + 1, len(begins) + 1), bool)
-        for a, i in self.ends.items():
-            for b, j in self.begins.items():
-                both = [a + b[0]] * (len(a) > 1) + [a[-1] + b] * (len(b) > 1)
-                self.meet[i, j] = bool(both) and all(x in self.runs for x in both)
+        held: dict[tuple[str, str], list[int]] = {}
+        for w in (w.replace(" ", "") for w in landmarks):
+            for i in range(1, len(w)):
+                for a, b in ((w[max(0, i - 2):i], w[i:i + 2]), (w[i - 1:i], w[i:i + 2]), (w[max(0, i - 2):i], w[i:i + 1])):
+                    held.setdefault((a, b), []).append(len(w))
+        self.ends, self.begins = ({x: i + 1 for i, x in enumerate(sorted({k[j] for k in held}))} for j in (0, 1))
+        self.least, self.most = (np.zeros((len(self.ends) + 1, len(self.begins) + 1), np.int16) for _ in range(2))
+        for (a, b), n in held.items():
+            at = self.ends[a], self.begins[b]
+            self.least[at], self.most[at] = min(n) - SLACK, max(n) + SLACK
 
     def sides(self, word: str, us: list[str]) -> tuple[int, int]:
         """Numbers of a word's end and beginning, 0 where no window goes on; none goes on over the end of a sentence."""
@@ -107,10 +110,15 @@ class Border:
     def windows(self, words: list[str], ends: np.ndarray, begins: np.ndarray) -> list[str]:
         """The windows of a text's words, by the numbers of their sides."""
         out = []
-        for i in np.flatnonzero(self.meet[ends[:-1], begins[1:]]):
-            a, b = ((units(w) or [w])[0] for w in words[i:i + 2])
-            if len(a) + len(b) < LONGEST:
-                out.append(f"{a} {b}")
+        a, b = ends[:-1], begins[1:]
+        some = np.flatnonzero((a > 0) & (b > 0))
+        for i in some[self.most[a[some], b[some]] > 0].tolist():
+            v, w = words[i], words[i + 1]
+            if len(v) + len(w) > 2 * LONGEST:
+                continue
+            v, w = (units(v) or [v])[0], (units(w) or [w])[0]
+            if self.least[ends[i], begins[i + 1]] <= len(v) + len(w) <= min(self.most[ends[i], begins[i + 1]], LONGEST - 1):
+                out.append(f"{v} {w}")
         return out
 
 

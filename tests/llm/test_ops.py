@@ -577,6 +577,6 @@ def test_toxicity_learns_insults_of_several_words():
 
 def test_windows_are_those_that_run_on():
     b = toxicity.Border(["idiot", "oxygen thief"])
-    words = "the id iot oxygen thief. idi otter i diot ox".split()
+    words = "the id iot oxygen thief. idi otters i diot ox idiotically id iotation".split()
     at = np.array([b.sides(w, toxicity.units(w)) for w in words])
-    assert b.windows(words, at[:, 0], at[:, 1]) == ["id iot", "oxygen thief", "idi otter", "i diot"]
+    assert b.windows(words, at[:, 0], at[:, 1]) == ["id iot", "oxygen thief", "i diot"]  # the others are too long for an idiot

@@ -32,7 +32,7 @@ REJECT_RATE, UNKNOWN_RATE = 0.001, 0.95
 SEEN, PRIOR = 2, 8
 UND = "und"
 _P, _M = np.uint32(0x9E3779B1), np.uint32(0x85EBCA6B)
-_CODE = re.compile(r"(?<!\w)[^\W\d]*+\d\w*+")
+_CODE = re.compile(r"(?<!\w)[^\W0-9]*+[0-9]\w*+")
 _letters: list[np.ndarray] = []
 
 
@@ -48,13 +48,14 @@ def normal(text: str) -> np.ndarray:
 
     Letters beside digits, as in keys and codes, are no words and go too, unless there are no others."""
     low = text.lower()
-    cp = np.frombuffer(_CODE.sub(" ", low).encode("utf-32-le"), "<u4")
+    cp = np.frombuffer(low.encode("utf-32-le"), "<u4")
     keep = letters()[cp]
     if not keep.any():
-        cp = np.frombuffer(low.encode("utf-32-le"), "<u4")
-        keep = letters()[cp]
-        if not keep.any():
-            return np.empty(0, np.uint32)
+        return np.empty(0, np.uint32)
+    if ((cp > 47) & (cp < 58)).any():
+        plain = np.frombuffer(_CODE.sub(" ", low).encode("utf-32-le"), "<u4")
+        if letters()[plain].any():
+            cp, keep = plain, letters()[plain]
     cp = np.concatenate(([32], np.where(keep, cp, 32), [32])).astype(np.uint32)
     space = cp == 32
     return cp[~(space & np.concatenate(([False], space[:-1])))]
@@ -82,7 +83,16 @@ def softmax(z: np.ndarray) -> np.ndarray:
 def long_ids(cp: np.ndarray, ids: np.ndarray) -> np.ndarray:
     """Of the ids that ngram_ids gives, the different ones of three and four letters: they come last."""
     short = sum(max(0, len(cp) - n + 1) for n in NGRAMS if n < 3)
-    return np.unique(ids[short:])
+    return distinct(ids[short:])
+
+
+def distinct(ids: np.ndarray) -> np.ndarray:
+    """The different ids: sorted if there are few of them, marked in a table otherwise."""
+    if len(ids) < 512:
+        return np.unique(ids)
+    held = np.zeros(BUCKETS, bool)
+    held[ids] = True
+    return np.flatnonzero(held)
 
 
 def support(hits: float, n: int) -> float:
@@ -98,6 +108,7 @@ class Model:
 
     def __init__(self, langs: list[str], table: np.ndarray, bias: np.ndarray, temperature: float, seen: np.ndarray, accept: np.ndarray, threshold: float):
         self.langs, self.table, self.bias, self.temperature, self.seen, self.accept, self.threshold = langs, table, bias, temperature, seen, accept, threshold
+        self.seen_any = seen.any(1)
 
     def features(self, text: str, without: int | None = None) -> tuple[np.ndarray, float] | None:
         """Calibrated probabilities and support; `without` leaves a language out of both."""
@@ -106,11 +117,11 @@ class Model:
             return None
         ids = ngram_ids(cp)
         z = (self.table[ids].mean(0) + self.bias).astype(float) / self.temperature
-        known = self.seen if without is None else np.delete(self.seen, without, 1)
+        known = self.seen_any if without is None else np.delete(self.seen, without, 1).any(1)
         if without is not None:
             z = np.delete(z, without)
         own = long_ids(cp, ids)
-        return softmax(z), support(float(known[own].any(1).sum()), len(own))
+        return softmax(z), support(float(np.count_nonzero(known[own])), len(own))
 
     def known(self, p: np.ndarray, share: float) -> float:
         """The probability that the text is of a known language."""

@@ -50,6 +50,8 @@ REMEMBERED = 500_000
 #: The margin of a word without a unit of its own.
 NOTHING = -1e9
 SENTENCE = re.compile(r"(?<=[.!?])\s+|\n+")
+#: Signs around a word that stand for no letter.
+AROUND = ".,;:!?\"'()[]{}<>-_*#%&/\\|+=~^`"
 #: Signs that stand for letters inside a word.
 LEET = str.maketrans("013457@$", "oieastas")
 _PLAIN = re.compile(r"[^\W\d_]+\Z")
@@ -79,6 +81,12 @@ def units(sentence: str) -> list[str]:
     return out
 
 
+def units_of(word: str) -> list[str]:
+    """What `units` gives for one lower-case word; at once for letters with signs only around them."""
+    u = word.strip(AROUND)
+    return [u] if 1 < len(u) <= LONGEST and u.isalpha() else units(word)
+
+
 def neighbours(us: list[str]) -> list[str]:
     """All windows of two units of a sentence."""
     return [f"{a} {b}" for a, b in zip(us, us[1:]) if len(a) + len(b) < LONGEST]
@@ -100,24 +108,26 @@ class Border:
             at = self.ends[a], self.begins[b]
             self.least[at], self.most[at] = min(n) - SLACK, max(n) + SLACK
 
-    def sides(self, word: str, us: list[str]) -> tuple[int, int]:
-        """Numbers of a word's end and beginning, 0 where no window goes on; none goes on over the end of a sentence."""
+    def sides(self, word: str, us: list[str]) -> int:
+        """A number for a word's end and beginning, each 0 where no window goes on; none goes on over the end of a sentence."""
         if len(us) != 1 and not (not us and len(word) == 1 and word.isalpha()):
-            return 0, 0
+            return 0
         u = us[0] if us else word
-        return 0 if word[-1] in ".!?" else self.ends.get(u[-2:], 0), self.begins.get(u[:2], 0)
+        return (0 if word[-1] in ".!?" else self.ends.get(u[-2:], 0) * len(self.least[0])) + self.begins.get(u[:2], 0)
 
-    def windows(self, words: list[str], ends: np.ndarray, begins: np.ndarray) -> list[str]:
+    def windows(self, words: list[str], sides: np.ndarray) -> list[str]:
         """The windows of a text's words, by the numbers of their sides."""
+        if len(words) < 2 or not sides.any():
+            return []
         out = []
-        a, b = ends[:-1], begins[1:]
+        a, b = sides[:-1] // len(self.least[0]), sides[1:] % len(self.least[0])
         some = np.flatnonzero((a > 0) & (b > 0))
         for i in some[self.most[a[some], b[some]] > 0].tolist():
             v, w = words[i], words[i + 1]
             if len(v) + len(w) > 2 * LONGEST:
                 continue
-            v, w = (units(v) or [v])[0], (units(w) or [w])[0]
-            if self.least[ends[i], begins[i + 1]] <= len(v) + len(w) <= min(self.most[ends[i], begins[i + 1]], LONGEST - 1):
+            v, w = (units_of(v) or [v])[0], (units_of(w) or [w])[0]
+            if self.least[a[i], b[i]] <= len(v) + len(w) <= min(self.most[a[i], b[i]], LONGEST - 1):
                 out.append(f"{v} {w}")
         return out
 
@@ -143,21 +153,19 @@ def _codes(strings: list[str], width: int) -> np.ndarray:
 
 
 def subsequence_kernel(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Row by row, the kernel of two arrays of code points (0 pads the end and matches nothing)."""
+    """Row by row, the kernel of two arrays of code points (0 pads the end and matches nothing).
+
+    Of each pair of places the weight of the subsequences that end before it is a sum over all earlier pairs, which decay by LAMBDA a step on either side: two products."""
     p, n, m = len(a), a.shape[1], b.shape[1]
-    match = (a[:, :, None] == b[:, None, :]) & (a[:, :, None] > 0)
-    prime = np.ones((n + 1, m + 1, p), np.float32)
-    lam, lam2 = np.float32(LAMBDA), np.float32(LAMBDA**2)
-    hit = np.ascontiguousarray(match.transpose(1, 2, 0)).astype(np.float32)
+    hit = ((a[:, :, None] == b[:, None, :]) & (a[:, :, None] > 0)).astype(np.float32)
+    decay = lambda k: np.tril(np.float32(LAMBDA) ** np.maximum(np.subtract.outer(np.arange(k), np.arange(k)), 0)).astype(np.float32)
+    left, right, before = decay(n).T, decay(m).T, np.ones((p, n, m), np.float32)
     for _ in range(N - 1):
-        new = np.zeros((n + 1, m + 1, p), np.float32)
-        for i in range(1, n + 1):
-            row = np.zeros(p, np.float32)
-            for j in range(1, m + 1):
-                row = lam * row + lam2 * prime[i - 1, j - 1] * hit[i - 1, j - 1]
-                new[i, j] = lam * new[i - 1, j] + row
-        prime = new
-    return lam2 * (hit * prime[:n, :m]).sum((0, 1))
+        after = ((before * hit).reshape(p * n, m) @ right).reshape(p, n, m).transpose(0, 2, 1)
+        after = (after.reshape(p * m, n) @ left).reshape(p, m, n).transpose(0, 2, 1)
+        before = np.zeros((p, n, m), np.float32)
+        before[:, 1:, 1:] = np.float32(LAMBDA**2) * after[:, :-1, :-1]
+    return np.float32(LAMBDA**2) * (hit * before).sum((1, 2))
 
 
 def subsequences(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -245,7 +253,7 @@ class Landmarks:
         return out
 
 
-_known: dict[str, tuple[dict[str, float], dict[str, int], dict[str, int]]] = {}
+_known: dict[str, tuple[dict[str, float], dict[str, int]]] = {}
 
 
 class Model:
@@ -254,11 +262,11 @@ class Model:
         self.name = hashlib.sha256(repr((landmarks and landmarks.words, beta.tolist(), bias)).encode()).hexdigest()
 
     @property
-    def known(self) -> tuple[dict[str, float], dict[str, int], dict[str, int]]:
-        """Margins of words (and of windows) by this model, and the numbers of words' ends and beginnings, which the tasks of a worker share."""
+    def known(self) -> tuple[dict[str, float], dict[str, int]]:
+        """Margins of words (and of windows) by this model, and the numbers of words' sides, which the tasks of a worker share."""
         if self.name not in _known:
             _known.clear()
-            _known[self.name] = {}, {}, {}
+            _known[self.name] = {}, {}
         return _known[self.name]
 
     def judge(self, strings: list[str]) -> np.ndarray:
@@ -266,28 +274,37 @@ class Model:
 
     def remember(self, words: set[str], windows: bool = False) -> None:
         """The largest margin of the units of each word, or the margin of each window, that isn't known yet."""
-        known, ends, begins = self.known
+        known, sides = self.known
         new = [w for w in words if w not in known]
         if len(known) + len(new) > REMEMBERED and not windows:
-            known.clear(), ends.clear(), begins.clear()
+            known.clear(), sides.clear()
             new = list(words)
-        own = {w: [w] if windows else units(w) for w in new}
-        every = sorted({u for us in own.values() for u in us})
+        plain = {w: u for w in new if 1 < len(u := w.strip(AROUND)) <= LONGEST and u.isalpha()} if not windows else {}
+        other = {w: [w] if windows else units(w) for w in new if w not in plain}
+        # a word of letters alone is known by itself, whatever signs are around it here
+        every = sorted({u for u in plain.values() if u not in known} | {u for us in other.values() for u in us if u not in known})
         margin = dict(zip(every, self.judge(every).tolist())) if every else {}
-        for w, us in own.items():
-            known[w] = max((margin[u] for u in us), default=NOTHING)
+        ends, begins, step = self.border.ends, self.border.begins, len(self.border.least[0])
+        for w, u in plain.items():
+            if u in margin:
+                known[u] = margin[u]
+                sides[u] = ends.get(u[-2:], 0) * step + begins.get(u[:2], 0)
+            if u is not w:
+                known[w] = known[u]
+                sides[w] = sides[u] % step if w[-1] in ".!?" else sides[u]
+        for w, us in other.items():
+            known[w] = max((margin[u] if u in margin else known[u] for u in us), default=NOTHING)
             if not windows:
-                ends[w], begins[w] = self.border.sides(w, us)
+                sides[w] = self.border.sides(w, us)
 
     def margins(self, texts: list[str]) -> np.ndarray:
         """A sentence's margin is that of its best unit and a document's that of its best sentence: so, that of its best unit."""
         out = np.full(len(texts), self.bias)
-        for lo in range(0, len(texts), 64):
-            docs = [t.lower().split() for t in texts[lo:lo + 64]]
+        for lo in range(0, len(texts), 128):
+            docs = [t.lower().split() for t in texts[lo:lo + 128]]
             self.remember({w for d in docs for w in d})
-            known, ends, begins = self.known
-            numbers = lambda d, side: np.fromiter(map(side.__getitem__, d), np.int32, len(d))
-            windows = [self.border.windows(d, numbers(d, ends), numbers(d, begins)) for d in docs]
+            known, sides = self.known
+            windows = [self.border.windows(d, np.fromiter(map(sides.__getitem__, d), np.int64, len(d))) for d in docs]
             self.remember({w for ws in windows for w in ws}, windows=True)
             for i, (d, ws) in enumerate(zip(docs, windows)):
                 got = list(map(known.__getitem__, d))
@@ -442,9 +459,7 @@ def train(texts: list[str], labels: list[int], seed: int = 3) -> Model:
     for i in fit:
         if not y[i]:
             for s in docs[i]:
-                if len(s) > 1:
-                    at = np.array([sides[u] for u in s])
-                    cold.update(border.windows(s, at[:, 0], at[:, 1]))
+                cold.update(border.windows(s, np.array([sides[u] for u in s], np.int64)))
     more = [(v, u) for u in hot for v in [gapped(u, rng) for _ in range(4)] + spaced(u)]
     pos = list(hot) + [v for v, _ in more]
     neg = sorted((u for u in cold if u not in hot), key=lambda u: (-cold[u], u))[:UNITS]  # a bound on what the driver trains with

@@ -578,5 +578,24 @@ def test_toxicity_learns_insults_of_several_words():
 def test_windows_are_those_that_run_on():
     b = toxicity.Border(["idiot", "oxygen thief"])
     words = "the id iot oxygen thief. idi otters i diot ox idiotically id iotation".split()
-    at = np.array([b.sides(w, toxicity.units(w)) for w in words])
-    assert b.windows(words, at[:, 0], at[:, 1]) == ["id iot", "oxygen thief", "i diot"]  # the others are too long for an idiot
+    assert b.windows(words, np.array([b.sides(w, toxicity.units(w)) for w in words])) == ["id iot", "oxygen thief", "i diot"]  # the others are too long for an idiot
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.text(alphabet="abé0137@$.,!-_*'ß ", min_size=1, max_size=30))
+def test_units_of_one_word(t):
+    for w in t.lower().split():
+        assert toxicity.units_of(w) == toxicity.units(w)
+
+
+def test_margins_are_those_of_all_units():
+    """Remembered words and windows give what judging every unit of every text afresh gives."""
+    d = labelled().dropna(subset=["toxic"])
+    model = toxicity.train(d[~d.held].text.tolist(), d[~d.held].toxic.astype(int).tolist())
+    texts = d[d.held].text.tolist()[:40] + ["an id iot, a MORON. i d i o t", "", "!!! ..", "a"]
+    want = []
+    for t in texts:
+        words = t.lower().split()
+        us = [u for w in words for u in toxicity.units(w)] + toxicity.units(" ".join(words)) + model.border.windows(words, np.array([model.border.sides(w, toxicity.units(w)) for w in words], int))
+        want.append(max([model.bias, *model.judge(us).tolist()]) if us else model.bias)
+    assert np.allclose(model.margins(texts), want, atol=1e-5)

@@ -58,11 +58,16 @@ def intervention_counts(studies: DataFrame) -> DataFrame:
     return studies.select(F.explode(F.array_distinct(lower_tokens(F.col("intervention_names")))).alias("name")).groupBy("name").agg(F.count(F.lit(1)).alias("n"))
 
 
+#: Tasks that the studies of one intervention name are dealt over: one name, like a comparator, may be in a third of all studies.
+SALTS = 16
+
+
 def common_assets(cohort: DataFrame, studies: DataFrame, least: int = text_rules.COMMON_ASSET) -> DataFrame:
     """nct_id of studies with an intervention that is in at least `least` studies."""
-    common = intervention_counts(studies).where(F.col("n") >= least)
+    common = intervention_counts(studies).where(F.col("n") >= least).select("name", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     own = cohort.select("nct_id", F.explode(F.array_distinct(lower_tokens(F.col("intervention_names")))).alias("name"))
-    return own.join(common, "name").select("nct_id").distinct()
+    own = own.withColumn("salt", F.pmod(F.xxhash64("nct_id"), F.lit(SALTS)).cast("int"))
+    return own.join(common, ["name", "salt"], "left_semi").select("nct_id").distinct()
 
 
 def development(cohort: DataFrame, studies: DataFrame, window_months: int = linkage.WINDOW_MONTHS, threshold: float = linkage.THRESHOLD, fuzzy: bool = True) -> DataFrame:

@@ -1,6 +1,7 @@
 import contextlib
 import json
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -220,3 +221,99 @@ def test_storage(spark, tmp_path):
         storage.save(df, "x", "orc")
     storage.save_review(df, str(tmp_path / "r.csv"))
     assert (tmp_path / "r.csv").read_bytes().startswith(b"\xef\xbb\xbf\"i\"")
+
+
+def test_snapshot_parts(spark, tmp_path):
+    t = trials(spark, {}, {"overall_status": "TERMINATED"})
+    assert snapshots.snapshot_row(t, "NCT00000002", "T3")["overall_status"] == "TERMINATED" and "overall_status" not in snapshots.snapshot_row(t, "NCT00000002", "T0")
+    assert snapshots.snapshot_row(t, "NCT99999999", "T0") is None
+    every = snapshots.all_snapshots(t, ["T0", "T3"])
+    assert list(every) == ["T0", "T3"] and list(snapshots.all_snapshots(t)) == snapshots.TIMEPOINTS
+    meta = snapshots.metadata(every["T0"], "T0")
+    assert meta["n_rows"] == 2 and meta["leakage_clean"] and not snapshots.metadata(t, "T0")["leakage_clean"]
+    paths = storage.save_snapshots(every, meta, str(tmp_path))
+    assert storage.load(spark, paths[0]).columns == every["T0"].columns and json.loads(open(paths[-1]).read())["timepoint"] == "T0"
+
+
+def test_registry_of_features(tmp_path):
+    (tmp_path / "f.yaml").write_text("categorical:\n- {name: sex, source_column: sex}\nnumeric:\n- {name: enrollment, source_column: enrollment, time_availability: T2, impute: median, log_transform: true}\nderived:\n- {name: n_c, source_column: conditions, derivation: count_delimited}\n")
+    texts = {"text_fields": [{"name": "title", "source_column": "brief_title"}], "tfidf": {"max_features": 10, "ngram_range": [1, 1]}}
+    r = features.Registry.from_configs(storage.load_config(str(tmp_path / "f.yaml")), texts)
+    assert r.names() == ["sex", "enrollment", "n_c", "text_title", "tfidf"] and len(r) == 5 and r.get("enrollment").extra == {"impute": "median", "log": True}
+    assert [f.name for f in r.leaking("T0")] == ["enrollment"] and [f.name for f in r.safe("T1")] == ["sex", "n_c", "text_title", "tfidf"] and r.leaking("T2") == []
+    assert [f.name for f in r.by_type("numeric")] == ["enrollment"] and r.get("none") is None and text.TfidfConfig.from_config(texts["tfidf"]) == text.TfidfConfig(10, (1, 1))
+
+
+def test_date_column_falls_back(spark):
+    df = spark.createDataFrame([(i, "soon", None, f"20{10 + i}-05") for i in range(5)], "ordinal long, first_post_date string, start_date string, last_update_post_date string").withColumn("nct_id", F.col("ordinal").cast("string"))
+    assert splits.date_column(df) == "last_update_post_date"
+    with pytest.raises(ValueError):
+        splits.date_column(df.drop("last_update_post_date"))
+    data = df.select("nct_id", F.lit(1).alias("y"))
+    got = {r["nct_id"]: r["split"] for r in splits.temporal_split(data, df, "2011-12-31", "2012-12-31", "last_update_post_date").collect()}
+    assert got == {"0": "train", "1": "train", "2": "val", "3": "test", "4": "test"}
+    with pytest.warns(UserWarning):
+        s = splits.summary(splits.temporal_split(data, df, "2030-01-01", "2031-01-01", "last_update_post_date"), "last_update_post_date", "2030-01-01", "2031-01-01")
+    assert s["train"]["n_total"] == 5 and len(s["warnings"]) == 2 and s["yearly_counts"]["train"][2010]["n_total"] == 1
+
+
+def test_distributions(spark):
+    df = spark.createDataFrame([(str(i), float(i), 7, "ab"[i % 2], i % 3 or None) for i in range(150)], "nct_id string, `a.b` double, c int, d string, e int")
+    with pytest.warns(UserWarning, match="constant"):
+        got = features.distributions(df)
+    assert got["constant_columns"] == ["c"] and got["high_cardinality"] == ["a.b"] and got["stats"]["d"] == {"unique": 2, "top_values": {"a": 75, "b": 75}} and got["stats"]["a.b"]["max"] == 149
+    assert features.missing_report(df, 0.3)["flagged"] == [("e", 1 / 3)]
+    with pytest.raises(ValueError, match="categories"):
+        features.categories(df, ["nct_id"], most=100)
+
+
+def newton(x, y, weight, reg):
+    """Ridge logistic regression with an intercept that is not penalised, to the optimum."""
+    x = np.column_stack([x, np.ones(len(x))])
+    w, pen = np.zeros(x.shape[1]), np.append(np.full(x.shape[1] - 1, reg), 0)
+    for _ in range(100):
+        p = 1 / (1 + np.exp(-x @ w))
+        w = w + np.linalg.solve((x * (weight * p * (1 - p))[:, None]).T @ x + np.diag(pen), x.T @ (weight * (y - p)) - pen * w)
+    return 1 / (1 + np.exp(-x @ w))
+
+
+def test_logistic_and_platt_reach_the_optimum(spark):
+    from pyspark.ml.feature import VectorAssembler
+
+    rng = np.random.default_rng(5)
+    x = rng.standard_normal((300, 3))
+    y = (x @ [1.5, -1, 0.2] + rng.logistic(size=300) > 0.8).astype(int)
+    df = spark.createDataFrame([(str(i), *map(float, v), int(t)) for i, (v, t) in enumerate(zip(x, y))], "nct_id string, a double, b double, c double, y int")
+    data = VectorAssembler(inputCols=["a", "b", "c"], outputCol="features").transform(df)
+    model, meta = models.train_logistic(data, {"params": {"C": 0.5}})
+    assert meta["params"] == {"C": 0.5, "max_iter": 1000} and meta["n_features"] == 3
+    weight = np.where(y > 0, 300 / (2 * y.sum()), 300 / (2 * (300 - y.sum())))
+    got = {r["nct_id"]: r["score"] for r in models.predict(model, data).collect()}
+    assert np.abs(np.array([got[str(i)] for i in range(300)]) - newton(x, y, weight, 1 / 0.5)).max() < 1e-3
+    scores = models.predict(model, data).select("nct_id", "score", "y")
+    cal = {r["nct_id"]: r["calibrated"] for r in models.calibrated(models.platt(scores), scores).collect()}
+    s = np.array([got[str(i)] for i in range(300)])
+    assert np.abs(np.array([cal[str(i)] for i in range(300)]) - newton(s[:, None], y, np.ones(300), 0)).max() < 1e-3
+    assert models.depth_of(models.BOOSTING) == 5 and models.train_gbt(data, n_estimators=3)[1]["params"]["num_leaves"] == 31
+
+
+def test_streams(spark, tmp_path):
+    from cohortline.streaming import rows
+
+    t = trials(spark, {}, {"study_type": "Observational"}, {"overall_status": "TERMINATED"})
+    t.write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(t.schema).parquet(str(tmp_path / "in"))
+    for name, made, want in (("marks", rows.mark_exclusions(stream), cohort.with_reason(t, cohort.STANDARD)), ("labels", rows.operational_labels(stream), labels.operational(t))):
+        q = made.writeStream.format("memory").queryName(name).option("checkpointLocation", str(tmp_path / name)).trigger(availableNow=True).start()
+        q.awaitTermination(60)
+        assert sorted(map(str, spark.table(name).collect())) == sorted(map(str, want.collect()))
+
+
+def point(url, params, timeout):
+    return {"at": url, "format": params["format"]}
+
+
+def test_one_study_by_its_id():
+    reader = rest._Reader({"nctid": "NCT00000001", "client": f"{__name__}:point"})
+    (row,) = reader.read(reader.partitions()[0])
+    assert json.loads(row[0])["at"].endswith("/NCT00000001") and json.loads(row[0])["format"] == "json"

@@ -32,6 +32,7 @@ REJECT_RATE, UNKNOWN_RATE = 0.001, 0.95
 SEEN, PRIOR = 2, 8
 UND = "und"
 _P, _M = np.uint32(0x9E3779B1), np.uint32(0x85EBCA6B)
+_ADDRESS = re.compile(r"(?<!\S)[^\s@]++@\S++")
 _CODE = re.compile(r"(?<!\w)[^\W0-9]*+[0-9]\w*+")
 _letters: list[np.ndarray] = []
 
@@ -46,14 +47,14 @@ def letters() -> np.ndarray:
 def normal(text: str) -> np.ndarray:
     """Code points of the lower-cased text with every run of other signs as one space, spaces at both ends; empty if there is no letter.
 
-    Letters beside digits, as in keys and codes, are no words and go too, unless there are no others."""
+    Letters beside digits, as in keys and codes, and mail addresses are no words and go too, unless there are no others."""
     low = text.lower()
     cp = np.frombuffer(low.encode("utf-32-le"), "<u4")
     keep = letters()[cp]
     if not keep.any():
         return np.empty(0, np.uint32)
-    if ((cp > 47) & (cp < 58)).any():
-        plain = np.frombuffer(_CODE.sub(" ", low).encode("utf-32-le"), "<u4")
+    if "@" in low or ((cp > 47) & (cp < 58)).any():
+        plain = np.frombuffer(_CODE.sub(" ", _ADDRESS.sub(" ", low)).encode("utf-32-le"), "<u4")
         if letters()[plain].any():
             cp, keep = plain, letters()[plain]
     cp = np.concatenate(([32], np.where(keep, cp, 32), [32])).astype(np.uint32)

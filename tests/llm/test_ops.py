@@ -548,8 +548,9 @@ def test_language_rejects_what_it_never_learned():
 
 
 def test_language_takes_codes_for_no_words():
-    plain, coded = langid.normal("a word and more"), langid.normal("a word 2abc3ff2ca8f and AKIA75PJ4 more x9")
+    plain, coded = langid.normal("a word and more"), langid.normal("a word 2abc3ff2ca8f and AKIA75PJ4 zq.wvx@mail3.example.com more x9")
     assert plain.tolist() == coded.tolist() and len(langid.normal("abc123")) == 5  # unless there is nothing else
+    assert len(langid.normal("y" * 200_000 + "@" + "z." * 100_000)) > 200_000  # in time that grows with the text
     assert len(langid.normal("x" * 200_000 + " " + "a1" * 100_000)) == 200_002
 
 

@@ -2,7 +2,7 @@
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cohortline.llm import bpe, exact_dedup, jaccard_forest, langid, order_minhash, packing, pii, quality, sharding, toxicity
+from cohortline.llm import bpe, circulant_minhash, exact_dedup, jaccard_forest, langid, order_minhash, packing, periodic_runs, pii, quality, ranked_search, sharding, toxicity
 from cohortline.llm.common import read_table
 
 
@@ -55,5 +55,18 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.fit(docs, read_table(spark, sf_dir, "labels")), threshold=0.5)
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op2_jaccard_join, op3_bpe, op4_exact_dedup, op5_language_id, op6_fingerprints, op7_quality, op8_sharding, op9_packing, op10_toxicity)}
-SQL = {"op4_exact_dedup": exact_dedup.SQL}
+def op11_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return circulant_minhash.near_dedup(read_table(spark, sf_dir, "documents"))
+
+
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.search(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.digests(periodic_runs.find(read_table(spark, sf_dir, "documents"), edit=periodic_runs.planted))
+
+
+QUERIES = {f.__name__: f for f in (op1_pii, op2_jaccard_join, op3_bpe, op4_exact_dedup, op5_language_id, op6_fingerprints, op7_quality, op8_sharding, op9_packing, op10_toxicity,
+                                    op11_near_dedup, op12_ranked_search, op13_periodic_runs)}
+SQL = {"op4_exact_dedup": exact_dedup.SQL, "op11_near_dedup": circulant_minhash.SQL, "op12_ranked_search": ranked_search.SQL}

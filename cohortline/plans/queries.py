@@ -39,7 +39,7 @@ def on_labels(f):
 
 def development(spark: SparkSession, sf_dir: str, fuzzy: bool) -> DataFrame:
     t = trials(spark, sf_dir)
-    return staged(spark, ("development", sf_dir, fuzzy), lambda: labels.development(t, t, fuzzy=fuzzy))
+    return staged(spark, ("development", sf_dir, fuzzy), lambda: labels.development(t, t, fuzzy=fuzzy), t)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -504,7 +504,7 @@ def prepared(spark: SparkSession, sf_dir: str) -> DataFrame:
     from cohortline.operators import models
 
     t, dev = trials(spark, sf_dir), development(spark, sf_dir, False)
-    return staged(spark, ("prepared", sf_dir), lambda: models.prepare(split(t, dev), snapshots.snapshot(t, "T0"), "structured"))
+    return staged(spark, ("prepared", sf_dir), lambda: models.prepare(split(t, dev), snapshots.snapshot(t, "T0"), "structured"), t, dev)
 
 
 @query

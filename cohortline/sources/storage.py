@@ -1,7 +1,9 @@
 """Tables and side files by path, through Spark, so that any store that Spark reads will do."""
 
+import hashlib
 import json
 import tempfile
+import threading
 import uuid
 from collections.abc import Callable
 from datetime import datetime, timezone
@@ -132,14 +134,59 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
-_staged: dict[tuple, str] = {}
+def remove(spark: SparkSession, path: str) -> None:
+    fs, p = _fs(spark, path)
+    fs.delete(p, True)
+
 
+def stage_table(df: DataFrame) -> str:
+    """Writes df as a Parquet table of this application in the shared folder; the file system removes it when the application's JVM ends, however that comes about."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/cohortline-stages/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}.parquet"
+    fs, p = _fs(spark, path)
+    fs.mkdirs(p.getParent())
+    fs.deleteOnExit(p.getParent())  # of what exists
+    try:
+        df.write.parquet(path)
+    except Exception:
+        remove(spark, path)  # a table is whole or not there
+        raise
+    return path
 
-def staged(spark: SparkSession, name: tuple, build: Callable[[], DataFrame]) -> DataFrame:
-    """The table that `build` gives, written once an application and read from there, as the output of a stage is."""
-    key = (spark.sparkContext.applicationId, *name)
-    if key not in _staged or not exists(spark, _staged[key]):
-        path = f"{shared_folder(spark)}/cohortline-stages/{uuid.uuid4().hex}.parquet"
-        build().write.parquet(path)
-        _staged[key] = path
-    return spark.read.parquet(_staged[key])
+
+def state_of(df: DataFrame) -> str:
+    """A digest of all that df is made of: its plan, and the names, sizes and times of the files that it reads."""
+    spark, digest = df.sparkSession, hashlib.sha256(f"{df.semanticHash()} {df.schema.simpleString()}".encode())
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    for name in sorted(set(df.inputFiles())):
+        path = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(name))
+        found = path.getFileSystem(conf).getFileStatus(path)
+        digest.update(f"{name} {found.getLen()} {found.getModificationTime()}\n".encode())
+    return digest.hexdigest()
+
+
+_staged: dict[tuple, str] = {}
+_staging = threading.Lock()
+
+
+def staged(spark: SparkSession, name: tuple, build: Callable[[], DataFrame], *inputs: DataFrame) -> DataFrame:
+    """The table that `build` gives, written once for each state of what it is made from and read from there, as the output of a stage is.
+
+    That state is the plan and the files (names, sizes, times) of the inputs that are named, or else of the table that `build` describes: where an input was rewritten or the
+    computation is another one, the table is made anew. Frames that read an older table go on doing so; all of them go when the application ends, `unstage` removes them before."""
+    made = None if inputs else build()
+    key = (spark.sparkContext.applicationId, *name, *(state_of(df) for df in inputs or (made,)))
+    with _staging:
+        if key not in _staged or not exists(spark, _staged[key]):
+            _staged[key] = stage_table(build() if made is None else made)
+        return spark.read.parquet(_staged[key])
+
+
+def unstage(spark: SparkSession, *name) -> int:
+    """Removes this application's staged tables whose names start so (all of them, without one); returns how many there were."""
+    head = (spark.sparkContext.applicationId, *name)
+    with _staging:
+        gone = [k for k in _staged if k[:len(head)] == head]
+        for k in gone:
+            remove(spark, _staged.pop(k))
+    return len(gone)

@@ -317,3 +317,57 @@ def test_one_study_by_its_id():
     reader = rest._Reader({"nctid": "NCT00000001", "client": f"{__name__}:point"})
     (row,) = reader.read(reader.partitions()[0])
     assert json.loads(row[0])["at"].endswith("/NCT00000001") and json.loads(row[0])["format"] == "json"
+
+
+def test_stages_follow_their_inputs(spark, tmp_path):
+    """A rewritten input gives new rows, an unchanged one the same table; another plan or name is another table; tables can be removed."""
+    from cohortline.sources import storage
+
+    path, built = f"{tmp_path}/a b.parquet", []
+
+    def stage(name="s", least=0):
+        def build():
+            built.append(name)
+            return spark.read.parquet(path).where(F.col("id") >= least)
+
+        return storage.staged(spark, ("test", name), build)
+
+    spark.range(3).write.parquet(path)
+    old = stage()
+    assert old.count() == 3 and stage().inputFiles() == old.inputFiles()
+    spark.range(9).write.mode("overwrite").parquet(path)
+    assert stage().count() == 9 and old.count() == 3  # a frame goes on reading its own table
+    assert stage(least=4).count() == 5 and stage(name="t").count() == 9
+    extra = spark.range(100, 102)
+    extra.write.mode("append").parquet(path)
+    assert stage().count() == 11
+    built.clear()  # with its inputs named, a table that is there is not described again
+    named = lambda: storage.staged(spark, ("test", "named"), lambda: built.append(1) or spark.read.parquet(path), spark.read.parquet(path)).count()
+    assert named() == named() == 11 and built == [1]
+    extra.write.mode("append").parquet(path)
+    assert named() == 13 and built == [1, 1]
+    assert storage.unstage(spark, "test", "s") == 4 and storage.unstage(spark, "test") == 3 and stage().count() == 13
+    with pytest.raises(Exception, match="DIVIDE_BY_ZERO"):
+        storage.staged(spark, ("test", "broken"), lambda: spark.range(1).select(F.expr("1 / id").alias("x")))
+    assert storage.unstage(spark, "test", "broken") == 0
+
+
+def test_stages_go_with_the_application(tmp_path):
+    import subprocess
+    import sys
+    import time
+
+    program = f"""
+from pyspark.sql import SparkSession
+from cohortline.sources import storage
+s = SparkSession.builder.master("local[1]").config("spark.ui.enabled", "false").config("spark.checkpoint.dir", "file://{tmp_path}").getOrCreate()
+import os
+print(storage.staged(s, ("x",), lambda: s.range(5)).count(), len(os.listdir("{tmp_path}/cohortline-stages")))
+"""
+    for end in ("", "s.stop()"):
+        done = subprocess.run([sys.executable, "-c", program + end], capture_output=True, text=True, timeout=120, cwd=__file__.rsplit("/tests/", 1)[0])
+        assert done.stdout.split() == ["5", "1"], done.stderr[-2000:]
+        until = time.time() + 30
+        while list(tmp_path.glob("cohortline-stages/*")) and time.time() < until:
+            time.sleep(0.2)  # the JVM ends a moment after Python
+        assert not list(tmp_path.glob("cohortline-stages/*"))

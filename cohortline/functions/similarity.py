@@ -4,7 +4,7 @@ from difflib import SequenceMatcher
 from functools import lru_cache
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortline.functions.scalars import lower_tokens, text
@@ -50,6 +50,61 @@ def full_ratio(a: Column, b: Column) -> Column:
     return slow(a, b)
 
 
+#: Characters that are counted together; all others are one more group.
+LETTER_GROUPS = [*"abcdefghijklmnopqrstuvwxyz", "0123456789", " -;,.()/"]
+
+
+def letter_counts(c: Column) -> Column:
+    """How many characters of the lower-cased text fall into each group: made once a name, compared for each pair."""
+    low = F.lower(text(c))
+    counts = [F.length(low) - F.length(F.translate(low, g, "")) for g in LETTER_GROUPS]
+    return F.array(*[x.cast("short") for x in [*counts, F.length(F.translate(low, "".join(LETTER_GROUPS), ""))]])
+
+
+def may_reach(a_length: Column, a_counts: Column, b_length: Column, b_counts: Column, threshold: float = 0.85) -> Column:
+    """Whether lengths and letters allow the ratio: it is at most twice the letters in common over both lengths. JVM-side; characters that share a group only raise the bound."""
+    common = F.aggregate(F.zip_with(a_counts, b_counts, lambda p, q: F.least(p, q)), F.lit(0), lambda n, x: n + x)
+    wanted = F.lit(threshold) * (a_length + b_length) - 1e-6
+    return F.when(2.0 * F.least(a_length, b_length) >= wanted, 2.0 * common >= wanted).otherwise(False)
+
+
+def whole_match(a: Column, b: Column, threshold: float = 0.85) -> Column:
+    """Whether the ratio of whole lower-cased strings is at the threshold or above; nulls are not asked. Pairs that repeat in a batch are compared once, and answers are kept."""
+
+    @F.pandas_udf("boolean")
+    def slow(x: pd.Series, y: pd.Series) -> pd.Series:
+        pairs = list(zip(x, y))
+        known = {p: p[0] is not None and reaches(p[0].lower(), p[1].lower(), threshold) for p in set(pairs)}
+        return pd.Series([known[p] for p in pairs], dtype="bool")
+
+    return slow.asNondeterministic()(a, b)  # it is not: as in fuzzy_match
+
+
+def numbered_letters(c: Column) -> Column:
+    """The letters of a token, each with how often it came before, so that sets of them meet as multisets do; the rarer ones first."""
+    letters = F.array_sort(F.filter(F.split(c, ""), lambda x: x != ""))
+    numbered = F.transform(letters, lambda x, i: F.struct((F.array_position(letters, x) - i).cast("int").alias("before"), x.alias("letter")))
+    return F.transform(F.array_sort(numbered), lambda x: F.concat(x["letter"], x["before"].cast("string")))
+
+
+def alike_tokens(left: DataFrame, right: DataFrame, threshold: float = 0.85) -> DataFrame:
+    """(x, y): tokens of `left` and `right` (column `token`) that are not equal and whose ratio, x first, is at the threshold or above.
+
+    Each different token takes part once. Tokens meet by a prefix filter: two with at least n letters in common share one of their first (size - n + 1) letters in any order that both
+    keep; the ratio sets n from the length of either. Then lengths and all letters are compared in the JVM, and Python sees what is left."""
+    c, t = F.col, float(threshold)
+
+    def prefixes(tokens: DataFrame, name: str) -> DataFrame:
+        every = tokens.select(c("token").alias(name)).distinct().where(c(name) != "").withColumn("letters", numbered_letters(c(name)))
+        least = F.ceil(F.length(name) * (t / (2 - t)) - 1e-6)
+        return every.withColumn("first", F.explode(F.slice("letters", 1, F.greatest(F.size("letters") - least + 1, F.lit(1)).cast("int")))).withColumnRenamed("letters", f"{name}_letters")
+
+    met = prefixes(left, "x").join(prefixes(right, "y"), "first").where(c("x") != c("y"))
+    wanted = F.lit(t) * (F.length("x") + F.length("y")) - 1e-6
+    fits = (2.0 * F.least(F.length("x"), F.length("y")) >= wanted) & (2.0 * F.size(F.array_intersect("x_letters", "y_letters")) >= wanted)
+    return met.where(fits).select("x", "y").distinct().where(whole_match(c("x"), c("y"), threshold))
+
+
 def fuzzy_match(a: Column, b: Column, threshold: float = 0.85) -> Column:
     @F.pandas_udf("boolean")
     def slow(x: pd.Series, y: pd.Series) -> pd.Series:

@@ -1,9 +1,13 @@
 """Linking a study to its successors: equality on sponsor, an interval on dates, overlap of sets and likeness of names.
 
 The join is over narrow rows (ids, rank, dates): one a condition, by (sponsor, condition, bucket of the window's length), so neither texts nor arrays
-are shuffled once a condition, and a sponsor and condition that many studies share are dealt over time. A study is looked for in the
-two buckets that its window can reach. Pairs that share several conditions are made one; then names and conditions are fetched for the pairs alone.
-Names are compared in the JVM first: what is surely alike stays, what lengths rule out goes, and Python sees only the rest.
+are shuffled once a condition. A study is looked for in the two buckets that its window can reach. A key that holds over one in `SHARES` of all rows is cut into cells:
+its anchors and its studies are each dealt to parts of at most that size, and each part of the one meets each part of the other, so no task takes a hot key whole. There are
+at most `SHARES` such keys a side, whatever the size of the data: only they are broadcast. Pairs that share several conditions are made one; then names and conditions
+are fetched for the pairs alone.
+
+Names are compared in the JVM: of the different tokens those that are alike are found once (`similarity.alike_tokens`) and put beside each anchor's own, so the pairs only ask
+whether two arrays overlap. Whole strings are ruled out by lengths and counts of letters, which are made once a study; Python sees the pairs that could reach the threshold.
 """
 
 from pyspark.sql import Column, DataFrame
@@ -13,6 +17,12 @@ from cohortline.functions import similarity
 from cohortline.functions.scalars import DAYS_PER_MONTH, lower_tokens, months_between_days, phase_rank, strict_date, text
 
 WINDOW_MONTHS, THRESHOLD = 36, 0.85
+#: A key with over one in so many rows is cut into cells (and at least SMALL rows); salts of tokens that many studies have.
+SHARES, SMALL, SALTS = 1024, 256, 16
+#: The last rank that a phase has.
+LAST_RANK = 6
+#: What anchors and studies are joined by.
+KEY = ["sponsor", "key", "rank", "bucket"]
 
 
 def _conditions(c: str = "conditions") -> Column:
@@ -20,26 +30,67 @@ def _conditions(c: str = "conditions") -> Column:
 
 
 def _narrow(studies: DataFrame, p: str, day: Column) -> DataFrame:
-    """One row a study and condition: id, sponsor, rank, posting date and the day that the window is about."""
+    """One row a study and condition: id, sponsor, rank, posting date, the day that the window is about, and the digests of all conditions."""
     c = F.col
     rows = studies.where(c("lead_sponsor").isNotNull()).select(
         c("nct_id").alias(f"{p}_id"), c("lead_sponsor").alias("sponsor"), phase_rank(c("phases")).alias(f"{p}_rank"),
         strict_date(c("first_post_date")).alias(f"{p}_posted"), day.alias(f"{p}_day"), _conditions().alias("conditions"))
     rows = rows.where(c(f"{p}_rank").isNotNull() & c(f"{p}_day").isNotNull())
+    rows = rows.withColumn(f"{p}_keys", F.transform("conditions", lambda x: F.xxhash64(x)))
     return rows.withColumn("key", F.explode("conditions")).drop("conditions")
 
 
+def _hot(rows: DataFrame, p: str) -> DataFrame:
+    """The keys that hold over one in SHARES of the rows, with the number of parts that they are cut into."""
+    counts = rows.groupBy(*KEY).agg(F.count(F.lit(1)).alias("n"))
+    most = counts.agg(F.greatest(F.ceil(F.sum("n") / F.lit(SHARES)), F.lit(SMALL)).alias("most"))
+    return counts.join(F.broadcast(most), F.col("n") > F.col("most")).select(*KEY, F.ceil(F.col("n") / F.col("most")).cast("int").alias(f"{p}_parts"))
+
+
+def dealt(rows: DataFrame, hot: DataFrame, p: str, other: str) -> DataFrame:
+    """Each row in its own part and in all parts of the other side."""
+    known = rows.join(F.broadcast(hot), KEY, "left")
+    own = F.pmod(F.xxhash64(f"{p}_id"), F.coalesce(f"{p}_parts", F.lit(1))).cast("int").alias(f"{p}_part")
+    others = F.explode(F.sequence(F.lit(0), F.coalesce(f"{other}_parts", F.lit(1)) - 1)).alias(f"{other}_part")
+    return known.select(*rows.columns, own, others)
+
+
 def candidates(anchors: DataFrame, studies: DataFrame, window_months: int = WINDOW_MONTHS) -> DataFrame:
-    """(a_id, s_id, gap_days) of studies with a sponsor and a condition in common, a later phase, a start in the window and no earlier posting; each pair once."""
+    """(a_id, s_id, gap_days, n_both, n_any) of studies with a sponsor and a condition in common, a later phase, a start in the window and no earlier posting; each pair
+    once, at the first condition that it shares, with how many conditions both and either of them have."""
     c, days = F.col, int(window_months * DAYS_PER_MONTH)
     end = F.coalesce(strict_date(c("primary_completion_date")), strict_date(c("completion_date")))
     bucket = lambda d: F.floor(F.unix_date(d) / F.lit(days + 1))
+    # an anchor is there once for each bucket that its window reaches, and for each later phase: so the join is on equality alone
     a = _narrow(anchors, "a", end)
     a = a.withColumn("bucket", F.explode(F.array(bucket(c("a_day")), bucket(c("a_day")) + 1)))
-    s = _narrow(studies, "s", strict_date(c("start_date"))).withColumn("bucket", bucket(c("s_day")))
+    a = a.where(c("a_rank") < LAST_RANK).withColumn("rank", F.explode(F.sequence(c("a_rank") + 1, F.lit(LAST_RANK)))).drop("a_rank")
+    s = _narrow(studies, "s", strict_date(c("start_date"))).withColumn("bucket", bucket(c("s_day"))).withColumnRenamed("s_rank", "rank")
+    hot = _hot(a, "a").join(_hot(s, "s"), KEY, "full")  # at most 2 * SHARES rows
+
     gap = F.datediff("s_day", "a_day")
-    met = a.join(s, ["sponsor", "key", "bucket"]).where((c("a_id") != c("s_id")) & (c("s_rank") > c("a_rank")) & gap.between(0, days) & ~F.coalesce(c("s_posted") < c("a_posted"), F.lit(False)))
-    return met.select("a_id", "s_id", gap.alias("gap_days")).distinct()
+    met = dealt(a, hot, "a", "s").join(dealt(s, hot, "s", "a"), [*KEY, "a_part", "s_part"])
+    met = met.where((c("a_id") != c("s_id")) & gap.between(0, days) & ~F.coalesce(c("s_posted") < c("a_posted"), F.lit(False)))
+    met = met.withColumn("both", F.array_intersect("a_keys", "s_keys")).where(F.xxhash64("key") == F.array_min("both"))
+    return met.select("a_id", "s_id", gap.alias("gap_days"), F.size("both").alias("n_both"), (F.size("a_keys") + F.size("s_keys") - F.size("both")).alias("n_any"))
+
+
+def _names(rows: DataFrame, p: str) -> DataFrame:
+    """What pairs need of a study's names: the effective tokens, the length and the counts of letters of the whole."""
+    names = F.col("intervention_names")
+    return rows.select(F.col("nct_id").alias(f"{p}_id"), names.alias(f"{p}_names"), F.array_distinct(similarity.effective_tokens(names)).alias(f"{p}_tokens"),
+                       F.length(F.lower(text(names))).alias(f"{p}_length"), similarity.letter_counts(names).alias(f"{p}_letters"))
+
+
+def _reach(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
+    """The anchors' rows with `a_reach`: their tokens, and those of the studies that are alike one of them."""
+    tokens = lambda rows, p: rows.select(f"{p}_id", F.explode(f"{p}_tokens").alias("token"))
+    alike = similarity.alike_tokens(tokens(left, "a"), tokens(right, "s"), threshold)
+    # a token that many studies have is dealt over salts
+    alike = alike.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    own = tokens(left, "a").withColumn("salt", F.pmod(F.xxhash64("a_id"), F.lit(SALTS)).cast("int"))
+    more = own.join(alike.withColumnRenamed("x", "token"), ["token", "salt"]).groupBy("a_id").agg(F.collect_set("y").alias("more"))
+    return left.join(more, "a_id", "left").withColumn("a_reach", F.coalesce(F.array_union("a_tokens", "more"), "a_tokens")).drop("more", "a_tokens")
 
 
 def successor_pairs(anchors: DataFrame, studies: DataFrame, window_months: int = WINDOW_MONTHS, threshold: float = THRESHOLD, fuzzy: bool = True) -> DataFrame:
@@ -47,23 +98,24 @@ def successor_pairs(anchors: DataFrame, studies: DataFrame, window_months: int =
 
     fuzzy=False takes names as alike only when whole strings or effective tokens are equal."""
     c = F.col
-    left = anchors.select(c("nct_id").alias("a_id"), c("intervention_names").alias("a_names"), _conditions().alias("a_conditions"))
-    right = studies.select(c("nct_id").alias("s_id"), c("intervention_names").alias("s_names"), _conditions().alias("s_conditions"), c("phases").alias("successor_phase"),
+    facts = studies.select(c("nct_id").alias("s_id"), c("phases").alias("successor_phase"),
                            c("lead_sponsor").alias("successor_sponsor"), c("start_date").alias("s_start_text"), c("ordinal").alias("successor_ordinal"))
-    pairs = candidates(anchors, studies, window_months).join(left, "a_id").join(right, "s_id")
-    sure = similarity.exact_match(c("a_names"), c("s_names"))
+    left, right = _names(anchors, "a"), _names(studies, "s")
+    left = _reach(left, right, threshold) if fuzzy else left.withColumnRenamed("a_tokens", "a_reach")
+    pairs = candidates(anchors, studies, window_months).join(left, "a_id").join(right.join(facts, "s_id"), "s_id")
+    pairs = pairs.where((c("a_length") > 0) & (c("s_length") > 0))
+    sure = (F.lower("a_names") == F.lower("s_names")) | F.arrays_overlap("a_reach", "s_tokens")
     if fuzzy:
         # one plan for both: pairs that need no Python go to it as nulls
-        ask = lambda name: F.when(~c("__sure") & c("__may"), text(c(name)))
-        pairs = pairs.withColumn("__sure", sure).withColumn("__may", similarity.may_match(c("a_names"), c("s_names"), threshold))
-        pairs = pairs.where(c("__sure") | c("__may")).withColumn("__alike", similarity.fuzzy_match(ask("a_names"), ask("s_names"), threshold))
-        pairs = pairs.where(c("__sure") | c("__alike")).drop("__sure", "__may", "__alike")
+        may = similarity.may_reach(c("a_length"), c("a_letters"), c("s_length"), c("s_letters"), threshold)
+        pairs = pairs.withColumn("__sure", sure).withColumn("__may", F.when(~c("__sure"), may).otherwise(False)).where(c("__sure") | c("__may"))
+        ask = lambda name: F.when(c("__may"), text(c(name)))
+        pairs = pairs.withColumn("__alike", similarity.whole_match(ask("a_names"), ask("s_names"), threshold)).where(c("__sure") | c("__alike"))
     else:
         pairs = pairs.where(sure)
-    both, either = F.size(F.array_intersect("a_conditions", "s_conditions")), F.size(F.array_union("a_conditions", "s_conditions"))
     return pairs.select(
         c("a_id").alias("nct_id"), c("s_id").alias("successor_id"), "successor_phase", "gap_days",
-        months_between_days(c("gap_days")).alias("temporal_gap_months"), F.bround(both / F.greatest(either, F.lit(1)), 3).alias("condition_overlap"),
+        months_between_days(c("gap_days")).alias("temporal_gap_months"), F.bround(c("n_both") / F.greatest("n_any", F.lit(1)), 3).alias("condition_overlap"),
         "a_names", "s_names", "s_start_text", "successor_sponsor", "successor_ordinal")
 
 

@@ -96,9 +96,90 @@ def test_fuzzy_successors_by_brute_force(spark):
     assert got == want and len(want) > 50
     exact = linkage.first_successor(linkage.successor_pairs(a, t, fuzzy=False)).agg(F.sum("n_successors")).first()[0]
     assert exact < sum(n for n, _, _ in want.values())
+    # the labels behind them: advanced with the first successor's id where there is one, and otherwise what they are by equal names (which SQL holds), or would be without a successor
+    from cohortline.operators import labels
+
+    fuzzy = {r["nct_id"]: r for r in labels.development(t, t).collect()}
+    equal = {r["nct_id"]: r for r in labels.development(t, t, fuzzy=False).collect()}
+    assert fuzzy.keys() == equal.keys()
+    more = 0
+    for i, r in fuzzy.items():
+        assert (r["label_value"] == "advanced") == (i in want)
+        if i in want:
+            assert want[i][1] in r["evidence_source"] and r["label_confidence"] == "high" and r["intervention_similarity"] == want[i][2]
+            more += equal[i]["label_value"] != "advanced"
+        else:
+            assert {k: v for k, v in r.asDict().items()} == equal[i].asDict()
+    assert more > 5
+    events = {r["nct_id"]: r for r in labels.with_events(labels.censor(labels.development(t, t), t, engine.reference())).collect()}
+    for i, (_, first, _) in want.items():
+        assert (events[i]["event_label"], events[i]["event_observed"], events[i]["evidence_nct_id"]) == ("next_phase_successor_observed", True, first)
     t.unpersist()
 
 
+def test_alike_tokens_and_bounds(spark):
+    """Prefixes, lengths and letters refuse no pair that reaches the threshold; letters outside ASCII and long names too."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    from cohortline.functions import similarity
+
+    rng = random.Random(6)
+    base = ["".join(rng.choice("abcdeé日😀-1 ") for _ in range(rng.randint(1, 14))).strip() or "a" for _ in range(60)] + ["aaaaaaaaaa", "placebo", "metformin hydrochloride", "x" * 230]
+    names = set(base)
+    for b in base:
+        for _ in range(3):
+            x = list(b)
+            x.insert(rng.randrange(len(x) + 1), rng.choice("abé日"))
+            if len(x) > 3:
+                del x[rng.randrange(len(x))]
+            names.add("".join(x).strip() or "b")
+    names = sorted(names)
+    left, right = names[::2] + names[:9], names[1::2] + names[:20]
+    frame = lambda v: spark.createDataFrame([(x,) for x in v], "token string")
+    for threshold in (0.85, 0.6):
+        want = {(x, y) for x in left for y in right if x != y and similarity.ratio(x, y) >= threshold}
+        assert {tuple(r) for r in similarity.alike_tokens(frame(left), frame(right), threshold).collect()} == want and want
+    pairs = frame(left).withColumnRenamed("token", "a").crossJoin(frame(right).withColumnRenamed("token", "b"))
+    may = similarity.may_reach(F.length("a"), similarity.letter_counts(F.col("a")), F.length("b"), similarity.letter_counts(F.col("b")), 0.85)
+    rows = pairs.select("a", "b", may.alias("may")).collect()
+    assert all(r["may"] for r in rows if similarity.ratio(r["a"], r["b"]) >= 0.85) and sum(r["may"] for r in rows) < len(rows) / 3
+
+
+def test_hot_keys_are_cut(spark, monkeypatch):
+    """A third of all studies share a sponsor and a condition: pairs are those of plain loops, and no cell takes more than its share."""
+    import datetime
+    import random
+
+    from pyspark.sql import functions as F
+
+    from cohortline.operators import linkage
+
+    monkeypatch.setattr(linkage, "SMALL", 8)
+    monkeypatch.setattr(linkage, "SHARES", 64)
+    rng, rows = random.Random(2), []
+    for i in range(900):
+        start = datetime.date(2010, 1, 1) + datetime.timedelta(days=rng.randrange(1500))
+        conditions = ["hot", "also"] if i % 3 == 0 else rng.sample([f"c{j}" for j in range(30)], 2)
+        rows.append((f"N{i}", "big" if i % 3 == 0 else f"s{i % 7}", rng.choice(["PHASE1", "PHASE2", "PHASE3", "PHASE4"]), "; ".join(conditions), str(start), str(start + datetime.timedelta(days=200)), str(start)))
+    t = spark.createDataFrame(rows, "nct_id string, lead_sponsor string, phases string, conditions string, start_date string, primary_completion_date string, first_post_date string").withColumn("completion_date", F.lit(None).cast("string"))
+    day = datetime.date.fromisoformat
+    want = set()
+    for a in rows:
+        for s in rows:
+            both, gap = set(a[3].split("; ")) & set(s[3].split("; ")), (day(s[4]) - day(a[5])).days
+            if a[1] == s[1] and a[2] < s[2] and both and 0 <= gap <= 1095 and s[6] >= a[6]:
+                want.add((a[0], s[0], gap, len(both), 4 - len(both)))
+    got = [tuple(r) for r in linkage.candidates(t, t).collect()]
+    assert len(got) == len(set(got)) and set(got) == want and len(want) > 5000
+    s = linkage._narrow(t, "s", F.col("start_date").cast("date")).withColumnRenamed("s_rank", "rank").withColumn("bucket", F.lit(1))
+    hot = linkage._hot(s, "s").withColumn("a_parts", F.lit(1))
+    cells = [r["count"] for r in linkage.dealt(s, hot, "s", "a").groupBy(*linkage.KEY, "s_part").count().collect()]
+    whole = [r["count"] for r in s.groupBy(*linkage.KEY).count().collect()]
+    assert hot.count() <= 64 and max(whole) > 60 and max(cells) <= 2 * s.count() / 64
+
+
 def test_queries_without_sql(spark):
     ci = {r["metric"]: (r["low"], r["high"]) for r in engine.QUERIES["bootstrap_ci"](spark, DATA).collect()}
     rows = engine.scored(spark, DATA).toPandas().sort_values("score", ascending=False, kind="stable")

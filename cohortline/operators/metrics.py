@@ -1,15 +1,17 @@
 """Exact evaluation metrics as aggregates over distinct scores.
 
-Every curve metric first counts labels by distinct score (map-side combined), then needs running counts over those. Scores are cut into ranges at
-approximate quantiles; running counts are made inside each range, and what lies above a range is a sum over at most `RANGES` totals, so no task holds all
-scores. `digits=` rounds scores first, for those who want fewer of them; nothing is rounded unasked.
+Every curve metric first counts labels by distinct score (map-side combined), then needs running counts over those. Scores are cut into ranges of about `RANGE_ROWS` rows at
+approximate quantiles, so there are more of them the more rows there are; running counts are made inside each range, and what lies above a range comes from the ranges' totals in
+two levels, groups of ranges and ranges of a group. No task holds more than a range or a level. `digits=` rounds scores first, for those who want fewer of them; nothing is rounded unasked.
 """
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Ranges of scores that running counts are made in.
-RANGES = 32
+#: Rows of a range of scores, about; there are at least LEAST_RANGES of them. The cuts (one number a range) are broadcast: eight bytes for RANGE_ROWS rows.
+RANGE_ROWS, LEAST_RANGES = 1_000_000, 32
 
 
 def by_score(df: DataFrame, score: str = "score", y: str = "y", digits: int | None = None) -> DataFrame:
@@ -18,21 +20,48 @@ def by_score(df: DataFrame, score: str = "score", y: str = "y", digits: int | No
     return df.groupBy(s.alias("s")).agg(F.sum(F.col(y).cast("long")).alias("pos"), F.sum(1 - F.col(y).cast("long")).alias("neg"))
 
 
-def curve(df: DataFrame, score: str = "score", y: str = "y", digits: int | None = None, ranges: int = RANGES) -> DataFrame:
-    """(s, pos, neg, tp, fp, p, n): running counts at and above each score, and the totals."""
+def cuts_of(df: DataFrame, score: str = "score", ranges: int | None = None, rows: int | None = None) -> list[float]:
+    """Ascending scores that cut the rows into ranges of about `rows` (or into so many); fewer where scores repeat."""
+    ranges = ranges or max(LEAST_RANGES, -(-df.count() // (rows or RANGE_ROWS)))
+    if ranges < 2:
+        return []
     shares = [i / ranges for i in range(1, ranges)]
-    cuts = sorted(set(df.agg(F.percentile_approx(score, shares, 1000)).first()[0] or [])) if shares else []
-    counts = by_score(df, score, y, digits)
-    part = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c >= F.col("s"))) if cuts else F.lit(0)  # 0: the range of the largest scores
-    counts = counts.withColumn("part", part)
-    above = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # over at most `ranges` rows
-    every = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    totals = counts.groupBy("part").agg(F.sum("pos").alias("rp"), F.sum("neg").alias("rn")).select(
-        "part", F.coalesce(F.sum("rp").over(above), F.lit(0)).alias("tp0"), F.coalesce(F.sum("rn").over(above), F.lit(0)).alias("fp0"),
-        F.sum("rp").over(every).alias("p"), F.sum("rn").over(every).alias("n"))
-    down = Window.partitionBy("part").orderBy(F.desc("s")).rowsBetween(Window.unboundedPreceding, 0)
-    rows = counts.withColumn("tp", F.sum("pos").over(down)).withColumn("fp", F.sum("neg").over(down)).join(F.broadcast(totals), "part")
-    return rows.select("s", "pos", "neg", (F.col("tp") + F.col("tp0")).alias("tp"), (F.col("fp") + F.col("fp0")).alias("fp"), "p", "n")
+    return sorted(set(df.agg(F.percentile_approx(score, shares, max(1000, 10 * ranges))).first()[0] or []))
+
+
+def located(counts: DataFrame, cuts: list[float]) -> DataFrame:
+    """counts with the range of each score as (part, sub), the largest scores first: a group of about sqrt(ranges) neighbouring ranges, and the range in it. A score
+    asks the first cut of each group, then the cuts of one."""
+    width = max(1, math.isqrt(len(cuts)))
+    groups = [cuts[i:i + width] for i in range(0, len(cuts), width)]
+    if not groups:
+        return counts.withColumns({"part": F.lit(0), "sub": F.lit(0)})
+    known = counts.sparkSession.createDataFrame([([g[0] for g in groups], groups)], "firsts array<double>, groups array<array<double>>")
+    s = F.col("s")
+    under = F.size(F.filter("firsts", lambda c: c < s))  # groups that begin below the score; 0: it is below all cuts
+    own = F.when(F.col("under") > 0, F.size(F.filter(F.get("groups", F.col("under") - 1), lambda c: c < s))).otherwise(0)
+    rows = counts.crossJoin(F.broadcast(known)).withColumn("under", under).withColumn("own", own)
+    return rows.withColumns({"part": F.lit(len(groups)) - F.col("under"), "sub": F.lit(width) - F.col("own")}).drop("firsts", "groups", "under", "own")
+
+
+def _totals(counts: DataFrame) -> DataFrame:
+    """(part, sub, rp, rn, tp0, fp0, p, n): labels of each range, of all ranges above it, and of all."""
+    ranges = counts.groupBy("part", "sub").agg(F.sum("pos").alias("rp"), F.sum("neg").alias("rn"))
+    groups = ranges.groupBy("part").agg(F.sum("rp").alias("gp"), F.sum("rn").alias("gn"))  # about sqrt(ranges) rows
+    above, every = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1), Window.orderBy("part").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    groups = groups.select("part", zero(F.sum("gp").over(above)).alias("gp0"), zero(F.sum("gn").over(above)).alias("gn0"), F.sum("gp").over(every).alias("p"), F.sum("gn").over(every).alias("n"))
+    inside = Window.partitionBy("part").orderBy("sub").rowsBetween(Window.unboundedPreceding, -1)  # about sqrt(ranges) rows
+    rows = ranges.select("part", "sub", "rp", "rn", zero(F.sum("rp").over(inside)).alias("sp0"), zero(F.sum("rn").over(inside)).alias("sn0")).join(F.broadcast(groups), "part")
+    return rows.select("part", "sub", "rp", "rn", (F.col("gp0") + F.col("sp0")).alias("tp0"), (F.col("gn0") + F.col("sn0")).alias("fp0"), "p", "n")
+
+
+def curve(df: DataFrame, score: str = "score", y: str = "y", digits: int | None = None, ranges: int | None = None, rows: int | None = None) -> DataFrame:
+    """(s, pos, neg, tp, fp, p, n): running counts at and above each score, and the totals."""
+    counts = located(by_score(df, score, y, digits), cuts_of(df, score, ranges, rows))
+    down = Window.partitionBy("part", "sub").orderBy(F.desc("s")).rowsBetween(Window.unboundedPreceding, 0)
+    found = counts.withColumn("tp", F.sum("pos").over(down)).withColumn("fp", F.sum("neg").over(down)).join(_totals(counts), ["part", "sub"])
+    return found.select("s", "pos", "neg", (F.col("tp") + F.col("tp0")).alias("tp"), (F.col("fp") + F.col("fp0")).alias("fp"), "p", "n")
 
 
 def average_precision(df: DataFrame, **kw) -> DataFrame:
@@ -104,62 +133,74 @@ def ece(df: DataFrame, n_bins: int = 10, score: str = "score", y: str = "y", par
     return cal.join(hist, "i", "left").crossJoin(F.broadcast(total)).agg(F.sum(F.coalesce("m", F.lit(0)) / F.col("total") * gap).alias("ece"))
 
 
-def _average_precision(p, n):
+def _average_precision(p, n, tp0, fp0, p_all, n_all):
+    """What a range gives to the average precision, of draws (p, n) by score from the largest on, below tp0 positives and fp0 negatives."""
     import numpy as np
 
-    tp, fp = p.cumsum(), n.cumsum()
-    return float((p / p.sum() * np.where(tp + fp > 0, tp / np.maximum(tp + fp, 1), 0)).sum())
+    tp, seen = tp0 + p.cumsum(), tp0 + fp0 + (p + n).cumsum()
+    return float((p * tp / np.maximum(seen, 1)).sum() / p_all)
 
 
-def _auroc(p, n):
-    return float((p * (n.sum() - n.cumsum() + n / 2)).sum() / (p.sum() * n.sum()))
+def _auroc(p, n, tp0, fp0, p_all, n_all):
+    return float((p * (n_all - fp0 - n.cumsum() + n / 2)).sum() / (p_all * n_all))
 
 
-def _precision_at_share(p, n, share: float = 0.10):
+def _precision_at_share(p, n, tp0, fp0, p_all, n_all, share: float = 0.10):
     """Precision of the top share of rows; of the score that the border falls into, rows count in proportion."""
     import numpy as np
 
-    k = max(1, int((p.sum() + n.sum()) * share))
-    before = np.concatenate(([0], (p + n).cumsum()[:-1]))
+    k = max(1, int((p_all + n_all) * share))
+    before = tp0 + fp0 + np.concatenate(([0], (p + n).cumsum()[:-1]))
     taken = np.clip(k - before, 0, p + n)
     return float((taken * p / np.maximum(p + n, 1)).sum() / k)
 
 
-#: Metrics with intervals, in the order of their seeds.
+#: Metrics with intervals, in the order of their seeds. Each is a sum over ranges of scores.
 INTERVALS = {"average_precision": _average_precision, "auroc": _auroc, "precision_at_10pct": _precision_at_share}
-#: Distinct scores that a bootstrap takes to the driver and to each task (two numbers each); beyond, digits= has to be given.
-MOST_SCORES = 2_000_000
+#: Distinct scores of a range that a bootstrap's task holds, about, and blocks that replicates are dealt to.
+BOOTSTRAP_ROWS, BLOCKS = 200_000, 8
 
 
-def bootstrap(df: DataFrame, iters: int = 1000, seed: int = 12345, key: str = "nct_id", digits: int | None = None, level: float = 0.95, score: str = "score", y: str = "y") -> DataFrame:
+def bootstrap(df: DataFrame, iters: int = 1000, seed: int = 12345, key: str = "nct_id", digits: int | None = None, level: float = 0.95, score: str = "score", y: str = "y", ranges: int | None = None) -> DataFrame:
     """(metric, low, high): stratified bootstrap of average precision, AUROC and precision of the top tenth, the i-th metric with seed + i.
 
-    Labels are counted by score first, and replicates resample those counts (multinomially, per class, as resampling rows would), so a
-    replicate costs as many numbers as there are scores; replicates are spread over tasks. Over MOST_SCORES distinct scores, ask for `digits`."""
+    Labels are counted by score first, and replicates resample those counts (multinomially, per class, as resampling rows would) in two steps: a class's rows are drawn over the
+    ranges of scores, and a range's share over its scores. The first step has one number a range and comes from a seed of its own, so that every task makes the same draw and knows what
+    lies above its range; a task holds the scores of one range, and each metric is a sum over ranges. So there is no limit on the number of scores."""
     import numpy as np
     import pandas as pd
 
     spark = df.sparkSession
-    counts = by_score(df, score, y, digits)
-    rows = counts.limit(MOST_SCORES + 1).toPandas().sort_values("s", ascending=False)
-    if len(rows) > MOST_SCORES:
-        raise ValueError(f"more than {MOST_SCORES} distinct scores: round them with digits=")
-    pos, neg = rows["pos"].to_numpy(float), rows["neg"].to_numpy(float)
-
-    def run(batches):
-        for pdf in batches:
-            out = []
-            for b in pdf["id"]:
-                one = []
-                for j, f in enumerate(INTERVALS.values()):
-                    rng = np.random.default_rng([seed + j, int(b)])
-                    one.append(f(*(rng.multinomial(int(c.sum()), c / c.sum()) for c in (pos, neg))))
-                out.append(one)
-            yield pd.DataFrame(out, columns=list(INTERVALS))
-
-    if pos.sum() < 2 or neg.sum() < 2:
+    cuts = cuts_of(df, score, max(1, -(-df.count() // BOOTSTRAP_ROWS)) if ranges is None else ranges)
+    counts = located(by_score(df, score, y, digits), cuts)
+    totals = sorted((r["part"], r["sub"], r["rp"], r["rn"]) for r in _totals(counts).select("part", "sub", "rp", "rn").collect())  # one row a range
+    order = {(part, sub): i for i, (part, sub, _, _) in enumerate(totals)}
+    rp, rn = (np.array([t[i] for t in totals], float) for i in (2, 3))
+    if rp.sum() < 2 or rn.sum() < 2:
         return spark.createDataFrame([(m, None, None) for m in INTERVALS], "metric string, low double, high double")
-    reps = spark.range(iters, numPartitions=8).mapInPandas(run, ", ".join(f"{m} double" for m in INTERVALS))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        i, block = order[int(pdf["part"].iloc[0]), int(pdf["sub"].iloc[0])], int(pdf["block"].iloc[0])
+        rows = pdf.sort_values("s", ascending=False)
+        own = [rows[c].to_numpy(float) for c in ("pos", "neg")]
+        out = []
+        for b in range(block, iters, BLOCKS):
+            one = [b]
+            for j, f in enumerate(INTERVALS.values()):
+                rng = np.random.default_rng([seed + j, b])
+                above, drawn = [], []
+                for c, (every, counts_) in enumerate(zip((rp, rn), own)):
+                    shares = rng.multinomial(int(every.sum()), every / every.sum())
+                    above.append(int(shares[:i].sum()))
+                    inner = np.random.default_rng([seed + j, b, i, c])
+                    drawn.append(inner.multinomial(int(shares[i]), counts_ / counts_.sum()) if shares[i] else np.zeros(len(counts_), int))
+                one.append(f(*drawn, *above, int(rp.sum()), int(rn.sum())))
+            out.append(one)
+        return pd.DataFrame(out, columns=["b", *INTERVALS])
+
+    dealt = counts.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(BLOCKS - 1))))
+    parts = dealt.groupBy("part", "sub", "block").applyInPandas(run, "b long, " + ", ".join(f"{m} double" for m in INTERVALS))
+    reps = parts.groupBy("b").agg(*[F.sum(m).alias(m) for m in INTERVALS])
     tail = (1 - level) / 2
     pairs = F.array(*[F.struct(F.lit(m).alias("metric"), F.percentile(m, F.lit(tail)).alias("low"), F.percentile(m, F.lit(1 - tail)).alias("high")) for m in INTERVALS])
     return reps.agg(pairs.alias("ps")).select(F.explode("ps").alias("p")).select("p.*")

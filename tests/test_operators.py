@@ -371,3 +371,51 @@ print(storage.staged(s, ("x",), lambda: s.range(5)).count(), len(os.listdir("{tm
         while list(tmp_path.glob("cohortline-stages/*")) and time.time() < until:
             time.sleep(0.2)  # the JVM ends a moment after Python
         assert not list(tmp_path.glob("cohortline-stages/*"))
+
+
+def _scores(spark, n, distinct, seed=0):
+    rng = np.random.default_rng(seed)
+    s = rng.integers(0, distinct, n) / distinct
+    y = (rng.random(n) < 0.2 + 0.6 * s).astype(int)
+    return spark.createDataFrame([(f"k{i}", float(a), int(b)) for i, (a, b) in enumerate(zip(s, y))], "nct_id string, score double, y int"), s, y
+
+
+def test_curves_in_any_number_of_ranges(spark):
+    """Ranges follow the rows and don't change a result; none holds more than its share of rows where scores differ."""
+    df, s, y = _scores(spark, 3000, 900)
+    v = np.sort(np.unique(s))[::-1]
+    want = [(float(x), int(y[s >= x].sum()), int((1 - y)[s >= x].sum())) for x in v]
+    for how in ({"ranges": 1}, {"ranges": 2}, {}, {"rows": 20}, {"ranges": 700}):
+        got = sorted(((r["s"], r["tp"], r["fp"]) for r in metrics.curve(df, **how).collect()), reverse=True)
+        assert got == want, how
+    assert metrics.curve(df.limit(0)).count() == 0
+    one = spark.createDataFrame([("a", 0.5, 1)] * 50 + [("b", 0.5, 0)] * 10, "nct_id string, score double, y int")
+    assert [tuple(r) for r in metrics.curve(one).collect()] == [(0.5, 50, 10, 50, 10, 50, 10)]
+    cuts = metrics.cuts_of(df, rows=20)
+    sizes = [r["n"] for r in metrics.located(metrics.by_score(df), cuts).groupBy("part", "sub").agg(F.sum(F.col("pos") + F.col("neg")).alias("n")).collect()]
+    assert len(cuts) > 120 and max(sizes) <= 60
+
+
+def test_bootstrap_over_ranges(spark):
+    """Draws in two steps have the spread of draws in one, and of whole rows drawn; every replicate draws as many rows as there are."""
+    df, s, y = _scores(spark, 1500, 100_000, 3)
+    got = {k: {r["metric"]: (r["low"], r["high"]) for r in metrics.bootstrap(df, 400, ranges=k).collect()} for k in (1, 40)}
+    rng, est = np.random.default_rng(1), {m: [] for m in metrics.INTERVALS}
+    for _ in range(400):
+        i = np.concatenate([rng.choice(np.flatnonzero(y == c), (y == c).sum()) for c in (1, 0)])
+        v, n = np.unique(-s[i], return_inverse=True)
+        p, q = np.bincount(n, y[i]), np.bincount(n, 1 - y[i])
+        for m, f in metrics.INTERVALS.items():
+            est[m].append(f(p, q, 0, 0, p.sum(), q.sum()))
+    for m, e in est.items():
+        low, high = np.percentile(e, [2.5, 97.5])
+        for k in got:
+            assert abs(got[k][m][0] - low) <= 0.25 * (high - low) and abs(got[k][m][1] - high) <= 0.25 * (high - low), (m, k)
+    # a metric is a sum over ranges
+    v, n = np.unique(-s, return_inverse=True)
+    p, q = np.bincount(n, y), np.bincount(n, 1 - y)
+    for f in metrics.INTERVALS.values():
+        parts = [f(p[i:i + 211], q[i:i + 211], p[:i].sum(), q[:i].sum(), p.sum(), q.sum()) for i in range(0, len(p), 211)]
+        assert abs(sum(parts) - f(p, q, 0, 0, p.sum(), q.sum())) < 1e-9
+    assert metrics.bootstrap(df, 3, ranges=40).collect() == metrics.bootstrap(df, 3, ranges=40).collect()
+    assert all(r["low"] is None for r in metrics.bootstrap(df.where("y = 1")).collect())

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortline.functions.scalars import column_date, norm_phase, norm_status, number, tokens
+from cohortline.operators import selection
 
 
 @dataclass
@@ -129,7 +130,8 @@ def token_frequency(df: DataFrame, column: str, top: int | None = None) -> DataF
 
 def enrollment_summary(df: DataFrame) -> DataFrame:
     e = number(F.col("enrollment"))
-    return df.agg(F.count(F.lit(1)).alias("n"), F.bround(F.avg(e), 1).alias("mean"), F.bround(F.median(e), 1).alias("median"), F.min(e).alias("least"), F.max(e).alias("most"))
+    middle = selection.medians(df, {"m": e})["m"]
+    return df.agg(F.count(F.lit(1)).alias("n"), F.bround(F.avg(e), 1).alias("mean"), F.bround(F.lit(middle).cast("double"), 1).alias("median"), F.min(e).alias("least"), F.max(e).alias("most"))
 
 
 def date_range(df: DataFrame, column: str = "start_date", first: str | None = "2000-01-01") -> DataFrame:

@@ -419,3 +419,37 @@ def test_bootstrap_over_ranges(spark):
         assert abs(sum(parts) - f(p, q, 0, 0, p.sum(), q.sum())) < 1e-9
     assert metrics.bootstrap(df, 3, ranges=40).collect() == metrics.bootstrap(df, 3, ranges=40).collect()
     assert all(r["low"] is None for r in metrics.bootstrap(df.where("y = 1")).collect())
+
+
+def test_exact_medians(spark):
+    from cohortline.operators import selection
+
+    rng = np.random.default_rng(2)
+    for values in (rng.normal(size=4001), rng.exponential(size=4000) ** 5, np.concatenate([np.zeros(3000), rng.normal(size=2500)]), np.concatenate([np.full(2000, 7.0), rng.normal(size=2000) + 7]), np.array([1.0, 2, 3, 10])):
+        df = spark.createDataFrame([(float(v), None if i % 5 == 0 else float(v), 1) for i, v in enumerate(values)], "a double, b double, c int")
+        got = selection.medians(df, {"a": F.col("a"), "b": F.col("b"), "c": F.col("c"), "none": F.lit(None)}, most=40)
+        assert got == {"a": float(np.median(values)), "b": float(np.median(np.delete(values, np.arange(0, len(values), 5)))), "c": 1.0, "none": None}
+    assert selection.medians(df.limit(0), {"a": F.col("a")}) == {"a": None}
+
+
+def test_a_million_categories(spark):
+    """A column of a million values and one of three as a table of places and sparse vectors, in the order that columns would have."""
+    n = 1_000_000
+    df = spark.range(n).select(F.col("id").cast("string").alias("nct_id"), F.concat(F.lit("site "), F.pmod(F.col("id") * 7919, F.lit(n))).alias("site"), F.when(F.col("id") % 3 > 0, F.col("id") % 3 == 1).alias("sex"))
+    with pytest.raises(ValueError, match="category_index"):
+        features.categories(df, ["site", "sex"])
+    index = features.category_index(df, ["site", "sex"])
+    assert index.count() == n + 3 and index.agg(F.max("i"), F.count_distinct("i")).first()[:] == (n + 2, n + 3)
+    low = {(r["feature"], r["value"]): r["i"] for r in index.where("i < 4 or i > 1000001").collect()}
+    sites = sorted(f"site {i}" for i in range(n))
+    assert low == {("sex", "False"): 0, ("sex", "MISSING"): 1, ("sex", "True"): 2, ("site", sites[0]): 3, ("site", sites[-1]): n + 2}
+    some = df.where("id % 100000 = 17").unionByName(spark.createDataFrame([("new", "nowhere", None)], df.schema))
+    got = {r["nct_id"]: r["at"] for r in features.sparse_one_hot(some, ["site", "sex"], index).collect()}
+    place = {s: i + 3 for i, s in enumerate(sites)}
+    assert got.pop("new") == [1] and got == {str(i): [{0: 1, 1: 2, 2: 0}[i % 3], place[f"site {i * 7919 % n}"]] for i in range(17, n, 100_000)}
+    small = features.category_index(some, ["sex"])
+    assert sorted(r["at"][0] for r in features.sparse_one_hot(some, ["sex"], small).collect()) == sorted(small.where("feature = 'sex'").join(features._by_value(some, ["sex"], "nct_id"), ["feature", "value"]).toPandas()["i"])
+    vectors = text.sparse_vectors(spark.createDataFrame([("a", [1, 4], [0.5, 2.0]), ("b", [], [])], "k string, at array<int>, w array<double>"), 6, "k", "at", "w")
+    from pyspark.ml.linalg import Vectors
+
+    assert {r["k"]: r["features"] for r in vectors.collect()} == {"a": Vectors.sparse(6, [1, 4], [0.5, 2.0]), "b": Vectors.sparse(6, [], [])}

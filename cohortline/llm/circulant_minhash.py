@@ -21,7 +21,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortline.llm.common import fresh, pieces, slim, written
@@ -100,6 +100,15 @@ def signed(docs: DataFrame, text_col: str, words: int, bands: int, rows: int) ->
     return slimmed.mapInArrow(sign, "doc_id long, id long, th long, key binary, size long, bands binary")
 
 
+def named_by(id_col: str, digest: str) -> Column:
+    """The id, as eight bytes that sort as it does, and the digest."""
+    return F.concat(F.unhex(F.lpad(F.hex(F.col(id_col).bitwiseXOR(F.lit(LOWEST))), 16, "0")), digest)
+
+
+def id_of(name: str) -> Column:
+    return (F.conv(F.hex(F.substring(name, 1, 8)), 16, 10).cast("decimal(20,0)") - F.lit(str(2**63)).cast("decimal(20,0)")).cast("long")
+
+
 def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     both = len(np.intersect1d(a, b, assume_unique=True))
     return 100 * both >= percent * (len(a) + len(b) - both)
@@ -243,12 +252,11 @@ def links(docs: DataFrame, classes: DataFrame, text_col: str, words: int, percen
 def near_dedup(docs: DataFrame, text_col: str = "text", words: int = WORDS, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS, block: int = BLOCK, keyed: bool = False) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (the smallest doc_id of its component), kept (whether it is that document)."""
     every = written(signed(docs, text_col, words, bands, rows))
-    classes = written(every.where("size > 0").groupBy("key").agg(F.min(F.struct("id", "th", "size", "bands")).alias("best"), F.count(F.lit(1)).alias("copies"))
-                      .select("key", "best.*", "copies"))
+    # a class is named by its smallest doc_id and its digest, so the smallest name of a component holds the component's smallest doc_id: nothing is grouped by component
+    classes = written(every.where("size > 0").groupBy(F.col("key").alias("digest")).agg(F.min(F.struct("id", "th", "size", "bands")).alias("best"), F.count(F.lit(1)).alias("copies"))
+                      .select(named_by("best.id", "digest").alias("key"), "digest", "best.*", "copies"))
     parts = components(links(docs, classes, text_col, words, percent, bands, rows, block)).withColumnRenamed("u", "key")
-    named = classes.select("key", "id").join(parts, "key", "left").withColumn("root", F.coalesce("root", "key"))
-    least = named.groupBy("root").agg(F.min("id").alias("least"))
-    named = named.join(least, "root").select("key", "least")
+    named = classes.select("key", "digest", "id").join(parts, "key", "left").select(F.col("digest").alias("key"), F.coalesce(id_of("root"), "id").alias("least"))
     out = every.select("doc_id", "id", "th", "key", "size").join(named, "key", "left").withColumn("least", F.coalesce("least", "id"))
     component = F.nullif(F.col("least"), F.lit(LOWEST))
     return out.select("doc_id", F.col("size").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), *["th"] * keyed)

@@ -1,15 +1,13 @@
 """N-gram Jaccard join by a MinHash LSH forest: sorted prefix tries of signatures, then exact verification.
 
 1. A text becomes the set of its five-word shingles; texts with one set are one class, and the class is what is joined.
-2. Each of `trees` tries holds a label of `depth` MinHash values for every class. Of a trie only the parts matter where labels share a prefix of at
-   least `shallowest` values: the prefix at which the forest's recall at the threshold reaches the target whatever the data are. They are kept sorted by label.
-3. The classes of a node at that prefix meet, by their labels alone. A pair belongs to the first tree in which it meets. A node's classes are sorted into
-   blocks of at most `block`, and pairs of blocks go to tasks, so a node with a third of all rows is spread like any other. Of each pair the
-   longest prefix it shares in any tree is known, and from the values in which labels agree about how alike it is; both are counted, not kept.
-4. Matched prefixes are shortened from whole labels on, level by level, until those that share as much hold the target share of all pairs that may be links
-   (by their labels, with a margin; one pair more, at the threshold itself, is always assumed missing). A corpus of close copies needs long
-   prefixes only, one with links near the threshold short ones; `shallowest` is where shortening ends in any case.
-5. Each task verifies the pairs that share such a prefix exactly and returns, per class, how many links it found and a spanning forest of them: rows in
+2. Each of `trees` tries holds a label of `depth` MinHash values for every class; the parts where labels share a prefix are kept sorted by label.
+3. Matched prefixes are shortened from whole labels on until the target recall: down to `shallowest`, the longest prefix at which the forest finds even a pair at the threshold
+   with that probability. How far that is depends on the threshold, the trees and the target, not on what other pairs the data hold: a large group of close copies,
+   which long prefixes find, says nothing about a link elsewhere that only a short one finds.
+4. The classes of a node at that prefix meet, by their labels alone. A pair belongs to the first tree in which it meets. A node's classes are sorted into
+   blocks of at most `block`, and pairs of blocks go to tasks, so a node with a third of all rows is spread like any other.
+5. Each task verifies every pair that has met exactly, on the whole sets, and returns, per class, how many links it found and a spanning forest of them: rows in
    proportion to the classes, never pairs.
 6. Links are summed, and the forests joined to components by large-star / small-star rounds, whose hubs are dealt over salts.
 
@@ -31,8 +29,6 @@ from cohortline.llm.common import fresh, pieces, slim, written
 
 WORDS, THRESHOLD = 5, 0.8
 TREES, DEPTH, RECALL, BLOCK = 24, 8, 0.99999, 512
-#: A pair whose labels agree in this much less than the threshold may still be a link: two standard errors of 192 values.
-MARGIN = 0.06
 #: Tasks that a hub's edges are dealt over.
 SALTS = 16
 _WORD = re.compile(r"\w+")
@@ -93,16 +89,6 @@ def shallowest(threshold: float = THRESHOLD, trees: int = TREES, depth: int = DE
     return depth
 
 
-def level_for(counts: dict[int, int], threshold: float = THRESHOLD, trees: int = TREES, depth: int = DEPTH, recall: float = RECALL) -> int:
-    """How far matched prefixes are shortened, by counts of the pairs that may be links by the longest prefix they share."""
-    least, every, held = shallowest(threshold, trees, depth, recall), 1 + sum(counts.values()), 0
-    for level in range(depth, least, -1):
-        held += counts.get(level, 0)
-        if (held + found_at(threshold, level, trees)) / every >= recall:
-            return level
-    return least
-
-
 _rng = np.random.default_rng(20)
 _A = (_rng.integers(0, 2**32, 4096, dtype=np.uint32) | np.uint32(1)), _rng.integers(0, 2**32, 4096, dtype=np.uint32)
 
@@ -199,17 +185,6 @@ def wanted(unit: dict[str, list], labels: np.ndarray, level: int, threshold: flo
     return pairs & first_met(labels, unit["tree"][0], level) if pairs.any() else pairs
 
 
-def agreement(labels: np.ndarray, r: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For pairs of rows: the longest prefix shared in any tree, and the share of equal values."""
-    prefix, share = np.empty(len(r), int), np.empty(len(r))
-    small = labels.astype(np.uint16)
-    for i in range(0, len(r), 4096):
-        same = small[r[i:i + 4096]] == small[c[i:i + 4096]]
-        prefix[i:i + 4096] = np.logical_and.accumulate(same, axis=2).sum(2).max(1)
-        share[i:i + 4096] = same.mean((1, 2))
-    return prefix, share
-
-
 def intersections(sets: list[np.ndarray], pairs: np.ndarray) -> np.ndarray:
     """Sizes of the intersections of the wanted pairs (others stay 0)."""
     m = len(sets)
@@ -231,13 +206,10 @@ def intersections(sets: list[np.ndarray], pairs: np.ndarray) -> np.ndarray:
     return out
 
 
-def verify(unit: dict[str, list], trees: int, least: int, level: int, threshold: float, words: int) -> tuple[list[int], list[int], list[int]]:
-    """For each class of the unit: linked classes, linked documents, and the first class of its part of the spanning forest, by pairs that share `level` values."""
+def verify(unit: dict[str, list], trees: int, least: int, threshold: float, words: int) -> tuple[list[int], list[int], list[int]]:
+    """For each class of the unit: linked classes, linked documents, and the first class of its part of the spanning forest."""
     labels = label_array(unit, trees)
     pairs = wanted(unit, labels, least, threshold)
-    r, c = np.nonzero(pairs)
-    short = agreement(labels, r, c)[0] < level
-    pairs[r[short], c[short]] = False
     m = len(pairs)
     root = list(range(m))
 
@@ -313,30 +285,22 @@ def join(docs: DataFrame, text_col: str = "text", threshold: float = THRESHOLD,
     tries = light.repartition("unit").sortWithinPartitions("unit", F.expr(f"substring(labels, tree * {2 * depth} + 1, {2 * depth})"))
 
     def meet(batches):
-        """Units with a pair that meets for the first time, only with the classes of such pairs; and counts of pairs by the prefix they share, without a key."""
-        names, out, counts = ["unit", "tree", "side", "key", "counts"], [], np.zeros(depth + 1, int)
-        kinds = [pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.list_(pa.int64())]
+        """Units with a pair that meets for the first time, only with the classes of such pairs."""
+        names, out = ["unit", "tree", "side", "key"], []
+        kinds = [pa.int64(), pa.int32(), pa.int32(), pa.binary()]
         for u in _runs(batches, ["unit", "tree", "side", "key", "size", "labels"], "unit"):
             if len(u["key"]) > 1:
-                labels = label_array(u, trees)
-                pairs = wanted(u, labels, least, threshold)
-                shares, alike = agreement(labels, *np.nonzero(pairs))
-                np.add.at(counts, shares[alike >= threshold - MARGIN], 1)
+                pairs = wanted(u, label_array(u, trees), least, threshold)
                 for i in np.flatnonzero(pairs.any(0) | pairs.any(1)):
-                    out.append((u["unit"][i], u["tree"][i], u["side"][i], u["key"][i], None))
+                    out.append((u["unit"][i], u["tree"][i], u["side"][i], u["key"][i]))
             if len(out) > 4096:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names)
                 out = []
-        if counts.any():
-            out.append((0, 0, 0, None, counts.tolist()))
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names)
 
-    met = written(tries.mapInArrow(meet, "unit long, tree int, side int, key binary, counts array<long>"))
-    totals = met.where("counts is not null").select(F.posexplode("counts").alias("prefix", "n")).groupBy("prefix").agg(F.sum("n")).collect()  # depth + 1 rows at most
-    level = level_for({r[0]: r[1] for r in totals}, threshold, trees, depth, recall)
+    met = written(tries.mapInArrow(meet, "unit long, tree int, side int, key binary"))
     # the texts that verification needs; rows that repeat a class's text give it once
-    met = met.where("key is not null").drop("counts")
     need = met.select("key").distinct().join(classes, "key")
     texts = slim(docs, text_col).select(F.coalesce("doc_id", F.lit(LOWEST)).alias("rep"), F.xxhash64("text").alias("th"), "text")
     heavy = met.join(texts.join(need, ["rep", "th"]).dropDuplicates(["key"]), "key")
@@ -345,7 +309,7 @@ def join(docs: DataFrame, text_col: str = "text", threshold: float = THRESHOLD,
         out = []
         names, kinds = ["key", "links", "docs", "root"], [pa.binary(), pa.int64(), pa.int64(), pa.binary()]
         for u in _runs(batches, ["unit", "tree", "side", "key", "size", "labels", "copies", "text"], "unit"):
-            links, n, root = verify(u, trees, least, level, threshold, words)
+            links, n, root = verify(u, trees, least, threshold, words)
             out += [(k, a, b, u["key"][r]) for k, a, b, r in zip(u["key"], links, n, root) if a]
             if len(out) > 4096:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names)

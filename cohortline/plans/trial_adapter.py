@@ -47,7 +47,7 @@ COLUMNS = {
     "brief_title": "CASE WHEN k % 5 < 2 THEN concat('Efficacy of compound ', cast(k % 100 AS {s})) ELSE {pick:TITLES} END",
     "primary_purpose": "CASE WHEN k % 7 = 0 THEN 'PREVENTION' WHEN k % 7 = 1 THEN '' WHEN k % 7 = 2 THEN NULL ELSE 'TREATMENT' END",
     "conditions": "conditions",
-    "intervention_names": "names",
+    "intervention_names": "CASE WHEN k % 35 = 3 THEN NULL WHEN k % 7 = 3 THEN concat('compound ', cast(cast(floor(k / 100.0) AS bigint) AS {s})) ELSE names END",
     "enrollment": "CASE WHEN k % 13 = 0 THEN NULL ELSE k % 500 END",
     "has_results": "k % 3 = 0",
     "start_date": "CASE WHEN k % 53 = 0 THEN NULL WHEN k % 37 = 0 THEN substr({d:o_orderdate}, 1, 7) ELSE {d:o_orderdate} END",

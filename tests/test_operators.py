@@ -453,3 +453,14 @@ def test_a_million_categories(spark):
     from pyspark.ml.linalg import Vectors
 
     assert {r["k"]: r["features"] for r in vectors.collect()} == {"a": Vectors.sparse(6, [1, 4], [0.5, 2.0]), "b": Vectors.sparse(6, [], [])}
+
+
+def test_text_columns_are_profiled_in_one_pass(spark):
+    rows = [(str(i), None if i % 10 == 0 else f"v{i % 7}", None, i % 2 == 0, float(i)) for i in range(60)]
+    df = spark.createDataFrame(rows, "nct_id string, `a.b` string, none string, flag boolean, x double")
+    got = features.distributions(df)["stats"]
+    seen = [r[1] for r in rows if r[1]]
+    want = sorted(set(seen), key=lambda v: (-seen.count(v), v))[:5]
+    assert got["a.b"]["unique"] == 7 and list(got["a.b"]["top_values"].items()) == [(v, seen.count(v)) for v in want]
+    assert got["none"] == {"unique": 0, "top_values": {}} and got["flag"] == {"unique": 2, "top_values": {"false": 30, "true": 30}} and list(got) == ["a.b", "none", "flag", "x"]
+    assert "WindowGroupLimit" in features.value_counts(df, ["a.b", "flag"])._jdf.queryExecution().toString()

@@ -28,7 +28,7 @@ def parser() -> argparse.ArgumentParser:
 
     out = ("--output", {"required": True})
     studies = ("--studies", {"required": True, "help": "Parquet of flat studies"})
-    stage("ingest", out, ("--tag", {"default": "pull"}), ("--statuses", {"default": "COMPLETED,TERMINATED,WITHDRAWN"}), ("--phases", {"default": "PHASE1,PHASE2,PHASE3"}), ("--max-studies", {"type": int}), ("--page-size", {"type": int, "default": rest.MOST_A_PAGE}), ("--delay", {"type": float, "default": 1.2}), ("--client", {"default": "cohortline.sources.rest:urlopen_json"}))
+    stage("ingest", out, ("--tag", {"default": "pull"}), ("--statuses", {"default": "COMPLETED,TERMINATED,WITHDRAWN"}), ("--phases", {"default": "PHASE1,PHASE2,PHASE3"}), ("--max-studies", {"type": int}), ("--page-size", {"type": int, "default": rest.MOST_A_PAGE}), ("--delay", {"type": float, "default": 1.2}), ("--client", {"default": "cohortline.sources.rest:urlopen_json"}), ("--slices", {"default": ""}), ("--pages", {"help": "a shared folder that keeps this pull's pages"}))
     stage("flatten", ("--raw", {"required": True}), out, ("--output-format", {"choices": ["parquet", "csv"], "default": "parquet"}))
     stage("cohort", studies, out, ("--config", {"help": "YAML; the standard cohort by default"}), ("--tag", {"default": "cohort"}))
     stage("labels", studies, ("--cohort", {"required": True}), out, ("--reference", {"required": True, "help": "YYYY-MM-DD"}), ("--min-followup", {"type": int, "default": 36}))
@@ -63,7 +63,7 @@ def run(spark: SparkSession, a: argparse.Namespace) -> None:
     read = lambda path: storage.load(spark, storage.latest(spark, path) if "*" in path else path)
     if a.stage == "ingest":
         spark.dataSource.register(rest.RegistryApi)
-        options = {"statuses": a.statuses, "phases": a.phases, "pagesize": str(a.page_size), "delay": str(a.delay), "client": a.client} | ({"maxstudies": str(a.max_studies)} if a.max_studies else {})
+        options = {"statuses": a.statuses, "phases": a.phases, "pagesize": str(a.page_size), "delay": str(a.delay), "client": a.client, "slices": a.slices} | ({"pages": a.pages} if a.pages else {}) | ({"maxstudies": str(a.max_studies)} if a.max_studies else {})
         log.info("wrote %s", storage.save_raw(spark, spark.read.format("registry_api").options(**options).load(), a.output, a.tag))
     elif a.stage == "flatten":
         log.info("wrote %s", storage.save(registry_json.flatten(registry_json.read_raw(spark, a.raw)), a.output, a.output_format))

@@ -1,5 +1,6 @@
 import contextlib
 import json
+import re
 
 import numpy as np
 import pytest
@@ -208,6 +209,77 @@ def test_rest():
         rest.parameters(["NOPE"])
 
 
+REGISTRY_ROWS = [{"id": i, "status": rest.STATUSES[i % 3], "phases": [["PHASE1"], ["PHASE1", "PHASE2"], ["PHASE2"], ["PHASE3"], ["PHASE2", "PHASE3"], []][i % 6]} for i in range(90)]
+ASKED = []
+
+
+def holds(row, params) -> bool:
+    """What the server makes of the filters that this engine sends."""
+    wanted = params.get("filter.overallStatus")
+    expr = re.sub(r"AREA\[Phase\](\w+)", lambda m: str(m[1] in row["phases"]), params.get("filter.advanced", "True"))
+    return (not wanted or row["status"] in wanted.split("|")) and eval(expr.replace("NOT", "not").replace("OR", "or").replace("AND", "and"))  # noqa: S307
+
+
+def served(url, params, timeout):
+    found, at, size = [r for r in REGISTRY_ROWS if holds(r, params)], int(params.get("pageToken", 0)), int(params["pageSize"])
+    ASKED.append(params)
+    return {"studies": found[at:at + size], **({"nextPageToken": str(at + size)} if at + size < len(found) else {})}
+
+
+def unsteady(url, params, timeout):
+    """Fails on every fifth request."""
+    if len(ASKED) % 5 == 4:
+        ASKED.append(None)
+        raise TimeoutError
+    return served(url, params, timeout)
+
+
+@pytest.mark.parametrize("slices,n", [("", 1), ("status", 3), ("phase", 3), ("status,phase", 9)])
+def test_rest_slices_are_disjoint_and_whole(slices, n):
+    o = {"statuses": ",".join(rest.STATUSES[:3]), "phases": "PHASE3,PHASE1,PHASE2,PHASE1" if n == 3 else "PHASE1,PHASE2,PHASE3", "slices": slices, "pagesize": "7", "delay": "0", "client": f"{__name__}:served"}
+    reader = rest._Reader(o)
+    got = [json.loads(r[0])["id"] for p in reader.partitions() for r in reader.read(p)]
+    assert len(reader.partitions()) == n and sorted(got) == [r["id"] for r in REGISTRY_ROWS if r["phases"]]
+    for bad in ({"slices": "sex"}, {"slices": "phase", "phases": ""}, {"slices": "status", "maxstudies": "3"}):
+        with pytest.raises(ValueError):
+            rest._Reader(o | bad).partitions()
+    assert rest.chains([], ["PHASE1", "PHASE2"], "A OR B", ["phase"]) == [([], ["PHASE1"], "A OR B"), ([], ["PHASE2"], "(A OR B) AND NOT (AREA[Phase]PHASE1)")]
+
+
+@pytest.mark.parametrize("uri", [False, True])
+def test_rest_goes_on_after_a_failure(tmp_path, uri):
+    """A failed chain, run again, asks only for what is not kept; no row is lost or doubled, and a whole chain asks for nothing."""
+    folder = f"file://{tmp_path}" if uri else str(tmp_path)
+    reader = rest._Reader({"statuses": ",".join(rest.STATUSES[:3]), "slices": "status", "pagesize": "4", "delay": "0", "pages": folder, "client": f"{__name__}:unsteady"})
+    ASKED.clear()
+    got, failures = [], 0
+    for p in reader.partitions():
+        while True:
+            try:
+                rows = [json.loads(r[0])["id"] for r in reader.read(p)]  # what a failed attempt gave is dropped, as Spark does
+                break
+            except TimeoutError:
+                failures += 1
+        got += rows
+    answered = [json.dumps(a, sort_keys=True) for a in ASKED if a]
+    assert failures >= 4 and sorted(got) == list(range(90)) and len(answered) == len(set(answered)) == 24
+    assert sorted(json.loads(r[0])["id"] for p in reader.partitions() for r in reader.read(p)) == list(range(90)) and len([a for a in ASKED if a]) == 24
+    assert len(list(rest.pull(served, {"pageSize": "4"}, most=6, sleep=lambda s: None, folder=folder))) == 6
+    assert len(list(rest.pull(served, {"pageSize": "4"}, most=9, sleep=lambda s: None, folder=folder))) == 9  # goes on behind the six
+    assert not list(tmp_path.rglob("*.part"))
+
+
+def test_rest_by_spark(spark, tmp_path):
+    """Tasks of Spark, one a chain, on a client that workers import."""
+    (tmp_path / "steady_client.py").write_text("def get(url, params, timeout):\n    at = int(params.get('pageToken', 0))\n    return {'studies': [{'id': params['filter.overallStatus'] + str(at)}], **({'nextPageToken': str(at + 1)} if at < 4 else {})}\n")
+    spark.sparkContext.addPyFile(str(tmp_path / "steady_client.py"))
+    spark.dataSource.register(rest.RegistryApi)
+    df = spark.read.format("registry_api").option("statuses", "COMPLETED,TERMINATED").option("slices", "status").option("delay", "0").option("pages", str(tmp_path / "kept")).option("client", "steady_client:get").load()
+    for _ in range(2):
+        assert df.rdd.getNumPartitions() == 2 and sorted(json.loads(r[0])["id"] for r in df.collect()) == sorted(s + str(i) for s in ("COMPLETED", "TERMINATED") for i in range(5))
+    assert len(list((tmp_path / "kept").rglob("*.json"))) == 10
+
+
 def test_storage(spark, tmp_path):
     df = spark.createDataFrame([(1, 'a "b", c')], "i int, s string")
     p = storage.save(df, str(tmp_path / "x.csv"), "parquet")

@@ -567,6 +567,60 @@ def flattened_records(spark, sf_dir):
     return registry_json.flatten(raw).select("nct_id", "ordinal", "brief_title", "overall_status", "start_date", "phases", "has_results", "n_arms", "countries")
 
 
+def nested_records(spark, sf_dir) -> DataFrame:
+    """(file, ordinal, study): an order as a nested record with every path of the scan. Its lines are arms, interventions, outcomes and places; by rules of the keys
+    every path is missing at times, as a value, a module or an element, and lists are missing, empty or hold nulls. Ids repeat over files and inside one."""
+    from cohortline.sources import registry_json
+
+    o, k = table(spark, sf_dir, "orders"), F.col("o_orderkey")
+    line = (table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
+            .groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_returnflag", "l_shipdate", "p_name", "p_type"))).alias("lines")))
+    who = table(spark, sf_dir, "customer").join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    rows = o.join(line, k == F.col("l_orderkey"), "left").join(who, F.col("o_custkey") == F.col("c_custkey"), "left").withColumn("lines", F.coalesce("lines", F.array()))
+    unless = lambda n, c: F.when(k % n != 0, c)  # noqa: E731  (missing on every n-th key)
+    day = lambda months, n: unless(n, F.date_format(F.add_months("o_orderdate", months), "yyyy-MM-dd"))
+    date = lambda months, n, kind: F.struct(day(months, n).alias("date"), unless(n + 2, F.lit(kind)).alias("type"))
+    every = lambda f: F.transform("lines", f)
+    gap = lambda x, n, c: F.when(x["l_partkey"] % n != 0, c)  # noqa: E731  (an element's value is missing)
+    numbers = F.array(F.lit("P1"), F.lit("P2"), F.lit("P3"))
+    study = F.struct(
+        F.struct(
+            F.struct(F.concat(F.lit("NCT"), F.lpad((k % 4000).cast("string"), 8, "0")).alias("nctId"), unless(7, F.struct(unless(5, F.concat(F.lit("ORG-"), k.cast("string"))).alias("id"))).alias("orgStudyIdInfo"),
+                     unless(11, F.struct(F.col("c_name").alias("fullName"), unless(3, F.col("c_mktsegment")).alias("class"))).alias("organization"), F.col("o_orderpriority").alias("briefTitle"),
+                     unless(4, F.concat_ws(" of ", "o_orderpriority", "n_name")).alias("officialTitle"), unless(3, F.substring("c_mktsegment", 1, 3)).alias("acronym")).alias("identificationModule"),
+            F.struct(F.col("o_orderstatus").alias("overallStatus"), F.substring(day(1, 6), 1, 7).alias("statusVerifiedDate"), date(0, 13, "ACTUAL").alias("startDateStruct"), unless(8, date(12, 5, "ESTIMATED")).alias("primaryCompletionDateStruct"),
+                     date(18, 9, "ACTUAL").alias("completionDateStruct"), day(-2, 10).alias("studyFirstSubmitDate"), date(-1, 11, "ACTUAL").alias("studyFirstPostDateStruct"), day(20, 12).alias("lastUpdateSubmitDate"),
+                     date(21, 7, "ESTIMATED").alias("lastUpdatePostDateStruct"), F.when(F.col("o_orderstatus") == "F", F.lit("low \"accrual\"; stopped")).alias("whyStopped")).alias("statusModule"),
+            unless(17, F.struct(F.struct(F.col("c_name").alias("name"), unless(6, F.col("c_mktsegment")).alias("class")).alias("leadSponsor"),
+                                unless(4, F.transform(F.filter("lines", lambda x: x["l_returnflag"] == "R"), lambda x: F.struct(gap(x, 9, F.concat(F.lit("S"), x["l_suppkey"].cast("string"))).alias("name")))).alias("collaborators"),
+                                unless(5, F.struct(F.lit("SPONSOR").alias("type"))).alias("responsibleParty"))).alias("sponsorCollaboratorsModule"),
+            unless(19, F.struct(F.when(k % 3 == 0, "OBSERVATIONAL").otherwise("INTERVENTIONAL").alias("studyType"), unless(9, F.slice(numbers, 1, (k % 4).cast("int"))).alias("phases"),
+                                unless(6, F.struct(unless(5, F.lit("RANDOMIZED")).alias("allocation"), unless(4, F.lit("PARALLEL")).alias("interventionModel"), unless(3, F.col("n_name")).alias("interventionModelDescription"), F.lit("TREATMENT").alias("primaryPurpose"),
+                                                   unless(7, F.struct(F.lit("DOUBLE").alias("masking"), unless(2, F.lit("two roles")).alias("maskingDescription"), F.slice(F.array(F.lit("PARTICIPANT"), F.lit(None).cast("string"), F.lit("INVESTIGATOR")), 1, (k % 4).cast("int")).alias("whoMasked"))).alias("maskingInfo"))).alias("designInfo"),
+                                F.struct(unless(10, F.floor("o_totalprice").cast("long")).alias("count"), unless(3, F.lit("ACTUAL")).alias("type")).alias("enrollmentInfo"))).alias("designModule"),
+            F.struct(every(lambda x: gap(x, 8, x["p_type"])).alias("conditions"), unless(2, every(lambda x: x["p_name"])).alias("keywords")).alias("conditionsModule"),
+            unless(23, F.struct(unless(5, every(lambda x: F.struct(gap(x, 6, x["l_returnflag"]).alias("type"), x["p_name"].alias("label")))).alias("armGroups"),
+                                unless(6, every(lambda x: F.struct(gap(x, 4, x["p_type"]).alias("type"), gap(x, 7, x["p_name"]).alias("name")))).alias("interventions"))).alias("armsInterventionsModule"),
+            F.struct(unless(3, every(lambda x: F.struct(x["p_type"].alias("measure"), gap(x, 5, F.date_format(x["l_shipdate"], "yyyy-MM")).alias("timeFrame")))).alias("primaryOutcomes"),
+                     F.transform(F.filter("lines", lambda x: x["l_quantity"] > 25), lambda x: F.struct(x["p_name"].alias("measure"))).alias("secondaryOutcomes")).alias("outcomesModule"),
+            unless(29, F.struct(unless(4, F.concat(F.lit("Inclusion:\n* "), F.col("o_orderpriority"))).alias("eligibilityCriteria"), unless(3, k % 2 == 0).alias("healthyVolunteers"), F.lit("ALL").alias("sex"),
+                                unless(5, F.concat((k % 80).cast("string"), F.lit(" Years"))).alias("minimumAge"), unless(2, F.lit("90 Years")).alias("maximumAge"),
+                                F.slice(F.array(F.lit("CHILD"), F.lit("ADULT"), F.lit("OLDER_ADULT")), 1, (k % 3 + 1).cast("int")).alias("stdAges"))).alias("eligibilityModule"),
+            F.struct(unless(6, F.concat_ws(" ", "c_name", "n_name")).alias("briefSummary"), unless(5, F.lit("")).alias("detailedDescription")).alias("descriptionModule"),
+            unless(9, F.struct(every(lambda x: F.struct(F.when(x["l_suppkey"] % 10 == 0, "").when(x["l_suppkey"] % 7 != 0, F.concat(F.lit("Land "), (x["l_suppkey"] % 5).cast("string"))).alias("country"))).alias("locations"))).alias("contactsLocationsModule"),
+            unless(4, F.struct(unless(3, k % 5 == 0).alias("oversightHasDmc"))).alias("oversightModule")).alias("protocolSection"),
+        unless(3, k % 2 == 0).alias("hasResults"))
+    return rows.select(F.concat(F.lit("f"), (k % 3).cast("string")).alias("file"), k.alias("ordinal"), F.from_json(F.to_json(study), registry_json.record()).alias("study"))
+
+
+@query
+def flattened_all(spark, sf_dir):
+    """All 60 columns of nested records, of an id the last one by file and place."""
+    from cohortline.sources import registry_json
+
+    return registry_json.flatten(nested_records(spark, sf_dir))
+
+
 @on_labels
 def stratified_sample(t, dev):
     return audit.sample(censored(t, dev)).select("nct_id", "label_value")

@@ -3,11 +3,13 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -220,6 +222,36 @@ def test_bpe_chunks(t, chunk):
     assert bpe.encode(t, RANKS, chunk, 4) == whole and bpe.decode(whole, RANKS) == t.encode()
 
 
+def by_chunks(t, chunk, overlap):
+    (row,) = pa.Table.from_pylist([{"doc_id": 1, "key": "", "text": t}]).to_batches()
+    rows = [r for b in bpe.split([row], chunk, overlap) for r in b.to_pylist()]
+    return bpe.stitch([bpe.encode_chunk(r["text"], r["k"], r["last"], RANKS, chunk, overlap) for r in rows], RANKS, chunk, overlap), rows
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.one_of(st.text(alphabet="ab 1\n\t'.é日😀s", min_size=1, max_size=400), st.text(alphabet="日本語、。1", min_size=1, max_size=400), st.text(alphabet="'rels \x1c\u00a0\u3000", min_size=1, max_size=300), st.text(min_size=1, max_size=200)),
+       st.integers(12, 60), st.integers(5, 12))
+def test_bpe_stitch(t, chunk, overlap):
+    assert by_chunks(t, chunk, overlap)[0] == bpe.encoding(RANKS).encode_ordinary(t)
+
+
+def test_bpe_without_spaces():
+    """A text without a space is encoded chunk by chunk, a word of over an overlap only where it stands, and time is linear in the length."""
+    rng = np.random.default_rng(5)
+    t = "".join(chr(0x4E00 + i) if i < 3000 else "、" for i in rng.integers(0, 3300, 60_000)) + "字" * 900 + "。" + "".join(chr(0x4E00 + i) if i < 3000 else "、" for i in rng.integers(0, 3300, 20_000))
+    ids, rows = by_chunks(t, 1_000, 200)
+    assert ids == bpe.encoding(RANKS).encode_ordinary(t) and len(rows) == 81 and max(len(r["text"]) for r in rows) == 1_200
+    met = [set(np.frombuffer(bpe.encode_chunk(a["text"], a["k"], False, RANKS, 1_000, 200)[3], "<i8")[::2]) & set(np.frombuffer(bpe.encode_chunk(b["text"], b["k"], b["last"], RANKS, 1_000, 200)[2], "<i8")[::2]) for a, b in zip(rows, rows[1:])]
+    assert sum(map(bool, met)) >= 78
+    took = []
+    for times in (100, 400):
+        (row,) = pa.Table.from_pylist([{"doc_id": 1, "key": "", "text": t * times}]).to_batches()
+        begin = time.process_time()
+        assert sum(b.num_rows for b in bpe.split([row], 32_768, 1_024)) == -(-len(t) * times // 32_768)
+        took.append(time.process_time() - begin)
+    assert took[1] < 12 * took[0] + 0.2  # 16 if it were the square
+
+
 def test_bpe_table(docs, rows, empty):
     from tokenizers import Tokenizer
 

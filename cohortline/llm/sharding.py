@@ -6,7 +6,8 @@ shards are near equal.
 Large groups (over 1/`fine` of a shard in any dimension; so their number is bounded by 3 x shards x fine, whatever the corpus) are placed
 first, on the driver. Only a group whose bytes fit no shard whole, above all one over a whole shard's bytes, is cut into small pieces; its rows are dealt over
 them in turn. The others are dealt over tasks by their digest, `GROUPS_A_TASK` to one; each task places its groups, largest first, against its own part of what
-the large ones left, so that the shards' sums stay balanced at any number of tasks. Slots come from counts by (task, shard).
+the large ones left, so that the shards' sums stay balanced at any number of tasks. As a shard may be out of bytes while it lacks rows, a task then exchanges a group of
+the shard that lacks most rows for smaller ones, together as many bytes, of the shard that has most, until rows are even or no such groups are left; no shard's bytes change by more than `DRIFT`. Slots come from counts by (task, shard).
 
 Defined results: a null text counts as empty (size 8); repeated rows are rows of one group, and each gets its slot; a null doc_id is a row like any other; groups of
 equal demand are placed in the order of their digests, equal dot products go to the lower shard; a single row larger than a shard is placed where the
@@ -28,6 +29,8 @@ SHARDS, FINE = 24, 64
 PIECE = 0.125
 #: Groups that one placing task takes, about.
 GROUPS_A_TASK = 20_000
+#: The part of a shard's bytes that exchanges may add or take, and the part of its rows at which they stop.
+DRIFT, EVEN = 0.0005, 0.005
 #: What ends a token, for the balance of shards: each of these signs, and the text's end. They are counted without a list of tokens being made.
 ENDS = " \t\n\r.,;:!?-()[]{}<>/\\'\"|#*"
 
@@ -45,6 +48,51 @@ def place(demand: np.ndarray, residual: np.ndarray) -> np.ndarray:
     return out
 
 
+def exchange(d: np.ndarray, at: np.ndarray, residual: np.ndarray, low: int, high: int, moved: np.ndarray, limit: float) -> bool:
+    """One exchange that takes most rows from shard `low` to `high`: neighbours by size of low's groups for one of high's, bytes alike; at, residual and moved are changed in place."""
+    ys, xs = (g[np.argsort(d[g, 0], kind="stable")] for g in (np.flatnonzero(at == low), np.flatnonzero(at == high)))
+    if not len(ys) or not len(xs):
+        return False
+    size, rows = np.append(0, np.cumsum(d[ys, 0])), np.append(0, np.cumsum(d[ys, 2]))
+    half = (residual[high, 2] - residual[low, 2]) / 2
+    m = min(len(ys), int(half / d[:, 2].min()) + 1)
+    best = None
+    while m and best is None:
+        taken, n = size[m:] - size[:-m], rows[m:] - rows[:-m]
+        near = np.searchsorted(d[xs, 0], taken)
+        for j in (np.minimum(near, len(xs) - 1), np.maximum(near - 1, 0)):
+            more, gain = taken - d[xs[j], 0], n - d[xs[j], 2]
+            ok = (gain > 1e-15) & (gain <= half * (1 + 1e-9)) & (np.abs(moved[low] - more) <= limit) & (np.abs(moved[high] + more) <= limit)
+            if ok.any():
+                i = int(np.argmax(np.where(ok, gain, -1)))
+                if best is None or gain[i] > best[0]:
+                    best = gain[i], ys[i:i + m], xs[j[i]]
+        m = m * 2 // 3
+    if best is None:
+        return False
+    _, out, back = best
+    change = d[out].sum(0) - d[back]
+    at[out], at[back] = high, low
+    residual[low] += change
+    residual[high] -= change
+    moved[low] -= change[0]
+    moved[high] += change[0]
+    return True
+
+
+def even_rows(d: np.ndarray, at: np.ndarray, residual: np.ndarray) -> None:
+    """Exchanges until no shard lacks over `EVEN` of its rows beside another, or none is possible; every exchange brings two shards' rows nearer to each other."""
+    shards = len(residual)
+    if not len(d):
+        return
+    moved, limit, enough = np.zeros(shards), DRIFT * d[:, 0].sum() / shards, max(EVEN * d[:, 2].sum() / shards, 1.5 * d[:, 2].min())
+    for _ in range(100 * shards):
+        order = np.argsort(residual[:, 2], kind="stable")  # first the one with most rows
+        pairs = sorted(((a, b) for a in order for b in order if residual[b, 2] - residual[a, 2] > enough), key=lambda p: residual[p[0], 2] - residual[p[1], 2])
+        if not any(exchange(d, at, residual, a, b, moved, limit) for a, b in pairs):
+            return
+
+
 def place_whole(groups: list[tuple[bytes, int, np.ndarray]], residual: np.ndarray) -> dict[bytes, list[int]]:
     """The shards of each group (digest, rows, demand of one row), in order: one if it fits a shard whole, otherwise those of its pieces; residual is reduced in place."""
     out: dict[bytes, list[int]] = {}
@@ -101,7 +149,9 @@ def shard(docs: DataFrame, text_col: str = "text", shards: int = SHARDS, fine: i
         order = np.array(sorted(range(len(g)), key=lambda i: (-d[i, 0], g[i])), int)
         g, d = g[order], d[order]
         own = d.sum(0) * rest / np.maximum(rest.sum(0), 1e-12)  # this task's part of what is left
-        return pa.table({"g": pa.array(g.tolist(), pa.binary()), "at": pa.array(place(d, own), pa.int32())})
+        at = place(d, own)
+        even_rows(d, at, own)
+        return pa.table({"g": pa.array(g.tolist(), pa.binary()), "at": pa.array(at, pa.int32())})
 
     placed = groups.withColumn("deal", F.pmod(F.xxhash64("g"), F.lit(tasks))).groupBy("deal").applyInArrow(deal, "g binary, at int")
     columns = "doc_id long, g binary, size long, tokens long, text_crc32 long"

@@ -526,6 +526,50 @@ def test_shards_are_chosen_by_the_dot_product():
     assert sharding.place(np.full((6, 3), 0.1), np.ones((3, 3))).tolist() == [0, 1, 2, 0, 1, 2]  # equal demands, equal products
 
 
+def by_hand(d, at, residual, low, high, m, limit):
+    """The most rows that an exchange of m groups of `low`, neighbours by size, for one of `high` can move: every window, every group."""
+    half = (residual[high, 2] - residual[low, 2]) / 2
+    ys = sorted((i for i in range(len(d)) if at[i] == low), key=lambda i: (d[i, 0], i))
+    found = [gain for a in range(len(ys) - m + 1) for x in range(len(d)) if at[x] == high
+             if abs(d[ys[a:a + m], 0].sum() - d[x, 0]) <= limit and 1e-15 < (gain := d[ys[a:a + m], 2].sum() - d[x, 2]) <= half * (1 + 1e-9)]
+    return max(found, default=0)
+
+
+@pytest.mark.parametrize("seed", range(8))
+def test_exchanges_even_rows(seed):
+    """From shards of equal bytes and rows as uneven as can be (the largest groups in one, the smallest in another) rows come to be even, bytes hardly move, sums are right; with groups of one row the first exchange moves what the best of all windows moves."""
+    rng = np.random.default_rng(seed)
+    size = rng.lognormal(0, 1.2, 400).round(2) + 0.05
+    d = np.column_stack([size / size.sum(), size / size.sum(), np.full(400, 1 / 400)]) * 4
+    order, at = np.argsort(size), np.empty(400, np.int32)
+    at[order] = np.minimum(np.cumsum(size[order]) / size.sum() * 4, 3).astype(np.int32)
+    residual = np.ones((4, 3)) - np.array([d[at == s].sum(0) for s in range(4)])
+    low, high = int(residual[:, 2].argmin()), int(residual[:, 2].argmax())
+    limit, one, left, before = sharding.DRIFT, at.copy(), residual.copy(), np.ptp(residual[:, 2])
+    did = sharding.exchange(d, one, left, low, high, np.zeros(4), limit)
+    m = int(((one == high) & (at == low)).sum())
+    assert did and abs((left[low, 2] - residual[low, 2]) - by_hand(d, at, residual, low, high, m, limit)) < 1e-9
+    bytes_before = residual[:, 0].copy()
+    sharding.even_rows(d, at, residual)
+    assert np.ptp(residual[:, 2]) < before / 20 and np.abs(residual[:, 0] - bytes_before).max() <= limit + 1e-12
+    assert np.allclose(residual, 1 - np.array([d[at == s].sum(0) for s in range(4)]))
+
+
+def test_exchanges_of_nothing():
+    for d in (np.zeros((0, 3)), np.array([[0.5, 0.5, 1.0]]), np.tile([0.25, 0.25, 0.25], (4, 1))):
+        at, left = np.arange(len(d), dtype=np.int32) % 2, np.ones((2, 3))
+        for i, s in enumerate(at):
+            left[s] -= d[i]
+        want = at.copy()
+        sharding.even_rows(d, at, left)
+        assert (at == want).all()
+
+
+def test_rows_are_even_beside_bytes(spark):
+    out = sharding.shard(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), shards=8).groupBy("shard").agg({"*": "count", "size": "sum"}).toPandas()
+    assert out["count(1)"].max() / out["count(1)"].min() < 1.03 and out["sum(size)"].max() / out["sum(size)"].min() < 1.01
+
+
 def test_only_groups_that_fit_no_shard_are_cut(spark):
     one = lambda b, t, r: np.array([b, t, r])
     got = sharding.place_whole([(b"big", 1000, one(0.0025, 0.001, 0.001)), (b"rows", 770, one(0.0004, 0.0001, 0.001)), (b"fits", 10, one(0.05, 0.01, 0.001))], np.ones((8, 3)))

@@ -57,6 +57,16 @@ def test_successors(spark):
     assert find(spark, {}, {"lead_sponsor": None}) == []
 
 
+def test_first_successors_are_counted_where_they_meet(spark):
+    """As from all pairs: of studies at one place, the smallest id that is a successor."""
+    late = {"phases": "PHASE3", "start_date": "2022-03-01", "first_post_date": "2021-09-01", "ordinal": 7}
+    t = trials(spark, {"intervention_names": "DrugX; DrugY"}, late | {"conditions": "Gout"}, late | {"intervention_names": "drugy; drugx"}, late, late | {"ordinal": 9}, {"nct_id": "B", "intervention_names": "; ;", "lead_sponsor": "b"}, late | {"intervention_names": "; ;", "lead_sponsor": "b"})
+    a = t.where("phases = 'PHASE2'")
+    got = {r["nct_id"]: (r["n_successors"], r["successor_id"], r["condition_overlap"]) for r in linkage.first_of(a, t, fuzzy=False).collect()}
+    assert got == {"NCT00000001": (3, "NCT00000003", 1.0), "B": (1, "NCT00000007", 1.0)}
+    assert got == {r["nct_id"]: (r["n_successors"], r["successor_id"], r["condition_overlap"]) for r in linkage.first_successor(linkage.successor_pairs(a, t, fuzzy=False)).collect()}
+
+
 def label(spark, *changes, studies=None):
     t = trials(spark, *changes)
     return [r["label_value"] for r in labels.development(t, t).join(t.select("nct_id", "ordinal"), "nct_id").orderBy("ordinal").collect()]

@@ -546,3 +546,30 @@ def test_text_columns_are_profiled_in_one_pass(spark):
     assert got["a.b"]["unique"] == 7 and list(got["a.b"]["top_values"].items()) == [(v, seen.count(v)) for v in want]
     assert got["none"] == {"unique": 0, "top_values": {}} and got["flag"] == {"unique": 2, "top_values": {"false": 30, "true": 30}} and list(got) == ["a.b", "none", "flag", "x"]
     assert "WindowGroupLimit" in features.value_counts(df, ["a.b", "flag"])._jdf.queryExecution().toString()
+
+
+def test_pairs_stay_in_their_cells(spark, monkeypatch):
+    """One sponsor, names alike but never equal: every pair is counted, by likeness too, and a row an anchor and cell leaves the cells, not a row a pair."""
+    import datetime
+
+    from cohortline.operators import linkage
+
+    start, rows = datetime.date(2010, 1, 1), []
+    for i in range(240):
+        day = start + datetime.timedelta(days=i)
+        rows.append((f"N{i:03d}", i, "one", "PHASE2" if i % 2 else "PHASE3", "a; b" if i % 3 else "b; c", f"long compound {i:03d}; placebo" if i % 5 else " ; ", str(day), str(day), None, str(day)))
+    t = spark.createDataFrame(rows, "nct_id string, ordinal long, lead_sponsor string, phases string, conditions string, intervention_names string, start_date string, primary_completion_date string, completion_date string, first_post_date string")
+    a = t.where("phases = 'PHASE2'")
+    near = lambda x, y: (x[5] == " ; ") == (y[5] == " ; ")
+    want = {}
+    for x in rows:
+        for y in rows:
+            if x[3] == "PHASE2" and y[3] == "PHASE3" and y[6] >= x[6] and near(x, y):
+                n, first = want.get(x[0], (0, y[0]))
+                want[x[0]] = (n + 1, first)
+    for small in (20_000, 16):
+        monkeypatch.setattr(linkage, "SMALL", small)
+        got = {r["nct_id"]: (r["n_successors"], r["successor_id"]) for r in linkage.first_of(a, t).collect()}
+        assert got == want
+        left = linkage._links(a, t, 36, threshold=0.85, first=True).groupBy().agg(F.count(F.lit(1)), F.sum("n_successors")).first()
+        assert left[1] == sum(n for n, _ in want.values()) > 4000 and left[0] <= 120 * 9

@@ -548,6 +548,23 @@ def test_text_columns_are_profiled_in_one_pass(spark):
     assert "WindowGroupLimit" in features.value_counts(df, ["a.b", "flag"])._jdf.queryExecution().toString()
 
 
+def test_content_hash_sends_little_to_the_driver(spark):
+    """The chain is that of plain Python, over several partitions and ids out of order; what meets the driver is a fraction of the ids."""
+    import hashlib
+
+    from cohortline.operators import cohort
+
+    n = 60_000
+    ids = spark.range(0, n, 1, 7).select(F.concat(F.lit("NCT"), F.lpad(((F.col("id") * 7919) % n).cast("string"), 8, "0")).alias("nct_id")).union(spark.createDataFrame([(None,), ("é,x",)], "nct_id string"))
+    want = sorted([f"NCT{i:08d}" for i in range(n)] + ["é,x"])
+    got = cohort.content_hash(ids).first()
+    assert (got["content_hash"], got["n"]) == (hashlib.sha256(",".join(want).encode()).hexdigest()[:12], n + 1)
+    sent = cohort.packed(ids.where("nct_id is not null").sort("nct_id")).agg(F.sum(F.length("pack"))).first()[0]
+    assert sent < len(",".join(want)) / 3
+    empty = cohort.content_hash(ids.where("false")).first()
+    assert (empty["content_hash"], empty["n"]) == (hashlib.sha256(b"").hexdigest()[:12], 0)
+
+
 def test_pairs_stay_in_their_cells(spark, monkeypatch):
     """One sponsor, names alike but never equal: every pair is counted, by likeness too, and a row an anchor and cell leaves the cells, not a row a pair."""
     import datetime

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cohortline.operators import labels
-from cohortline.plans import trial_adapter
+from cohortline.plans import queries, trial_adapter
 from cohortline.sources import storage
 
 SF = "/root/testdata/sf0.001"
@@ -56,3 +56,17 @@ def test_common_assets_frequent_and_not(spark, monkeypatch):
         for least in (10, 15, 16, 1000):
             got = {r["nct_id"]: r["common_asset_flag"] for r in labels.with_common_asset(studies, studies, least).collect()}
             assert got == {k: any(n[t] >= least for t in tokens(s)) for k, s in rows}
+
+
+@pytest.mark.parametrize("fuzzy", [False, True])
+def test_slices_of_the_sponsors_give_all_labels(spark, monkeypatch, fuzzy):
+    """Sponsors without a name too, and names counted over all studies: the slices together are the labels of the whole."""
+    t = trial_adapter.trials(spark, SF)
+    whole = sorted(map(str, labels.development(t, t, fuzzy=fuzzy).collect()))
+    a, names = queries.anchored(spark, SF), labels.intervention_counts(t)
+    parts = [p.collect() for p in labels.development_slices(t, t, 3, a, names, fuzzy=fuzzy)]
+    assert all(parts) and sorted(str(r) for p in parts for r in p) == whole
+    monkeypatch.setattr(trial_adapter, "SLICE_BYTES", 1 << 14)
+    storage.unstage(spark, "development", SF)
+    assert trial_adapter.slices(t) > 1 and sorted(map(str, queries.development(spark, SF, fuzzy).collect())) == whole
+    storage.unstage(spark, "development", SF)

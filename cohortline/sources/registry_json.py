@@ -89,10 +89,19 @@ def read_raw(spark: SparkSession, path: str) -> DataFrame:
     return inside.withColumn("ordinal", F.col("ordinal").cast("long")).unionByName(bare)
 
 
+#: Where a record's text has its id.
+ID_PATH = "$.protocolSection.identificationModule.nctId"
+
+
 def flatten(raw: DataFrame) -> DataFrame:
-    """60 columns and the ordinal; of an id that repeats, the last occurrence: an aggregate, not a window."""
-    flat = raw.select("file", "ordinal", *[c.alias(n) for n, c in columns("study").items()])
-    return keep_last(flat, "nct_id", ["file", "ordinal"]).drop("file")
+    """60 columns and the ordinal; of an id that repeats, the last occurrence: an aggregate, not a window. Records are kept or dropped whole, as `study` or as `record`, its text:
+    only those that are kept are parsed and flattened."""
+    flat, texts = columns("study"), "record" in raw.columns
+    key = F.get_json_object("record", ID_PATH) if texts else flat["nct_id"]
+    last = keep_last(raw.select("file", "ordinal", key.alias("nct_id"), "record" if texts else "study"), "nct_id", ["file", "ordinal"])
+    if texts:
+        last = last.withColumn("study", F.from_json("record", record()))
+    return last.select("ordinal", *[c.alias(n) for n, c in flat.items()])
 
 
 def keep_last(df: DataFrame, key: str, order: list[str]) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from cohortline.operators import labels
 from cohortline.plans import queries, trial_adapter
-from cohortline.sources import storage
+from cohortline.sources import registry_json, storage
 
 SF = "/root/testdata/sf0.001"
 
@@ -70,3 +70,19 @@ def test_slices_of_the_sponsors_give_all_labels(spark, monkeypatch, fuzzy):
     storage.unstage(spark, "development", SF)
     assert trial_adapter.slices(t) > 1 and sorted(map(str, queries.development(spark, SF, fuzzy).collect())) == whole
     storage.unstage(spark, "development", SF)
+
+
+def test_only_the_last_of_an_id_is_parsed(spark):
+    """Records as texts: the rows of all parsed first; ids that repeat inside a file and over files, or are missing."""
+    raw = queries.nested_records(spark, SF).withColumn("record", F.when(F.col("ordinal") % 50 == 0, "{}").otherwise(F.regexp_replace("record", "NCT0000(\\d)\\d\\d", "NCT0000$100")))
+    parsed = raw.select("file", "ordinal", F.from_json("record", registry_json.record()).alias("study"))
+    want = {}
+    for r in parsed.select("file", "ordinal", *[c.alias(n) for n, c in registry_json.columns("study").items()]).collect():
+        want[r["nct_id"]] = max(want.get(r["nct_id"], r), r, key=lambda x: (x["file"], x["ordinal"]))
+    names = ["ordinal", *registry_json.columns("study")]
+    assert 1 < len(want) < raw.count() / 5 and None in want
+    for one in (raw, parsed):
+        got = registry_json.flatten(one)
+        assert got.columns == names and sorted(map(str, got.collect())) == sorted(str(r) for r in parsed.sparkSession.createDataFrame([tuple(w[n] for n in names) for w in want.values()], got.schema).collect())
+    plan = registry_json.flatten(raw)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("from_json") < plan.index("Aggregate")  # above it: after it
